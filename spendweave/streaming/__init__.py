@@ -1,0 +1 @@
+"""Empty on purpose: the engine covers batch analytics only, there is no stream operator to match."""
