@@ -1,4 +1,4 @@
 """All checks by query name."""
-from . import features
+from . import features, triggers
 
-SQL = {**features.SQL}
+SQL = {**features.SQL, **triggers.SQL}

@@ -1,4 +1,4 @@
 """All named queries."""
-from . import features
+from . import backtest, features
 
-QUERIES = {**features.QUERIES}
+QUERIES = {**features.QUERIES, **backtest.QUERIES}
