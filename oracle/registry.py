@@ -1,4 +1,4 @@
 """All checks by query name."""
-from . import features, triggers
+from . import features, profile, triggers
 
-SQL = {**features.SQL, **triggers.SQL}
+SQL = {**features.SQL, **triggers.SQL, **profile.SQL}

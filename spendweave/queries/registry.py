@@ -1,4 +1,4 @@
 """All named queries."""
-from . import backtest, features
+from . import backtest, features, profile
 
-QUERIES = {**features.QUERIES, **backtest.QUERIES}
+QUERIES = {**features.QUERIES, **backtest.QUERIES, **profile.QUERIES}
