@@ -1,4 +1,4 @@
 """All checks by query name."""
-from . import features, profile, triggers
+from . import features, generations, profile, triggers
 
-SQL = {**features.SQL, **triggers.SQL, **profile.SQL}
+SQL = {**features.SQL, **triggers.SQL, **profile.SQL, **generations.SQL}

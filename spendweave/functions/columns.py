@@ -151,9 +151,11 @@ def hash32(*parts) -> Column:
 
 def chi2_survival(statistic, dof) -> Column:
     """P(X > statistic) for a chi-square variable, by the incomplete gamma function of the JVM's math library."""
-    value = F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("regularizedGammaQ"),
-                      _col(dof).cast("double") / 2, _col(statistic).cast("double") / 2)
-    return value.cast("double")
+    statistic, dof = _col(statistic).cast("double"), _col(dof).cast("double")
+    known = statistic.isNotNull() & (dof > 0)
+    tail = F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("regularizedGammaQ"),
+                     F.when(known, dof / 2).otherwise(F.lit(1.0)), F.when(known, statistic / 2).otherwise(F.lit(0.0)))
+    return F.when(known, tail.cast("double"))
 
 
 def add_all(columns) -> Column:

@@ -1,4 +1,5 @@
 """All named queries."""
-from . import backtest, features, profile
+from . import backtest, features, generations, profile
 
-QUERIES = {**features.QUERIES, **backtest.QUERIES, **profile.QUERIES}
+QUERIES = {**features.QUERIES, **backtest.QUERIES, **profile.QUERIES,
+           **generations.QUERIES}
