@@ -1,29 +1,28 @@
-"""Stages of one run, built lazily and shared between the results that need them."""
+"""Stages of one run, built on demand and shared between the results that need them."""
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import features, panel, quantiles, transactions
 from ..sources import adapter
+from . import stages
 
 
 class Workbench:
     """Feature stages on top of a raw transaction table.
 
-    The panel and the feature table feed many results, so they are persisted (memory, then disk). The lineage stays: a
-    lost executor costs a recomputation of its partitions, not the run.
+    The panel and the feature table feed most results, so both are written as stage tables. With ``durable=False``
+    everything stays lazy, which suits a single result on small data.
     """
 
-    def __init__(self, raw: DataFrame, share: bool = True):
+    def __init__(self, raw: DataFrame, durable: bool = True):
         self.raw = raw
-        self.share = share
+        self.durable = durable
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.share else df
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return stages.keep(df, name, "customer_id") if self.durable else df
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -35,9 +34,9 @@ class Workbench:
 
     @cached_property
     def month_facts(self) -> DataFrame:
-        """The panel with every month fact, persisted."""
+        """The zero-filled panel with every month fact."""
         facts = panel.month_facts(self.transactions)
-        return self._keep(panel.fill_months(facts, panel.months_present(self.transactions)))
+        return self._keep(panel.fill_months(facts, panel.months_present(self.transactions)), "panel")
 
     @cached_property
     def customer_month(self) -> DataFrame:
@@ -51,12 +50,13 @@ class Workbench:
     def customer_features(self) -> DataFrame:
         hot = quantiles.find_hot_keys(self.month_facts)
         medians = quantiles.keyed_median(self.transactions, "customer_id", "amt", "median_ticket", hot)
-        return self._keep(features.customer_features(self.customers, self.month_facts, self.customer_quarter, medians))
+        table = features.customer_features(self.customers, self.month_facts, self.customer_quarter, medians)
+        return self._keep(table, "features")
 
     def release(self) -> None:
         for stage in ("month_facts", "customer_features"):
-            if stage in self.__dict__:
-                self.__dict__[stage].unpersist()
+            if stage in self.__dict__ and self.durable:
+                stages.forget(self.__dict__[stage])
 
 
 _benches: dict[tuple, Workbench] = {}
