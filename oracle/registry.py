@@ -1,4 +1,6 @@
 """All checks by query name."""
-from . import features, generations, profile, triggers
+from . import features, generations, profile, segments, triggers
 
-SQL = {**features.SQL, **triggers.SQL, **profile.SQL, **generations.SQL}
+SQL = {}
+for _module in (features, triggers, profile, generations, segments):
+    SQL.update(_module.SQL)

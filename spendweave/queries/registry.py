@@ -1,5 +1,6 @@
 """All named queries."""
-from . import backtest, features, generations, profile
+from . import backtest, features, generations, profile, segments
 
-QUERIES = {**features.QUERIES, **backtest.QUERIES, **profile.QUERIES,
-           **generations.QUERIES}
+QUERIES = {}
+for _module in (features, backtest, profile, generations, segments):
+    QUERIES.update(_module.QUERIES)
