@@ -1,6 +1,6 @@
 """All checks by query name."""
-from . import features, generations, profile, segments, triggers
+from . import features, generations, profile, segmentation, segments, triggers
 
 SQL = {}
-for _module in (features, triggers, profile, generations, segments):
+for _module in (features, triggers, profile, generations, segments, segmentation):
     SQL.update(_module.SQL)

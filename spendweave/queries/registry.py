@@ -1,6 +1,6 @@
 """All named queries."""
-from . import backtest, features, generations, profile, segments
+from . import backtest, features, generations, profile, segmentation, segments
 
 QUERIES = {}
-for _module in (features, backtest, profile, generations, segments):
+for _module in (features, backtest, profile, generations, segments, segmentation):
     QUERIES.update(_module.QUERIES)
