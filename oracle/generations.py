@@ -10,9 +10,9 @@ METRICS = (*SHARES, "online_share", "avg_ticket", "median_ticket", "monthly_txns
 
 
 def tail(x: str, dof: str) -> str:
-    """exp(-x/2) * sum over j < dof/2 of (x/2)^j / j!"""
-    return (f"exp(-({x}) / 2) * list_sum(list_transform(range(CAST(({dof}) / 2 AS BIGINT)), "
-            f"lambda j: exp(j * ln(greatest(({x}) / 2, 1e-300)) - lgamma(j + 1))))")
+    """1 - P(dof/2, x/2) by the series of the incomplete gamma function; beyond 300 it is zero to many digits."""
+    return (f"CASE WHEN ({x}) / 2 > 300 THEN 0 ELSE 1 - list_sum(list_transform(range(600), lambda j: "
+            f"exp((({dof}) / 2 + j) * ln(greatest(({x}) / 2, 1e-300)) - ({x}) / 2 - lgamma(({dof}) / 2 + j + 1)))) END")
 
 
 define("yearly", ("feat_card",), """

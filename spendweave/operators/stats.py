@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,16 +151,31 @@ def median_ci(df: DataFrame, metrics, group: str, order: str, n_boot: int = conf
     sizes = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()}  # one row per group
     if sum(sizes.values()) * n_boot > budget:
         return _order_statistic_ci(df, metrics, group, sizes)
-    # the budget bounds the sample at budget / n_boot rows, so it is safe to number and to broadcast
-    numbered = df.select(group, *metrics, (F.row_number().over(
-        Window.partitionBy(group).orderBy(order)) - 1).cast("long").alias("idx"))
+    # the budget bounds the sample at budget / n_boot rows, so every task can hold it
+    sample = df.select(group, order, *metrics).toPandas().sort_values(order)
+    sent = df.sparkSession.sparkContext.broadcast({
+        name: {m: (np.argsort(part[m].to_numpy(), kind="stable"), np.sort(part[m].to_numpy(float))) for m in metrics}
+        for name, part in sample.groupby(group)})
+
+    def resampled_medians(drawn: pd.DataFrame) -> pd.DataFrame:
+        name, n = drawn[group].iloc[0], len(drawn)
+        times = np.bincount(drawn["idx"], minlength=n)          # how often each customer was drawn
+        row = {group: name, "rep": drawn["rep"].iloc[0]}
+        for metric, (by_value, values) in sent.value[name].items():
+            upto = np.cumsum(times[by_value])
+            low, high = np.searchsorted(upto, [(n - 1) // 2, n // 2], side="right")
+            row[metric] = (values[low] + values[high]) / 2
+        return pd.DataFrame([row])
+
+    # a fixed number of partitions: the few replicate rows would be coalesced before they grow into draws
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (df.groupBy(group).agg(F.count("*").alias("n"))
              .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-             .repartition(group, "rep")
+             .repartition(parts, group, "rep")
              .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
              .select(group, "rep", (C.hash32(F.lit(seed), "rep", "draw") % F.col("n")).alias("idx")))
-    medians = (draws.join(F.broadcast(numbered), [group, "idx"]).groupBy(group, "rep")
-               .agg(*[F.percentile(m, 0.5).alias(m) for m in metrics]))
+    fields = ", ".join(f"{m} double" for m in metrics)
+    medians = draws.groupBy(group, "rep").applyInPandas(resampled_medians, f"{group} string, rep int, {fields}")
     bounds = medians.groupBy(group).agg(*[F.percentile(m, [0.025, 0.975]).alias(m) for m in metrics])
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.get(m, F.lit(0)).alias("median_ci_low"),
                               F.get(m, F.lit(1)).alias("median_ci_high")) for m in metrics])
