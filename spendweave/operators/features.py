@@ -19,8 +19,6 @@ FEATURE_COLUMNS = (
 def from_panel(panel: DataFrame) -> DataFrame:
     """Recency, frequency, value, wallet, channel and timing per customer, regrouped from the month rows."""
     months = F.count("*")
-    active = F.col("txns") > 0
-    years_with = lambda condition: F.size(F.collect_set(F.when(condition, F.year("month"))))
     sums = panel.groupBy("customer_id").agg(
         F.sum("txns").alias("n_txns"),
         C.money_sum("spend").alias("total_spend"),
@@ -39,8 +37,7 @@ def from_panel(panel: DataFrame) -> DataFrame:
         months.alias("panel_months"),
         (F.count_if(F.col("dining_txns") > 0) / months).alias("dining_active_month_share"),
         (F.count_if(F.col("travel_txns") > 0) / months).alias("travel_active_month_share"),
-        # one entry per calendar year at most
-        (years_with(F.col("travel_100plus_txns") > 0) / years_with(active)).alias("travel_active_year_share"),
+        (F.sum("opens_travel_year") / F.sum("opens_year")).alias("travel_active_year_share"),
     )
     per_month = lambda c: F.col(c) / F.col("active_months")
     mean_month = F.col("total_spend") / F.col("panel_months")

@@ -47,9 +47,21 @@ def fill_months(facts: DataFrame, months: DataFrame) -> DataFrame:
     """Zero rows for the silent months between a customer's first and last month.
 
     Each row generates the gap up to the customer's next active month. That needs one window over the facts instead of
-    a range join of tenures with the calendar. Months in which nobody transacted stay out.
+    a range join of tenures with the calendar. Months in which nobody transacted stay out. The same window marks the
+    first active month of each calendar year and the first with a larger travel purchase, so that years can later be
+    counted by summing.
     """
     by_customer = Window.partitionBy("customer_id").orderBy("month")
+    earlier = by_customer.rowsBetween(Window.unboundedPreceding, -1)
+    large_travel = F.col("travel_100plus_txns") > 0
+
+    def opens_year(last):
+        return (last.isNull() | (F.year(last) != F.year("month"))).cast("int")
+
+    facts = (facts
+             .withColumn("opens_year", opens_year(F.lag("month").over(by_customer)))
+             .withColumn("opens_travel_year", F.when(large_travel, opens_year(
+                 F.max(F.when(large_travel, F.col("month"))).over(earlier))).otherwise(0)))
     gap_end = F.coalesce(F.add_months(F.lead("month").over(by_customer), -1), F.col("month"))
     values = [c for c in facts.columns if c not in ("customer_id", "month")]
     spread = (facts.withColumn("gap_end", gap_end)

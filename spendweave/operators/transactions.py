@@ -33,14 +33,17 @@ def last_date(transactions: DataFrame) -> DataFrame:
 def customers(raw: DataFrame, data_end: DataFrame) -> DataFrame:
     """One row per customer with bands. ``data_end`` is the one-row result of :func:`last_date`.
 
-    The distinct attribute combinations are taken first: that step combines map side and leaves a handful of rows per
-    customer, so the three distinct counts never see the transactions of a busy customer in one task.
+    Attribute combinations are counted first. That step combines map side in a hash table and leaves a handful of rows
+    per customer for the three distinct counts. The row count is carried along on purpose: all other aggregates ignore
+    duplicates, and without it the optimizer would drop the first step and expand the raw rows instead.
     """
     combos = (raw.filter(F.col("is_fraud") == 0)
-              .select(F.col("cc_num").alias("customer_id"), "dob", "gender", "city_pop").distinct())
+              .groupBy(F.col("cc_num").alias("customer_id"), "dob", "gender", "city_pop")
+              .agg(F.count("*").alias("n_rows")))
     base = combos.groupBy("customer_id").agg(
         F.min("dob").alias("dob"), F.min("gender").alias("gender"), F.min("city_pop").alias("city_pop"),
-        (F.count_distinct("dob") + F.count_distinct("gender") + F.count_distinct("city_pop")).alias("n_values"))
+        (F.count_distinct("dob") + F.count_distinct("gender") + F.count_distinct("city_pop")).alias("n_values"),
+        F.sum("n_rows").alias("n_rows")).filter(F.col("n_rows") > 0)
     birth_year = F.year("dob").cast("long")
     return base.crossJoin(F.broadcast(data_end)).select(
         "customer_id", "dob", birth_year.alias("birth_year"),
