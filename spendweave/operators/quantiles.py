@@ -88,9 +88,12 @@ def keyed_median(df: DataFrame, key: str, value: str, name: str, hot_keys: DataF
     rows = df.select(key, value)
     if hot_keys is None:
         return small(rows)
-    # equi joins without a hint: the planner broadcasts the hot list if it is small and splits skewed partitions if not
-    cold = small(rows.join(hot_keys, key, "left_anti"))
-    hot = exact_quantiles(rows.join(hot_keys, key, "left_semi"), [key], value, [0.5])
+    # few hot keys are sent to every task, so their rows are folded where they lie and never meet in one place; for more
+    # the planner decides, and splits skewed partitions
+    few = hot_keys.count() <= BROADCAST_GROUPS
+    listed = F.broadcast(hot_keys) if few else hot_keys
+    cold = small(rows.join(listed, key, "left_anti"))
+    hot = exact_quantiles(rows.join(listed, key, "left_semi"), [key], value, [0.5], broadcast=few)
     return cold.unionByName(hot.select(key, F.col(quantile_name(0.5)).alias(name)))
 
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import columns as C
+from ..functions.session import width
 from .quantiles import exact_quantiles, quantile_name
 
 ROWS_PER_BUCKET = 5_000_000
 MAX_BUCKETS = 256
 # resample draws up to this many rows; larger samples use the order statistics of the same distribution
 RESAMPLE_BUDGET = 50_000_000
+RESAMPLE_ROWS = 250_000
 
 
 # --- ranks without a global sort -------------------------------------------
@@ -145,13 +147,14 @@ def median_ci(df: DataFrame, metrics, group: str, order: str, n_boot: int = conf
               budget: int = RESAMPLE_BUDGET) -> DataFrame:
     """95% bootstrap interval of the median per group and metric.
 
-    All metrics of a group share the same resampled rows. Above ``budget`` drawn rows the interval is read from the
+    All metrics of a group share the same resampled rows. Above ``budget`` drawn rows or a sample of
+    :data:`RESAMPLE_ROWS` the interval is read from the
     order statistics at n/2 -+ 1.96 sqrt(n)/2, which is where the bootstrap percentiles of a median settle.
     """
     sizes = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()}  # one row per group
-    if sum(sizes.values()) * n_boot > budget:
+    if sum(sizes.values()) > RESAMPLE_ROWS or sum(sizes.values()) * n_boot > budget:
         return _order_statistic_ci(df, metrics, group, sizes)
-    # the budget bounds the sample at budget / n_boot rows, so every task can hold it
+    # the sample is bounded by RESAMPLE_ROWS, so every task can hold it
     sample = df.select(group, order, *metrics).toPandas().sort_values(order)
     sent = df.sparkSession.sparkContext.broadcast({
         name: {m: (np.argsort(part[m].to_numpy(), kind="stable"), np.sort(part[m].to_numpy(float))) for m in metrics}
@@ -168,7 +171,7 @@ def median_ci(df: DataFrame, metrics, group: str, order: str, n_boot: int = conf
         return pd.DataFrame([row])
 
     # a fixed number of partitions: the few replicate rows would be coalesced before they grow into draws
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = width(df.sparkSession)
     draws = (df.groupBy(group).agg(F.count("*").alias("n"))
              .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
              .repartition(parts, group, "rep")

@@ -38,13 +38,13 @@ def _history(keys, order="month"):
 def _fire(states: DataFrame, keys, cooldown: Column, order: str = "month") -> DataFrame:
     """Keep in-state rows whose last earlier in-state row lies more than ``cooldown`` positions back.
 
-    A persisting state keeps extending the silence, because states count here and not fires.
+    A persisting state keeps extending the silence, because states count here and not fires. Only in-state rows matter,
+    so all others are gone before the window sorts anything.
     """
-    before = _history(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("in_state"), F.col("month_idx"))).over(before)
-    return (states.withColumn("last_state_idx", last)
-            .filter(F.col("in_state") & (F.col("last_state_idx").isNull()
-                                         | (F.col("month_idx") - F.col("last_state_idx") > cooldown))))
+    inside = states.filter("in_state")
+    return (inside.withColumn("last_state_idx", F.lag("month_idx").over(_history(keys, order)))
+            .filter(F.col("last_state_idx").isNull()
+                    | (F.col("month_idx") - F.col("last_state_idx") > cooldown)))
 
 
 # --- travel drop -----------------------------------------------------------

@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.session import width
+
 _scratch: dict[str, str] = {}
 
 
@@ -33,7 +35,7 @@ def keep(df: DataFrame, name: str, key: str) -> DataFrame:
     rows are hashed to the buckets before writing. The number of buckets follows the session's shuffle partitions.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = width(spark)
     table = f"spendweave_{name}_{uuid.uuid4().hex[:12]}"
     (df.repartition(buckets, key).write.mode("errorifexists").format("parquet")
      .bucketBy(buckets, key).sortBy(key)
