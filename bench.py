@@ -34,6 +34,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")   # no call-site capture per expression
              .config("spark.sql.adaptive.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
