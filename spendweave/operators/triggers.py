@@ -35,18 +35,23 @@ def _history(keys, order="month"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def _fire(states: DataFrame, keys, cooldown: Column, order: str = "month") -> DataFrame:
+def _fire(candidates: DataFrame, keys, cooldown: Column, order: str = "month_idx") -> DataFrame:
     """Keep in-state rows whose last earlier in-state row lies more than ``cooldown`` positions back.
 
     A persisting state keeps extending the silence, because states count here and not fires. Only in-state rows matter,
     so all others are gone before the window sorts anything.
     """
-    inside = states.filter("in_state")
+    inside = candidates.filter("in_state")
     return (inside.withColumn("last_state_idx", F.lag("month_idx").over(_history(keys, order)))
             .filter(F.col("last_state_idx").isNull()
                     | (F.col("month_idx") - F.col("last_state_idx") > cooldown)))
 
 
+def _candidates(windows: DataFrame, columns, candidates) -> DataFrame:
+    """One row per panel row and candidate; a candidate is a struct with trigger_name and in_state."""
+    return windows.select(*columns, F.inline(F.array(*candidates)))
+
+
 # --- travel drop -----------------------------------------------------------
 
 def travel_windows(panel: DataFrame, portfolio: DataFrame | None, keys=ALL_CUSTOMERS,
@@ -65,38 +70,44 @@ def travel_windows(panel: DataFrame, portfolio: DataFrame | None, keys=ALL_CUSTO
     return out.join(F.broadcast(ratio), "month")
 
 
-def travel_states(windows: DataFrame, rule: dict[str, Column]) -> DataFrame:
-    adjusted = F.when(rule["portfolio_adjust"] == 1, F.coalesce("portfolio_ratio", F.lit(1.0))).otherwise(F.lit(1.0))
-    return (windows.filter(F.col("month_idx") >= 6)
-            .withColumn("expected_3m", F.col("prior_3m") * adjusted)
-            .withColumn("in_state", (F.col("prior_3m") >= rule["travel_min_base"])
-                        & (F.col("cur_3m") < (1 - rule["travel_drop_pct"]) * F.col("expected_3m"))))
+def expected_travel(rule: dict[str, Column]) -> Column:
+    ratio = F.when(rule["portfolio_adjust"] == 1, F.coalesce("portfolio_ratio", F.lit(1.0))).otherwise(F.lit(1.0))
+    return F.col("prior_3m") * ratio
 
 
-def travel_drop(panel: DataFrame, portfolio: DataFrame, rules: TriggerRules = TriggerRules()) -> DataFrame:
-    rule = rule_columns(rules)
-    fires = _fire(travel_states(travel_windows(panel, portfolio), rule), ALL_CUSTOMERS, rule["cooldown_months"])
-    return fires.select(
-        "customer_id", "month", F.lit("travel_drop").alias("trigger_name"),
-        F.col("prior_3m").alias("baseline_value"), F.col("cur_3m").alias("current_value"),
-        (F.col("expected_3m") - F.col("cur_3m")).alias("spend_at_stake"))
+def travel_state(rule: dict[str, Column]) -> Column:
+    return ((F.col("month_idx") >= 6) & (F.col("prior_3m") >= rule["travel_min_base"])
+            & (F.col("cur_3m") < (1 - rule["travel_drop_pct"]) * expected_travel(rule)))
+
+
+def _candidate(trigger: str, state: Column, *rest: Column) -> Column:
+    return F.struct(F.lit(trigger).alias("trigger_name"), state.alias("in_state"), *rest)
+
+
+def _valued(trigger: str, state: Column, baseline: Column, current: Column, stake: Column) -> Column:
+    return _candidate(trigger, state, baseline.alias("baseline_value"), current.alias("current_value"),
+                      stake.alias("spend_at_stake"))
+
+
+def _travel_candidate(rule):
+    return _valued("travel_drop", travel_state(rule), F.col("prior_3m"), F.col("cur_3m"),
+                   expected_travel(rule) - F.col("cur_3m"))
 
 
 # --- first travel ----------------------------------------------------------
 
-def first_travel_rows(panel: DataFrame) -> DataFrame:
-    """The row of each customer's first month with travel, found by a window instead of a self join."""
+def first_travel_window(panel: DataFrame) -> DataFrame:
+    """Position of each customer's first month with travel, found by a window instead of a self join."""
     everything = Window.partitionBy("customer_id")
-    first = F.min(F.when(F.col("travel_txns") > 0, F.col("month_idx"))).over(everything)
-    return panel.withColumn("first_idx", first).filter(F.col("month_idx") == F.col("first_idx"))
+    return panel.withColumn("first_idx", F.min(F.when(F.col("travel_txns") > 0, F.col("month_idx"))).over(everything))
 
 
-def first_travel(panel: DataFrame, rules: TriggerRules = TriggerRules()) -> DataFrame:
-    return (first_travel_rows(panel)
-            .filter(F.col("first_idx") > rules.first_travel_min_history)
-            .select("customer_id", "month", F.lit("first_travel").alias("trigger_name"),
-                    F.lit(0.0).alias("baseline_value"), F.col("travel_spend").alias("current_value"),
-                    F.col("travel_spend").alias("spend_at_stake")))
+def first_travel_state(rule: dict[str, Column]) -> Column:
+    return (F.col("month_idx") == F.col("first_idx")) & (F.col("first_idx") > rule["first_travel_min_history"])
+
+
+def _first_candidate(rule):
+    return _valued("first_travel", first_travel_state(rule), F.lit(0.0), F.col("travel_spend"), F.col("travel_spend"))
 
 
 # --- dining cooling --------------------------------------------------------
@@ -119,41 +130,60 @@ def dining_windows(panel: DataFrame, portfolio: DataFrame | None, keys=ALL_CUSTO
             .withColumn("base_port_spend", F.lag("port_spend", 2).over(history)))
 
 
-def dining_states(windows: DataFrame, rule: dict[str, Column]) -> DataFrame:
+def dining_state(rule: dict[str, Column]) -> Column:
     adjust = rule["portfolio_adjust"] == 1
 
     def pick(share, count):
         return F.when(adjust, F.col(share)).otherwise(F.col(count).cast("double"))
 
     now, one, two = pick("share_txns", "dining_txns"), pick("share_1", "txns_1"), pick("share_2", "txns_2")
-    return (windows.filter(F.col("month_idx") >= 3)
-            .withColumn("in_state", (now < one) & (one < two)
-                        & (F.col("txns_2") >= rule["dining_min_base"])
-                        & (now <= (1 - rule["dining_min_drop"]) * two))
-            .withColumn("spend_scale", F.when(adjust, F.col("port_spend")).otherwise(F.lit(1.0)))
-            .withColumn("base_scale", F.when(adjust, F.col("base_port_spend")).otherwise(F.lit(1.0))))
+    return ((F.col("month_idx") >= 3) & (now < one) & (one < two) & (F.col("txns_2") >= rule["dining_min_base"])
+            & (now <= (1 - rule["dining_min_drop"]) * two))
+
+
+def _dining_candidate(rule):
+    adjust = rule["portfolio_adjust"] == 1
+    scale = F.when(adjust, F.col("port_spend")).otherwise(F.lit(1.0))
+    base_scale = F.when(adjust, F.col("base_port_spend")).otherwise(F.lit(1.0))
+    expected = C.ratio(F.col("base_spend") * scale, base_scale)
+    return _valued("dining_cooling", dining_state(rule), F.col("txns_2").cast("double"),
+                   F.col("dining_txns").cast("double"), F.greatest(expected - F.col("dining_spend"), F.lit(0.0)))
+
+
+# --- all -------------------------------------------------------------------
+
+def _events(windows: DataFrame, rule: dict[str, Column], *candidates: Column) -> DataFrame:
+    rows = _candidates(windows, ("customer_id", "month", "month_idx"), candidates)
+    return _fire(rows, ("customer_id", "trigger_name"), rule["cooldown_months"]).select(*EVENT_COLUMNS)
+
+
+def travel_drop(panel: DataFrame, portfolio: DataFrame, rules: TriggerRules = TriggerRules()) -> DataFrame:
+    rule = rule_columns(rules)
+    return _events(travel_windows(panel, portfolio), rule, _travel_candidate(rule))
+
+
+def first_travel(panel: DataFrame, rules: TriggerRules = TriggerRules()) -> DataFrame:
+    rule = rule_columns(rules)
+    return _events(first_travel_window(panel), rule, _first_candidate(rule))
 
 
 def dining_cooling(panel: DataFrame, portfolio: DataFrame, rules: TriggerRules = TriggerRules()) -> DataFrame:
     rule = rule_columns(rules)
-    fires = _fire(dining_states(dining_windows(panel, portfolio), rule), ALL_CUSTOMERS, rule["cooldown_months"])
-    expected = C.ratio(F.col("base_spend") * F.col("spend_scale"), "base_scale")
-    return fires.select(
-        "customer_id", "month", F.lit("dining_cooling").alias("trigger_name"),
-        F.col("txns_2").cast("double").alias("baseline_value"),
-        F.col("dining_txns").cast("double").alias("current_value"),
-        F.greatest(expected - F.col("dining_spend"), F.lit(0.0)).alias("spend_at_stake"))
+    return _events(dining_windows(panel, portfolio), rule, _dining_candidate(rule))
 
 
-# --- all -------------------------------------------------------------------
+def all_windows(panel: DataFrame, portfolio: DataFrame) -> DataFrame:
+    """The windows of all three triggers over one scan and one sort of the panel."""
+    return first_travel_window(dining_windows(travel_windows(panel, portfolio), portfolio))
+
 
 def trigger_events(panel: DataFrame, rules: TriggerRules = TriggerRules(),
                    portfolio: DataFrame | None = None) -> DataFrame:
     """All fires of one rule set, unique by customer, month and trigger."""
     portfolio = portfolio_month(panel) if portfolio is None else portfolio
-    return (travel_drop(panel, portfolio, rules)
-            .unionByName(first_travel(panel, rules))
-            .unionByName(dining_cooling(panel, portfolio, rules)))
+    rule = rule_columns(rules)
+    return _events(all_windows(panel, portfolio), rule, _travel_candidate(rule), _first_candidate(rule),
+                   _dining_candidate(rule))
 
 
 def ordered(events: DataFrame) -> DataFrame:
@@ -161,16 +191,16 @@ def ordered(events: DataFrame) -> DataFrame:
     return events.orderBy("month", "trigger_name", "customer_id")
 
 
-def variant_array(trigger: str, variants=config.SENSITIVITY_VARIANTS) -> Column:
-    """Rule sets that can move ``trigger``, as an array of structs to explode after the shared windows."""
-    rows = []
-    for label, (changes, relevant) in variants.items():
-        if trigger in relevant:
-            rules = asdict(TriggerRules().override(**changes))
-            rows.append(F.struct(F.lit(label).alias("variant"), *[
-                F.lit(float(v) if isinstance(v, float) else int(v)).cast("double").alias(k)
-                for k, v in rules.items()]))
-    return F.array(*rows)
+def drop_fires(panel: DataFrame, keys, rules: TriggerRules) -> DataFrame:
+    """Unadjusted fires (keys, trigger_name) of the two drop triggers on histories ordered by month_idx."""
+    rule = rule_columns(rules.override(portfolio_adjust=0))
+    windows = dining_windows(travel_windows(panel, None, keys, "month_idx"), None, keys, "month_idx")
+    rows = _candidates(windows, (*keys, "month_idx"), (_candidate("travel_drop", travel_state(rule)),
+                                                       _candidate("dining_cooling", dining_state(rule))))
+    return _fire(rows, (*keys, "trigger_name"), rule["cooldown_months"]).select(*keys, "trigger_name")
+
+
+STATES = {"travel_drop": travel_state, "first_travel": first_travel_state, "dining_cooling": dining_state}
 
 
 def variant_fires(panel: DataFrame, portfolio: DataFrame, variants=config.SENSITIVITY_VARIANTS) -> DataFrame:
@@ -178,24 +208,12 @@ def variant_fires(panel: DataFrame, portfolio: DataFrame, variants=config.SENSIT
 
     A customer's first in-state row always fires, so ``first_fire`` marks exactly one fire per customer.
     """
-    def rule():
-        return {name: F.col(f"rule.{name}") for name in asdict(TriggerRules())}
-
-    def exploded(windows, trigger):
-        return windows.withColumn("rule", F.explode(variant_array(trigger, variants)))
-
-    keys = ("customer_id", "rule.variant")
-    travel = _fire(travel_states(exploded(travel_windows(panel, portfolio), "travel_drop"), rule()), keys,
-                   F.col("rule.cooldown_months"))
-    dining = _fire(dining_states(exploded(dining_windows(panel, portfolio), "dining_cooling"), rule()), keys,
-                   F.col("rule.cooldown_months"))
-    first = (exploded(first_travel_rows(panel), "first_travel")
-             .filter(F.col("first_idx") > F.col("rule.first_travel_min_history"))
-             .withColumn("last_state_idx", F.lit(None).cast("long")))
-
-    def shaped(df, trigger):
-        return df.select(F.col("rule.variant").alias("variant"), F.lit(trigger).alias("trigger_name"),
-                         "customer_id", "month", F.col("last_state_idx").isNull().alias("first_fire"))
-
-    return (shaped(travel, "travel_drop").unionByName(shaped(first, "first_travel"))
-            .unionByName(shaped(dining, "dining_cooling")))
+    candidates = []
+    for label, (changes, relevant) in variants.items():
+        rule = rule_columns(TriggerRules().override(**changes))
+        candidates += [_candidate(t, STATES[t](rule), F.lit(label).alias("variant"),
+                                  rule["cooldown_months"].alias("cooldown")) for t in relevant]
+    rows = _candidates(all_windows(panel, portfolio), ("customer_id", "month", "month_idx"), candidates)
+    fires = _fire(rows, ("customer_id", "variant", "trigger_name"), F.col("cooldown"))
+    return fires.select("variant", "trigger_name", "customer_id", "month",
+                        F.col("last_state_idx").isNull().alias("first_fire"))
