@@ -109,7 +109,7 @@ class TriggerRules:
         return replace(self, **changes)
 
 
-# rule variant -> (changed thresholds, triggers the change can move)
+# Rule variant -> (changed thresholds, triggers the change can move)
 SENSITIVITY_VARIANTS = {
     "Naive rule (no portfolio adjustment, no floors, no cooldown)": (
         dict(portfolio_adjust=0, travel_min_base=0.01, dining_min_base=1, dining_min_drop=0.0, cooldown_months=0),

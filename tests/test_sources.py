@@ -62,14 +62,14 @@ def test_parquet_json_and_views(spark, tmp_path):
 
 def test_full_rebuild_and_catalogue(spark, tmp_path):
     raw = adapter.raw_transactions(spark, "/root/testdata/sf0.001", "card")
-    light = Effort(resamples=5, placebo=2, ks=(2, 3), chosen_k=3, starts=1, bootstraps=1, bootstrap_starts=1,
+    light = Effort(resamples=5, placebo=2, ks=(3,), chosen_k=3, starts=1, bootstraps=1, bootstrap_starts=1,
                    mixture_starts=1, trees=3, depth=3)
     rebuild(raw, str(tmp_path), TriggerRules(dining_min_base=1), light)
     tables = catalog.load_all(spark, str(tmp_path))
     n = spark.read.parquet(f"{tmp_path}/customer_features").count()
     assert tables["features"].count() == n == tables["segment_assignments"].count()
     assert {"segment_name", "age_band", "txns_per_day_tier"} <= set(tables["features"].columns)
-    assert tables["generation_tests"].count() == 17 and tables["k_selection"].count() == 2
+    assert tables["generation_tests"].count() == 17 and tables["k_selection"].count() == 1
     assert tables["trigger_params"].first()["holdout_share"] == 0.1
     assert tables["trigger_events"].count() == tables["trigger_summary"].groupBy().sum("fires").first()[0]
     assert tables["trigger_backtest_monthly"].count() % 3 == 0
