@@ -34,12 +34,11 @@ class DigestIndex:
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
     def add(self, digests: DataFrame, batch: str) -> DataFrame:
-        """Append the unseen digests of a batch (columns doc_id, digest); of equal ones the smallest id is kept.
+        """Append the unseen ones of a batch's distinct digests (columns digest, keep_id).
 
         A retried batch, after a job that failed half way, adds nothing twice: what got in is found by the anti-join.
         """
-        first = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id")).withColumn("batch", F.lit(batch))
-        unseen = first.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        unseen = digests.withColumn("batch", F.lit(batch)).join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         self._append(stage(unseen, "digest-new"))   # a table can't be read while it is appended to
         return self.table()
 
@@ -59,13 +58,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", carry: tu
     """
     rows = stage(docs.select(*carry, F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"),
                              F.monotonically_increasing_id().alias("_row")), "digest-rows")
-    in_batch = rows.groupBy("digest").agg(
-        F.count("*").alias("group_size"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first"))
-    index.add(rows.select("doc_id", "digest"), batch)
-    known = index.table().hint("merge")
-    groups = stage(in_batch.join(known, "digest").select(
-        "digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("_first._row")).alias("_stays")), "digest-groups")
+    id_last = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
+    in_batch = stage(rows.groupBy("digest").agg(      # a stage, or the anti-join would be planned before the aggregation
+        F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"),
+        F.min_by("_row", F.struct(id_last, F.col("doc_id"), F.col("_row"))).alias("_first")), "digest-batch")
+    known = index.add(in_batch.select("digest", "keep_id"), batch).hint("merge")
+    groups = stage(in_batch.drop("keep_id").join(known, "digest").select(
+        "digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("_first")).alias("_stays")), "digest-groups")
     joined = rows.join(groups.hint("merge"), "digest")
     return joined.select(*carry, "keep_id", "group_size", F.coalesce(F.col("_row") == F.col("_stays"), F.lit(False)).alias("kept"),
                          F.lower(F.hex("digest")).alias("text_sha256"))
