@@ -1,11 +1,19 @@
 """Named queries of the corpus operators and the SQL that checks them, where SQL can express them."""
-from . import exact_dedup, sharding
+from . import exact_dedup, line_dedup, mixing, packing, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_packing": packing.op2_packing,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 SQL = {
+    "op5_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op9_mixing": mixing.SQL,
 }
