@@ -1,5 +1,6 @@
 """Named queries of the corpus operators and the SQL that checks them, where SQL can express them."""
-from . import exact_dedup, line_dedup, mixing, packing, quality_rules, sharding, simhash, token_counts
+from . import (exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
+               token_counts)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -8,8 +9,10 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_html_text": html_text.op7_html_text,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 SQL = {
