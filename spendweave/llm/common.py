@@ -41,15 +41,26 @@ def stages_written(spark: SparkSession) -> int:
     return len(_written.get(spark.sparkContext.applicationId, []))
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete this session's stage files from number ``since`` on. Frames that still read them can't be used then."""
     paths = _written.get(spark.sparkContext.applicationId, [])
-    for path in paths[since:]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(spark, paths[since:])
     del paths[since:]
 
 
+def release_all_but(spark: SparkSession, since: int) -> None:
+    """As ``release``, but for the stage written last."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    _delete(spark, paths[since:-1])
+    del paths[since:-1]
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs outside the fixed white space; empty for null or blank text."""
     inner = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}|{SPACES}$", "")

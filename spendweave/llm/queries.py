@@ -2,7 +2,15 @@
 from . import (exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
                token_counts)
 
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_token_counts": token_counts.op3_token_counts,
