@@ -16,6 +16,7 @@ BUCKETS = 1 << 14
 FACTORS = 6
 TRAIN_ROWS = 10_000     # bound of the labelled sample that the model is fitted on
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.08, 2e-5
+LEAST_STEPS = 600       # mini-batches; a small sample is read more often
 UPPER, DIGITS, SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>"
 STATISTICS = ("log_words", "log_chars", "chars_per_word", "distinct_share", "top_word_share", "upper_share", "digit_share", "symbol_share",
               "exclamations", "bars", "stops", "commas", "lines_per_word", "repeated_lines", "wide_share", "longest_word", "stated_chars")
@@ -85,7 +86,7 @@ class FactorisationMachine:
         model.mean, model.spread = table.mean(axis=0), table.std(axis=0) + 1e-6
         model.v = rng.normal(0, 0.05, (width, FACTORS))
         seen_w, seen_v, seen_b = np.full(width, 1e-3), np.full((width, FACTORS), 1e-3), 1e-3
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(found) // BATCH)))):
             order = rng.permutation(len(found))
             for at in range(0, len(order), BATCH):
                 chosen = order[at:at + BATCH]

@@ -82,9 +82,8 @@ def certified_cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = D
     counted = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *rejected)
     cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cutoff).alias("cutoff"), F.col(f"k{i}").alias("k"))
                       for i, (rule, cutoff) in enumerate(tests)])
-    strata = F.count("*").over(W.partitionBy())
-    each = counted.select("stratum", "n", (F.lit(delta) / (strata * len(tests))).alias("level"), F.explode(cells).alias("t")).select(
-        "stratum", "n", "level", "t.*")
+    level = F.lit(delta) / (F.count("*").over(W.partitionBy()) * len(tests))      # before the cells are spread out: one row a stratum
+    each = counted.withColumn("level", level).select("stratum", "n", "level", F.inline(cells))
     proven = each.where(binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= F.col("level"))
     return proven.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
 
