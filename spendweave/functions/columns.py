@@ -36,12 +36,15 @@ def growth(current, previous) -> Column:
 
 
 def clip01(c) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _col(c)))
+    """Between 0 and 1; NULL stays NULL, which ``greatest`` and ``least`` alone would skip."""
+    value = _col(c)
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def headroom(share, benchmark) -> Column:
-    """1 at no spend in the category, 0 at or above the benchmark share."""
-    return clip01(1 - ratio(share, benchmark))
+    """1 at no spend in the category, 0 at or above the benchmark share, also where the benchmark is zero."""
+    share, benchmark = _col(share), _col(benchmark)
+    return F.when(share >= benchmark, F.lit(0.0)).when(benchmark > 0, clip01(1 - share / benchmark))
 
 
 def coalesce0(c, kind: str = "double") -> Column:

@@ -67,7 +67,7 @@ def bucket_table(features: DataFrame, cuts: tuple[int | None, int | None]) -> Da
 def summary(features: DataFrame) -> DataFrame:
     """Customers, mean and exact median per generation and metric."""
     rows = stats.stack_metrics(features, METRICS, ["generation"])
-    medians = exact_quantiles(rows, ["generation", "metric"], "value", [0.5], broadcast=True)
+    medians = exact_quantiles(rows, ["generation", "metric"], "value", [0.5])
     means = rows.groupBy("generation", "metric").agg(
         F.count("*").alias("n_customers"), F.avg("value").alias("mean"))
     return (means.join(F.broadcast(medians), ["generation", "metric"])
@@ -158,6 +158,12 @@ def band_mix(banded: DataFrame) -> DataFrame:
     return (banded.groupBy("generation").pivot("age_band", list(config.AGE_BANDS)).count().na.fill(0))
 
 
+def band_definitions(banded: DataFrame) -> DataFrame:
+    """First and last birth year and size of each age band."""
+    return banded.groupBy("age_band").agg(F.min("birth_year").alias("first_birth_year"), F.max("birth_year").alias("last_birth_year"),
+                                          F.count("*").alias("customers"), F.avg("late_night_share").alias("late_night_share"))
+
+
 def artifact_summary(tests: DataFrame, cuts: tuple[int | None, int | None]) -> DataFrame:
     """Do generation effects survive inside an age band? One row."""
     return tests.filter(F.col("test") == "Kruskal-Wallis").agg(

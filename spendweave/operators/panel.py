@@ -14,8 +14,7 @@ PANEL_COLUMNS = ("customer_id", "month", "month_idx", "txns", "spend", "travel_s
 def month_facts(transactions: DataFrame) -> DataFrame:
     """Everything later steps need per customer and month, in one pass.
 
-    The only full shuffle of transactions in the feature path. It combines map side, so a customer that holds a large
-    part of all rows sends at most one row per month and task.
+    Combines map side, so a customer that holds a large part of all rows sends at most one row per month and task.
     """
     def spend(condition):
         return C.coalesce0(C.money_sum(F.when(condition, F.col("amt"))))
@@ -38,9 +37,9 @@ def month_facts(transactions: DataFrame) -> DataFrame:
     )
 
 
-def months_present(transactions: DataFrame) -> DataFrame:
-    """Calendar months that occur in the data: at most twelve rows a year, whatever the volume."""
-    return transactions.select("month").distinct()
+def months_present(facts: DataFrame) -> DataFrame:
+    """Calendar months that occur in the data (month facts, or transactions): twelve rows a year at most."""
+    return facts.select("month").distinct()
 
 
 def fill_months(facts: DataFrame, months: DataFrame) -> DataFrame:

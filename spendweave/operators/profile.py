@@ -52,7 +52,7 @@ def clean_totals(transactions: DataFrame) -> DataFrame:
 def categories(transactions: DataFrame) -> DataFrame:
     sums = transactions.groupBy("category", "category_group", "channel").agg(
         F.count("*").alias("txns"), C.money_sum("amt").alias("spend"))
-    medians = exact_quantiles(transactions, ["category"], "amt", [0.5], broadcast=True)
+    medians = exact_quantiles(transactions, ["category"], "amt", [0.5])
     return (sums.withColumn("spend_share", share_of_total(F.col("spend"), exact=False))
             .withColumn("avg_ticket", F.col("spend") / F.col("txns"))
             .join(F.broadcast(medians), "category")
@@ -80,7 +80,7 @@ def stacked(features: DataFrame, measures: dict[str, str], *keys: str) -> DataFr
 
 def feature_quantiles(features: DataFrame, measures=None) -> DataFrame:
     rows = stacked(features, measures or FEATURE_MEASURES)
-    quantiles = exact_quantiles(rows, ["measure"], "value", [0.25, 0.5, 0.75], broadcast=True)
+    quantiles = exact_quantiles(rows, ["measure"], "value", [0.25, 0.5, 0.75])
     rest = rows.groupBy("measure").agg(
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"))
     return rest.join(F.broadcast(quantiles), "measure").select(
@@ -92,7 +92,7 @@ def generations(features: DataFrame) -> DataFrame:
     counts = features.groupBy("generation").agg(
         F.count("*").alias("customers"), F.min("birth_year").alias("first_birth_year"),
         F.max("birth_year").alias("last_birth_year"))
-    medians = exact_quantiles(features, ["generation"], "monthly_spend", [0.5], broadcast=True)
+    medians = exact_quantiles(features, ["generation"], "monthly_spend", [0.5])
     return (counts.withColumn("share", share_of_total(F.col("customers")))
             .join(F.broadcast(medians), "generation")
             .withColumnRenamed(quantile_name(0.5), "median_monthly_spend"))
@@ -129,7 +129,7 @@ def ticket_bands(transactions: DataFrame, category: str = "travel") -> DataFrame
 def describe(features: DataFrame, columns) -> DataFrame:
     """Mean, deviation, extremes and exact median of the given columns."""
     rows = stacked(features, {c: c for c in columns})
-    medians = exact_quantiles(rows, ["measure"], "value", [0.5], broadcast=True)
+    medians = exact_quantiles(rows, ["measure"], "value", [0.5])
     rest = rows.groupBy("measure").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))

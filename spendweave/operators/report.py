@@ -50,7 +50,7 @@ def live_months(monthly: DataFrame) -> DataFrame:
 
 def category_groups(transactions: DataFrame) -> DataFrame:
     sums = transactions.groupBy("category_group").agg(F.count("*").alias("txns"), C.money_sum("amt").alias("s"))
-    medians = exact_quantiles(transactions, ["category_group"], "amt", [0.5], broadcast=True)
+    medians = exact_quantiles(transactions, ["category_group"], "amt", [0.5])
     total = C.money(F.sum("s").over(Window.partitionBy()))
     return (sums.withColumn("pct_of_spend", F.round(100 * F.col("s") / total, 1))
             .join(F.broadcast(medians), "category_group")
@@ -107,7 +107,7 @@ CHART_COLUMNS = {
     "generation_mix": ("segment_name", *(f"gen_{g}" for g in config.GENERATIONS)),
     "targeting": ("benefit_label", "rank", "segment_name", "n_customers", "engagement", "headroom", "value", "score",
                   "category_share_of_wallet", "category_monthly_spend"),
-    "k_selection": ("k", "inertia", "silhouette", "bootstrap_ari_mean", "bootstrap_ari_p05", "gmm_bic",
+    "k_selection": ("k", "inertia", "silhouette_squared", "bootstrap_ari_mean", "bootstrap_ari_p05", "gmm_bic",
                     "gmm_vs_kmeans_ari", "inertia_drop_pct"),
     "placebo": ("trigger_name", "actual_fires", "placebo_fires_mean", "placebo_fires_min", "placebo_fires_max",
                 "actual_to_placebo_ratio"),

@@ -1,21 +1,26 @@
-"""Fitted segments: scaling, K-means, mixture, stability, projection and the artifact classifier.
+"""Fitted segments.
 
-Fits run on Spark ML. Replicates are drawn by weights from a hash of the customer id, so a retried task draws the same
-sample; predictions of many models are added as columns of one frame and scored in one pass.
+Inputs: logged and scaled customer columns as one vector. Fits: many K-means fits at once (every start, every resample, every
+number of segments), mixtures and principal components by Spark ML. Scoring: labels, coordinates, and how well demographics
+alone predict a segment. Draws come from hashes of the customer id, so a retried task repeats them.
 """
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -24,8 +29,7 @@ from . import segments, stats
 
 SEED = 42
 FOLDS = 5
-# an iterative fit starts one round of tasks per step, so a small table is kept in few partitions
-ROWS_PER_TASK = 50_000
+CONCURRENT_FITS = 6        # independent Spark ML fits that are submitted at a time
 
 
 # --- matrix ----------------------------------------------------------------
@@ -43,53 +47,195 @@ def scaled_columns(features: DataFrame, columns=config.CLUSTER_COLUMNS) -> DataF
         ((e - moments[f"mean_{c}"]) / (moments[f"sd_{c}"] or 1.0)).alias(c) for c, e in logged.items()])
 
 
-def _compact(df: DataFrame, rows: int) -> DataFrame:
-    """Persist in as few partitions as the rows fill; a large table keeps its partitions."""
-    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def prepare_matrix(features: DataFrame, columns=config.CLUSTER_COLUMNS) -> DataFrame:
-    """(customer_id, x): the scaled columns as one vector, kept in memory for the iterative fits."""
+    """(customer_id, x): the scaled columns as one vector, kept for the iterative fits. ``unpersist`` it afterwards."""
     assembler = VectorAssembler(inputCols=list(columns), outputCol="x")
     matrix = assembler.transform(scaled_columns(features, columns)).select("customer_id", "x")
-    return _compact(matrix, features.count())
+    return matrix.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # --- K-means ---------------------------------------------------------------
 
-def fit_kmeans(matrix: DataFrame, k: int, n_init: int = 10, seed: int = SEED, weight: str | None = None):
-    """The best of ``n_init`` starts by training cost. A fit ends when no centre moves by more than 0.01 deviations."""
-    best = None
-    for start in range(n_init):
-        estimator = KMeans(k=k, seed=seed + start, featuresCol="x", predictionCol="cluster", maxIter=300, tol=1e-2)
-        model = (estimator.setWeightCol(weight) if weight else estimator).fit(matrix)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+@dataclass(frozen=True)
+class Fit:
+    """One K-means run: ``resample`` is None for all customers as they are, else the number of a bootstrap resample."""
+    k: int
+    start: int
+    resample: int | None = None
+
+
+@dataclass
+class Centres:
+    fit: Fit
+    centres: np.ndarray
+    cost: float = math.inf
+    sizes: np.ndarray | None = None
+    settled: bool = False
+
+    def transform(self, matrix: DataFrame, label: str = "cluster") -> DataFrame:
+        """Add the number of the nearest centre (the first of equal ones)."""
+        point = vector_to_array("x")
+        distances = F.array(*[F.aggregate(F.zip_with(point, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)),
+                                          F.lit(0.0), lambda s, v: s + v) for c in self.centres])
+        return matrix.withColumn(label, (F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
+
+
+def poisson_weight(resample: Column, seed: int = SEED) -> Column:
+    """How often a customer is drawn in a resample: Poisson(1) by inversion of a hashed uniform, to the last count that one of
+    the 2^32 uniforms reaches."""
+    u = (C.hash32(F.lit(seed), resample, "customer_id") + F.lit(0.5)) / F.lit(2.0 ** 32)
+    cumulative, bounds = 0.0, []
+    while cumulative < 1 - 2.0 ** -33:
+        cumulative += math.exp(-1) / math.factorial(len(bounds))
+        bounds.append(F.lit(cumulative))
+    return F.size(F.filter(F.array(*bounds), lambda b: b <= u)).cast("int")
+
+
+def fit_points(matrix: DataFrame, resamples: int = 0, seed: int = SEED) -> DataFrame:
+    """(customer_id, x, w): points as arrays with the customer's weight in every resample, kept for the fits."""
+    weights = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: poisson_weight(r, seed)) if resamples else F.array().cast("array<int>")
+    return (matrix.select("customer_id", vector_to_array("x").alias("x"), weights.alias("w")).persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if batch.num_rows:
+            n = batch.num_rows
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            yield batch.column("customer_id").to_pylist(), x, w
+
+
+def _weight_of(fit: Fit, w: np.ndarray) -> np.ndarray:
+    return np.ones(len(w)) if fit.resample is None else w[:, fit.resample]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distance = np.maximum(0, (x ** 2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(axis=1))
+    label = distance.argmin(axis=1)
+    return label, distance[np.arange(len(x)), label]
+
+
+def _more_centres(points: DataFrame, found: list[Centres], seed: int) -> None:
+    """One more starting centre for every fit, drawn with a chance in proportion to weight times squared distance from those
+    it has (k-means++): each customer draws a hashed waiting time, the shortest wins. One pass for all fits."""
+    def race(batches):
+        best = {}
+        for ids, x, w in _blocks(batches):
+            for i, f in enumerate(found):
+                chance = _weight_of(f.fit, w) * (_nearest(x, f.centres)[1] if len(f.centres) else 1.0)
+                able = np.flatnonzero(chance > 0)
+                if not len(able):
+                    continue
+                tag = f"{seed}|{f.fit}|{len(f.centres)}|"
+                hashed = [int.from_bytes(md5(f"{tag}{ids[j]}".encode()).digest()[:6], "big") for j in able]
+                waits = -np.log((np.array(hashed) + 0.5) / 2 ** 48) / chance[able]
+                first = int(np.argmin(waits))
+                if i not in best or waits[first] < best[i][0]:
+                    best[i] = (float(waits[first]), x[able[first]].tolist())
+        rows = sorted(best.items())
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b[0] for _, b in rows], pa.float64()),
+                                          pa.array([b[1] for _, b in rows], pa.list_(pa.float64()))], names=["i", "wait", "x"])
+
+    winners = points.mapInArrow(race, "i int, wait double, x array<double>").groupBy("i").agg(F.min_by("x", "wait").alias("x")).collect()
+    for r in winners:
+        f = found[r["i"]]
+        f.centres = np.vstack([f.centres, r["x"]])
+
+
+def _one_step(points: DataFrame, moving: list[Centres]) -> None:
+    """Labels and new means for all fits in one pass. A row for each fit, cluster and task is shuffled, the means come to the driver."""
+    def sums(batches):
+        total = None
+        for _, x, w in _blocks(batches):
+            if total is None:
+                total = [np.zeros((len(f.centres), x.shape[1] + 2)) for f in moving]
+            for f, t in zip(moving, total):
+                weight = _weight_of(f.fit, w)
+                label, distance = _nearest(x, f.centres)
+                member = (label[None, :] == np.arange(len(f.centres))[:, None]) * weight
+                t[:, 0] += member.sum(axis=1)
+                t[:, 1] += member @ distance
+                t[:, 2:] += member @ x
+        rows = [(i, c, v.tolist()) for i, t in enumerate(total or []) for c, v in enumerate(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                                          pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["i", "c", "s"])
+
+    width = moving[0].centres.shape[1] + 2
+    added = points.mapInArrow(sums, "i int, c int, s array<double>").groupBy("i", "c").agg(
+        *[F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(width)]).collect()
+    by_fit = {}
+    for r in added:
+        by_fit.setdefault(r["i"], {})[r["c"]] = np.array(r[2:], float)
+    for i, f in enumerate(moving):
+        table = np.array([by_fit[i][c] for c in range(len(f.centres))])
+        f.cost, f.sizes = float(table[:, 1].sum()), table[:, 0]
+        means = np.where(table[:, :1] > 0, table[:, 2:] / np.maximum(table[:, :1], 1e-300), f.centres)
+        f.settled = float(((means - f.centres) ** 2).sum(axis=1).max()) <= 1e-4 ** 2
+        if not f.settled:
+            f.centres = means
+
+
+def fit_all(points: DataFrame, fits: list[Fit], seed: int = SEED, max_steps: int = 300) -> list[Centres]:
+    """All fits together: each step is one pass over the customers, whatever the number of fits. A fit ends when no centre
+    moves by more than 1e-4 deviations."""
+    d = len(points.first()["x"])
+    found = [Centres(f, np.zeros((0, d))) for f in fits]
+    while more := [f for f in found if len(f.centres) < f.fit.k]:
+        before = [len(f.centres) for f in more]
+        _more_centres(points, more, seed)
+        for f, had in zip(more, before):
+            if len(f.centres) == had:           # fewer different points than centres: repeat one
+                f.centres = np.vstack([f.centres, f.centres[-1] if had else np.zeros(d)])
+    for _ in range(max_steps):
+        moving = [f for f in found if not f.settled]
+        if not moving:
+            break
+        _one_step(points, moving)
+    return found
+
+
+def best_of(found: list[Centres]) -> dict[tuple[int, int | None], Centres]:
+    """The cheapest start for each (k, resample)."""
+    best: dict[tuple[int, int | None], Centres] = {}
+    for f in found:
+        key = (f.fit.k, f.fit.resample)
+        if key not in best or f.cost < best[key].cost:
+            best[key] = f
     return best
 
 
-def poisson_weight(replicate: int, seed: int = SEED):
-    """How often a customer is drawn in a bootstrap replicate: Poisson(1) by inversion of a hashed uniform."""
-    u = (C.hash32(F.lit(seed), F.lit(replicate), "customer_id") + F.lit(0.5)) / F.lit(2.0 ** 32)
-    steps, cumulative = [], 0.0
-    for count in range(9):
-        cumulative += math.exp(-1) / math.factorial(count)
-        steps.append((cumulative, float(count)))
-    out = F.when(u < steps[0][0], steps[0][1])
-    for bound, count in steps[1:]:
-        out = out.when(u < bound, count)
-    return out.otherwise(9.0)
+def fit_kmeans(matrix: DataFrame, k: int, n_init: int = 10, seed: int = SEED) -> Centres:
+    """The best of ``n_init`` starts by the sum of squared distances."""
+    points = fit_points(matrix)
+    found = fit_all(points, [Fit(k, s) for s in range(n_init)], seed)
+    points.unpersist()
+    return best_of(found)[k, None]
+
+
+def resample_agreement(points: DataFrame, reference: Centres, resampled: list[Centres]) -> DataFrame:
+    """(rep, ari): everybody is labelled by the reference and by each resample's centres; pairs of labels are counted in tasks."""
+    def pairs(batches):
+        total: dict[tuple[int, int, int], int] = {}
+        for _, x, _ in _blocks(batches):
+            own = _nearest(x, reference.centres)[0]
+            for f in resampled:
+                code, times = np.unique(own * len(f.centres) + _nearest(x, f.centres)[0], return_counts=True)
+                for v, t in zip(code.tolist(), times.tolist()):
+                    key = (f.fit.resample, *divmod(v, len(f.centres)))
+                    total[key] = total.get(key, 0) + t
+        rows = [(*key, t) for key, t in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))],
+                                         names=["rep", "a", "b", "c"])
 
+    return stats.adjusted_rand(points.mapInArrow(pairs, "rep int, a int, b int, c long"), "a", "b", ("rep",), "c")
 
-def bootstrap_ari(matrix: DataFrame, reference, k: int, n_boot: int = 100, n_init: int = 5) -> DataFrame:
-    """(rep, ari): refit on resampled customers, label everybody, compare with the full-data labels."""
-    labelled = reference.transform(matrix).withColumnRenamed("cluster", "reference")
-    for rep in range(n_boot):
-        sample = matrix.withColumn("w", poisson_weight(rep)).filter(F.col("w") > 0)
-        model = fit_kmeans(sample, k, n_init, seed=rep, weight="w")
-        labelled = model.setPredictionCol(f"rep_{rep}").transform(labelled)
-    pairs = F.array(*[F.struct(F.lit(r).alias("rep"), F.col(f"rep_{r}").alias("label")) for r in range(n_boot)])
-    return stats.adjusted_rand(labelled.select("reference", F.inline(pairs)), "reference", "label", ("rep",))
+
+def bootstrap_ari(matrix: DataFrame, reference: Centres, k: int, n_boot: int = 100, n_init: int = 5, seed: int = SEED) -> DataFrame:
+    """Refit on ``n_boot`` resamples, each with ``n_init`` starts, and compare the labels of all customers with the reference."""
+    points = fit_points(matrix, n_boot, seed)
+    best = best_of(fit_all(points, [Fit(k, s, r) for r in range(n_boot) for s in range(n_init)], seed))
+    return resample_agreement(points, reference, [best[k, r] for r in range(n_boot)])
 
 
 def stability(ari: DataFrame) -> DataFrame:
@@ -98,11 +244,19 @@ def stability(ari: DataFrame) -> DataFrame:
 
 # --- mixture ---------------------------------------------------------------
 
+def fit_mixtures(matrix: DataFrame, ks, n_init: int = 3, seed: int = SEED) -> dict:
+    """The most likely of ``n_init`` full-covariance mixtures for each k; the fits run side by side."""
+    def fit(job):
+        k, start = job
+        return GaussianMixture(k=k, seed=seed + start, featuresCol="x", predictionCol="component", maxIter=100).fit(matrix)
+    jobs = [(k, s) for k in ks for s in range(n_init)]
+    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        models = list(pool.map(fit, jobs))
+    return {k: max((m for (j, _), m in zip(jobs, models) if j == k), key=lambda m: m.summary.logLikelihood) for k in ks}
+
+
 def fit_mixture(matrix: DataFrame, k: int, n_init: int = 3, seed: int = SEED):
-    """The most likely of ``n_init`` full-covariance mixtures."""
-    fits = [GaussianMixture(k=k, seed=seed + s, featuresCol="x", predictionCol="component", maxIter=100).fit(matrix)
-            for s in range(n_init)]
-    return max(fits, key=lambda m: m.summary.logLikelihood)
+    return fit_mixtures(matrix, [k], n_init, seed)[k]
 
 
 def mixture_bic(model, n: int, k: int, d: int) -> float:
@@ -117,56 +271,26 @@ def silhouette(labelled: DataFrame, label: str = "cluster") -> float:
     return ClusteringEvaluator(featuresCol="x", predictionCol=label).evaluate(labelled)
 
 
-def silhouette_euclidean(labelled: DataFrame, label: str = "cluster", max_rows: int = 20_000) -> float:
-    """Silhouette on plain distances. It has to see every pair, so it accepts ``max_rows`` rows and refuses more.
-
-    The points are sent to all tasks (checked size); each task compares its own rows with them and returns one number
-    per row.
-    """
-    n = labelled.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows: plain-distance silhouette compares all pairs, use silhouette() above {max_rows}")
-    points = labelled.select(vector_to_array("x").alias("x"), F.col(label).alias("label")).toPandas()
-    sent = labelled.sparkSession.sparkContext.broadcast(
-        (np.vstack(points["x"].to_numpy()), points["label"].to_numpy()))
-
-    @F.pandas_udf("double")
-    def score(x: pd.Series, own: pd.Series) -> pd.Series:
-        data, labels = sent.value
-        kinds = np.unique(labels)
-        sizes = {k: (labels == k).sum() for k in kinds}
-        out = []
-        for row, mine in zip(x, own):
-            distance = np.sqrt(((data - np.asarray(row)) ** 2).sum(axis=1))
-            total = {k: distance[labels == k].sum() for k in kinds}
-            if sizes[mine] == 1:
-                out.append(0.0)
-                continue
-            a = total[mine] / (sizes[mine] - 1)
-            b = min(total[k] / sizes[k] for k in kinds if k != mine)
-            out.append((b - a) / max(a, b))
-        return pd.Series(out)
-
-    return labelled.agg(F.avg(score(vector_to_array("x"), F.col(label)))).first()[0]
-
-
-K_TABLE = ("k int, inertia double, silhouette double, bootstrap_ari_mean double, bootstrap_ari_p05 double, "
+# Names of the result columns.
+K_TABLE = ("k int, inertia double, silhouette_squared double, bootstrap_ari_mean double, bootstrap_ari_p05 double, "
            "smallest_segment long, gmm_bic double, gmm_vs_kmeans_ari double")
 
 
 def select_k(matrix: DataFrame, ks=config.K_RANGE, n_init: int = 10, n_boot: int = 100, boot_init: int = 5,
              mixture_init: int = 3) -> DataFrame:
-    """One row of fit and stability measures per k."""
+    """One row of fit and stability measures per k. All K-means fits of all k are one batch."""
     n, d = matrix.count(), len(matrix.first()["x"])
-    rows = []
+    points = fit_points(matrix, n_boot)
+    fits = [Fit(k, s) for k in ks for s in range(n_init)] + [Fit(k, s, r) for k in ks for r in range(n_boot) for s in range(boot_init)]
+    best = best_of(fit_all(points, fits))
+    mixtures, rows = fit_mixtures(matrix, ks, mixture_init), []
     for k in ks:
-        model = fit_kmeans(matrix, k, n_init)
-        labelled = model.transform(matrix)
-        mixture = fit_mixture(matrix, k, mixture_init)
-        agree = stats.adjusted_rand(mixture.transform(labelled), "cluster", "component").first()["ari"]
-        steady = stability(bootstrap_ari(matrix, model, k, n_boot, boot_init)).first()
-        rows.append((k, float(model.summary.trainingCost), float(silhouette(labelled)), steady[0], steady[1],
-                     int(min(model.summary.clusterSizes)), mixture_bic(mixture, n, k, d), agree))
+        model, labelled = best[k, None], best[k, None].transform(matrix)
+        agree = stats.adjusted_rand(mixtures[k].transform(labelled), "cluster", "component").first()["ari"]
+        steady = stability(resample_agreement(points, model, [best[k, r] for r in range(n_boot)])).first()
+        rows.append((k, model.cost, float(silhouette(labelled)), steady[0], steady[1], int(model.sizes.min()),
+                     mixture_bic(mixtures[k], n, k, d), agree))
+    points.unpersist()
     table = matrix.sparkSession.createDataFrame(rows, K_TABLE)
     previous = F.lag("inertia").over(Window.orderBy("k"))
     return table.withColumn("inertia_drop_pct", 1 - F.col("inertia") / previous)
@@ -217,6 +341,7 @@ def stratified_folds(df: DataFrame, stratum: str, folds: int = FOLDS, seed: int
 
 def attribute_associations(labelled: DataFrame, label: str) -> DataFrame:
     """Cramer's V of the segment with the five attributes it was not built from."""
+    # fixed values: names of the attributes in the result
     attributes = {"generation": "generation", "inferred_age_band": "age_band", "gender": "gender",
                   "city_size_band": "city_size_band", "transactions_per_day_tier": "txns_per_day_tier"}
     # every attribute has a handful of values, so their combinations are counted once
@@ -234,25 +359,31 @@ def predictor_columns(labelled: DataFrame) -> DataFrame:
             .withColumn("log_city_pop", F.log10("city_pop")))
 
 
+DEEPEST = 30       # the largest depth that Spark ML allows
+
+
 def forest_accuracy(labelled: DataFrame, label: str = "segment_id", extra: tuple[str, ...] = (), trees: int = 300,
-                    depth: int = 12, seed: int = SEED) -> float:
+                    depth: int = DEEPEST, seed: int = SEED) -> float:
     """Mean cross-validated accuracy of predicting the segment from demographics (and ``extra`` columns)."""
     inputs = [*PREDICTORS, *extra]
     vectors = VectorAssembler(inputCols=inputs, outputCol="v").transform(
         stratified_folds(predictor_columns(labelled), label))
-    data = _compact(vectors.select("v", "fold", (F.col(label) - 1).cast("double").alias("y")), labelled.count())
-    hits = []
-    for fold in range(FOLDS):
+    data = vectors.select("v", "fold", (F.col(label) - 1).cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def hit_rate(fold):
         forest = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=depth,
                                         minInstancesPerNode=5, seed=seed)
         model = forest.fit(data.filter(F.col("fold") != fold))
         right = (F.col("prediction") == F.col("y")).cast("int")
-        hits.append(model.transform(data.filter(F.col("fold") == fold)).agg(F.avg(right)).first()[0])
+        return model.transform(data.filter(F.col("fold") == fold)).agg(F.avg(right)).first()[0]
+
+    with ThreadPoolExecutor(FOLDS) as pool:
+        hits = list(pool.map(hit_rate, range(FOLDS)))
     data.unpersist()
     return sum(hits) / len(hits)
 
 
-def artifact_check(labelled: DataFrame, label: str = "segment_id", trees: int = 300, depth: int = 12) -> DataFrame:
+def artifact_check(labelled: DataFrame, label: str = "segment_id", trees: int = 300, depth: int = DEEPEST) -> DataFrame:
     """How much of the segments demographics alone explain, as one row."""
     demographics = forest_accuracy(labelled, label, (), trees, depth)
     with_tier = forest_accuracy(labelled, label, ("txns_per_day_tier",), trees, depth)

@@ -62,7 +62,7 @@ def _top(labelled_values, n: int):
 def profile(features: DataFrame, key: str = "segment_id", name: str | None = None) -> DataFrame:
     """One row per segment. ``name`` keeps given names; without it names follow the rules."""
     sums = _with_means(_segment_sums(features, key))
-    ages = exact_quantiles(features, [key], "age_at_end", [0.5], broadcast=True)
+    ages = exact_quantiles(features, [key], "age_at_end", [0.5])
     labels = [(c, config.GROUP_LABELS[c.removeprefix("share_")]) for c in config.SHARE_COLUMNS]
     top = _top([(F.col(c), F.lit(text)) for c, text in labels], 3)
     over = _top([(C.ratio(c, f"all_{c}"), F.format_string("%s (%.1fx)", F.lit(text), C.ratio(c, f"all_{c}")))

@@ -2,33 +2,30 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import columns as C
 from ..functions.session import width
-from .quantiles import exact_quantiles, quantile_name
 
+# rows of a value range; the number of ranges follows the table
 ROWS_PER_BUCKET = 5_000_000
-MAX_BUCKETS = 256
-# resample draws up to this many rows; larger samples use the order statistics of the same distribution
-RESAMPLE_BUDGET = 50_000_000
-RESAMPLE_ROWS = 250_000
 
 
 # --- ranks without a global sort -------------------------------------------
 
 def range_splits(df: DataFrame, columns, rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, list[float]]:
-    """Approximate split points per column, at most ``MAX_BUCKETS - 1`` doubles each.
+    """Approximate split points per column, one for each ``rows_per_bucket`` rows.
 
     They only balance the work: ranks come out the same for any splits. Empty lists while the table is small.
     """
     n = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+    buckets = math.ceil(n / rows_per_bucket)
     if buckets <= 1:
         return {c: [] for c in columns}
     probs = [i / buckets for i in range(1, buckets)]
@@ -36,11 +33,12 @@ def range_splits(df: DataFrame, columns, rows_per_bucket: int = ROWS_PER_BUCKET)
     return {c: sorted(set(row[c])) for c in columns}
 
 
-def bucket_of(value: Column, splits: list[float]) -> Column:
-    """Number of splits at or below the value, by binary search."""
+def bucket_of(value: Column, splits: list[float], wide: int = 32) -> Column:
+    """Number of splits at or below the value, by binary search over blocks of splits."""
     def search(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
+        if hi - lo <= wide:
+            part = F.array(*[F.lit(float(s)) for s in splits[lo:hi]]).cast("array<double>")
+            return F.lit(lo) + F.size(F.filter(part, lambda s: s <= value)) if hi > lo else F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(value < splits[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
     return search(0, len(splits))
@@ -123,11 +121,11 @@ def holm(tests: DataFrame, p: str = "p_value", out: str = "p_holm") -> DataFrame
             .drop("_step"))
 
 
-def adjusted_rand(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adjusted Rand index of two labelings, from their contingency counts."""
+def adjusted_rand(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Adjusted Rand index of two labelings, from their contingency counts. ``weight``: count column of counted pairs."""
     def pairs_of(x):
         return F.col(x).cast("double") * (F.col(x).cast("double") - 1) / 2
-    cells = pairs.groupBy(*keys, a, b).agg(F.count("*").alias("c"))
+    cells = pairs.groupBy(*keys, a, b).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
     marked = (cells.withColumn("ra", F.sum("c").over(Window.partitionBy(*keys, a)))
               .withColumn("rb", F.sum("c").over(Window.partitionBy(*keys, b)))
               .withColumn("first_a", F.row_number().over(Window.partitionBy(*keys, a).orderBy(b)) == 1)
@@ -143,58 +141,99 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...] = ())
 
 # --- resampling ------------------------------------------------------------
 
-def median_ci(df: DataFrame, metrics, group: str, order: str, n_boot: int = config.N_RESAMPLES, seed: int = 42,
-              budget: int = RESAMPLE_BUDGET) -> DataFrame:
-    """95% bootstrap interval of the median per group and metric.
+def numbered(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Add the place (from 0) within the keys in the order of a numeric column, ties in any order.
 
-    All metrics of a group share the same resampled rows. Above ``budget`` drawn rows or a sample of
-    :data:`RESAMPLE_ROWS` the interval is read from the
-    order statistics at n/2 -+ 1.96 sqrt(n)/2, which is where the bootstrap percentiles of a median settle.
+    Rows are numbered inside value ranges and lifted by the rows of the lower ranges.
     """
-    sizes = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()}  # one row per group
-    if sum(sizes.values()) > RESAMPLE_ROWS or sum(sizes.values()) * n_boot > budget:
-        return _order_statistic_ci(df, metrics, group, sizes)
-    # the sample is bounded by RESAMPLE_ROWS, so every task can hold it
-    sample = df.select(group, order, *metrics).toPandas().sort_values(order)
-    sent = df.sparkSession.sparkContext.broadcast({
-        name: {m: (np.argsort(part[m].to_numpy(), kind="stable"), np.sort(part[m].to_numpy(float))) for m in metrics}
-        for name, part in sample.groupby(group)})
-
-    def resampled_medians(drawn: pd.DataFrame) -> pd.DataFrame:
-        name, n = drawn[group].iloc[0], len(drawn)
-        times = np.bincount(drawn["idx"], minlength=n)          # how often each customer was drawn
-        row = {group: name, "rep": drawn["rep"].iloc[0]}
-        for metric, (by_value, values) in sent.value[name].items():
-            upto = np.cumsum(times[by_value])
-            low, high = np.searchsorted(upto, [(n - 1) // 2, n // 2], side="right")
-            row[metric] = (values[low] + values[high]) / 2
-        return pd.DataFrame([row])
-
+    splits = range_splits(df, [order])[order]
+    ranged = df.withColumn("_b", bucket_of(F.col(order).cast("double"), splits))
+    lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).select(
+        *keys, "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order))
+    return (ranged.join(offsets, [*keys, "_b"]).withColumn(out, F.col("_before") + place - 1).drop("_b", "_before"))
+
+
+def bootstrap_draws(sizes: DataFrame, group: str, n_boot: int, seed: int) -> DataFrame:
+    """(group, rep, idx, c): how often the customer at a place was drawn. Draws are hashes of (seed, replicate, draw)."""
+    every = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     # a fixed number of partitions: the few replicate rows would be coalesced before they grow into draws
-    parts = width(df.sparkSession)
-    draws = (df.groupBy(group).agg(F.count("*").alias("n"))
-             .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-             .repartition(parts, group, "rep")
-             .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-             .select(group, "rep", (C.hash32(F.lit(seed), "rep", "draw") % F.col("n")).alias("idx")))
-    fields = ", ".join(f"{m} double" for m in metrics)
-    medians = draws.groupBy(group, "rep").applyInPandas(resampled_medians, f"{group} string, rep int, {fields}")
-    bounds = medians.groupBy(group).agg(*[F.percentile(m, [0.025, 0.975]).alias(m) for m in metrics])
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.get(m, F.lit(0)).alias("median_ci_low"),
-                              F.get(m, F.lit(1)).alias("median_ci_high")) for m in metrics])
-    return bounds.select(group, F.inline(rows))
-
-
-def _order_statistic_ci(df, metrics, group, sizes) -> DataFrame:
-    def at(n, sign):
-        return min(1.0, max(0.0, round(0.5 + sign * config.Z_ALPHA / (2 * math.sqrt(n)), 4)))
-    rows = stack_metrics(df, metrics, [group])
-    wanted = sorted({at(n, s) for n in sizes.values() for s in (-1, 1)})
-    found = exact_quantiles(rows, [group, "metric"], "value", wanted, broadcast=True)
-
-    def pick(sign):
-        out = F.lit(None).cast("double")
-        for name, n in sizes.items():
-            out = F.when(F.col(group) == name, F.col(quantile_name(at(n, sign)))).otherwise(out)
-        return out
-    return found.select(group, "metric", pick(-1).alias("median_ci_low"), pick(1).alias("median_ci_high"))
+    draws = (every.repartition(width(sizes.sparkSession), group, "rep")
+             .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))))
+    return (draws.select(group, "n", "rep", (C.hash32(F.lit(seed), "rep", "draw") % F.col("n")).alias("idx"))
+            .groupBy(group, "n", "rep", "idx").agg(F.count("*").alias("c")))
+
+
+# places on either side of the middle that are counted one by one, in square roots of the sample: the median of a resample
+# lies outside with a probability below 1e-50, and the step stops with an error if one does
+MIDDLE = 8.0
+
+
+def _middle_places(batches: Iterator[pa.RecordBatch], group: str, n_metrics: int) -> Iterator[pa.RecordBatch]:
+    """Places of the lower and the upper middle of every replicate and metric, from its draws in a stream sorted by replicate.
+
+    Holds counts of the places around the middle, about 16 sqrt(n) for each metric, and one sum for those below.
+    """
+    now, n, start, counts, below = None, 0, 0, None, None
+
+    def result():
+        upto = below[:, None] + np.cumsum(counts, axis=1)
+        ends = []
+        for rank in ((n - 1) // 2, n // 2):
+            at = (upto <= rank).sum(axis=1)
+            if (below > rank).any() or (at == counts.shape[1]).any():
+                raise ArithmeticError(f"the median of a resample of {n} lies outside the counted places")
+            ends.append(start + at)
+        return pa.RecordBatch.from_arrays([pa.array([now[0]] * n_metrics, pa.string()), pa.array([now[1]] * n_metrics, pa.int32()), pa.array(range(n_metrics), pa.int32()),
+                                           *[pa.array(e, pa.int64()) for e in ends]], names=[group, "rep", "m", "low", "high"])
+
+    for batch in batches:
+        names, reps = batch.column(group).to_pylist(), batch.column("rep").to_numpy(zero_copy_only=False)
+        sizes, times = batch.column("n").to_numpy(zero_copy_only=False), batch.column("c").to_numpy(zero_copy_only=False)
+        places = batch.column("places").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_metrics)
+        changes = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1] or reps[i] != reps[i - 1]], len(names)]
+        for first, last in zip(changes, changes[1:]):
+            if first == last:
+                continue
+            if (names[first], int(reps[first])) != now:
+                if now:
+                    yield result()
+                now, n = (names[first], int(reps[first])), int(sizes[first])
+                reach = math.ceil(MIDDLE * math.sqrt(n))
+                start = max(0, n // 2 - reach)
+                counts, below = np.zeros((n_metrics, min(n, n // 2 + reach + 1) - start), np.int64), np.zeros(n_metrics, np.int64)
+            at, weight = places[first:last] - start, times[first:last]
+            below += ((at < 0) * weight[:, None]).sum(axis=0)
+            row, metric = np.nonzero((at >= 0) & (at < counts.shape[1]))
+            flat = np.bincount(metric * counts.shape[1] + at[row, metric], weight[row], counts.size)
+            counts += flat.astype(np.int64).reshape(counts.shape)
+    if now:
+        yield result()
+
+
+def median_ci(df: DataFrame, metrics, group: str, order: str, n_boot: int = config.N_RESAMPLES, seed: int = 42) -> DataFrame:
+    """95% bootstrap interval of the median per group and metric. All metrics of a group share the same resampled rows.
+
+    Every metric gives each customer a place in its group. A replicate's draws are counted by customer, joined with the places and
+    read as a sorted stream that holds about sqrt(n) counts. One method for every size, and the same result for any partitioning.
+    """
+    metrics = list(metrics)
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    people = numbered(df.select(group, order, *metrics), [group], order, "idx")
+    values = people.select(group, "idx", F.inline(F.array(*[F.struct(
+        F.lit(i).alias("m"), F.col(name).cast("double").alias("value")) for i, name in enumerate(metrics)])))
+    placed = numbered(values, [group, "m"], "value", "pos")
+    by_metric = F.sort_array(F.collect_list(F.struct("m", "pos")))
+    places = placed.groupBy(group, "idx").agg(F.transform(by_metric, lambda p: p["pos"]).alias("places"))
+    drawn = (bootstrap_draws(sizes, group, n_boot, seed).join(places, [group, "idx"])
+             .select(F.col(group).cast("string").alias(group), "n", "rep", "c", "places"))
+    sorted_draws = drawn.repartition(width(df.sparkSession), group, "rep").sortWithinPartitions(group, "rep")
+    middles = sorted_draws.mapInArrow(lambda batches: _middle_places(batches, group, len(metrics)),
+                                      f"{group} string, rep int, m int, low long, high long")
+    ends = middles.select(group, "rep", "m", F.explode(F.array("low", "high")).alias("pos"))
+    medians = (ends.join(placed.select(group, "m", "pos", "value"), [group, "m", "pos"])
+               .groupBy(group, "m", "rep").agg(F.avg("value").alias("median")))
+    bounds = medians.groupBy(group, "m").agg(F.percentile("median", [0.025, 0.975]).alias("q"))
+    name = F.get(F.array(*[F.lit(m) for m in metrics]), F.col("m"))
+    return bounds.select(group, name.alias("metric"), F.get("q", F.lit(0)).alias("median_ci_low"), F.get("q", F.lit(1)).alias("median_ci_high"))

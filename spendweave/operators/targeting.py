@@ -24,7 +24,7 @@ def score_segments(customers: DataFrame) -> DataFrame:
                              F.inline(options))
             .withColumn("share", C.ratio("category_spend", "monthly_spend")))
     q = config.HEADROOM_QUANTILE
-    benchmark = (exact_quantiles(rows, ["benefit"], "share", [q], broadcast=True)
+    benchmark = (exact_quantiles(rows, ["benefit"], "share", [q])
                  .withColumnRenamed(quantile_name(q), "benchmark"))
     scored = rows.join(F.broadcast(benchmark), "benefit").withColumn("room", C.headroom("share", "benchmark"))
     means = scored.groupBy("benefit", "benefit_label", "segment_name").agg(

@@ -27,7 +27,7 @@ class Effort:
     bootstrap_starts: int = 5
     mixture_starts: int = 3
     trees: int = 300
-    depth: int = 12
+    depth: int = segmentation.DEEPEST
 
 
 def rebuild(raw: DataFrame, out: str, rules: TriggerRules = TriggerRules(), effort: Effort = Effort()) -> None:
@@ -37,58 +37,74 @@ def rebuild(raw: DataFrame, out: str, rules: TriggerRules = TriggerRules(), effo
     quality.require_clean(quality.report(features, bench.transactions, bench.customers))
     files.write_parquet(features, f"{out}/{catalog.FEATURES}")
 
-    cuts = generations.cut_values(features)
-    banded = generations.with_buckets(features, cuts)
-    tests = generations.test_battery(banded)
+    banded, tests = bench.banded, bench.test_battery
     catalog.save_csv(generations.summary_with_ci(features, effort.resamples), out, "generation_summary")
     catalog.save_csv(tests.orderBy(F.desc("effect_size")), out, "generation_tests")
-    catalog.save_csv(generations.bucket_table(features, cuts), out, "customer_generator_buckets")
-    files.write_json(generations.artifact_summary(tests, cuts), f"{out}/artifact_check")
+    catalog.save_csv(generations.bucket_table(features, bench.cuts), out, "customer_generator_buckets")
+    catalog.save_csv(generations.band_mix(banded), out, "generation_band_mix")
+    catalog.save_csv(generations.band_definitions(banded), out, "age_band_definitions")
+    files.write_json(generations.artifact_summary(tests, bench.cuts), f"{out}/artifact_check")
 
-    labels = _segment(banded, out, effort)
+    labels, profiles = _segment(bench, out, effort)
     scored = features.join(labels.select("customer_id", "segment_name"), "customer_id")
-    catalog.save_csv(targeting.score_segments(scored).orderBy("benefit", "rank"), out, "targeting_scores")
-    _backtest(bench.customer_month, labels, out, rules, effort)
+    scores = stages.keep_rows(targeting.score_segments(scored), "scores")
+    catalog.save_csv(scores.orderBy("benefit", "rank"), out, "targeting_scores")
+    _backtest(bench.customer_month, labels, profiles, scores, out, rules, effort)
+    for stage in (labels, profiles, scores):
+        stages.forget(stage)
     bench.release()
 
 
-def _segment(banded: DataFrame, out: str, effort: Effort) -> DataFrame:
-    matrix = segmentation.prepare_matrix(banded)
+def _segment(bench: Workbench, out: str, effort: Effort) -> tuple[DataFrame, DataFrame]:
+    """Labels (with the shown name and the name by rule) and profiles, both as stages."""
+    matrix = bench.matrix
     table = segmentation.select_k(matrix, effort.ks, effort.starts, effort.bootstraps, effort.bootstrap_starts,
                                   effort.mixture_starts)
     catalog.save_csv(table, out, "k_selection")
     model = segmentation.fit_kmeans(matrix, effort.chosen_k, effort.starts)
-    segmented = stages.keep(segmentation.segment_features(banded, matrix, model), "segmented", "customer_id")
-    profiles = segments.unique_names(segments.profile(segmented))
-    quality.require_unique_names(profiles)
+    segmented = stages.keep(segmentation.segment_features(bench.banded, matrix, model), "segmented", "customer_id")
+    by_rule = segments.profile(segmented)
+    profiles = stages.keep_rows(segments.unique_names(by_rule), "profiles")
     coordinates, explained = segmentation.project(matrix)
-    labels = stages.keep(segmentation.assignments(segmented, profiles, coordinates), "labels", "customer_id")
+    rule_names = F.broadcast(by_rule.select("segment_id", F.col("segment_name").alias("rule_name")))      # a row per segment
+    assigned = segmentation.assignments(segmented, profiles, coordinates)
+    labels = stages.keep(assigned.join(rule_names, "segment_id"), "labels", "customer_id")
     catalog.save_csv(profiles.orderBy("segment_id"), out, "segment_profiles")
-    catalog.save_csv(labels, out, "segment_assignments")
+    catalog.save_csv(labels.drop("rule_name"), out, "segment_assignments")
+    catalog.save_csv(segmentation.attribute_associations(segmented, "segment_id"), out, "attribute_associations")
     check = segmentation.artifact_check(segmented, "segment_id", effort.trees, effort.depth)
+    repeated = by_rule.groupBy("segment_name").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
     files.write_json(check.withColumn("pca_variance_explained", F.array(*[F.lit(v) for v in explained]))
+                     .withColumn("segments_sharing_a_name", F.lit(repeated if repeated > 1 else 0))
                      .withColumn("chosen_k", F.lit(effort.chosen_k)), f"{out}/generator_check")
-    matrix.unpersist()
-    return labels
+    stages.forget(segmented)
+    return labels, profiles
 
 
-def _backtest(panel: DataFrame, labels: DataFrame, out: str, rules: TriggerRules, effort: Effort) -> None:
+def _backtest(panel: DataFrame, labels: DataFrame, profiles: DataFrame, scores: DataFrame, out: str,
+              rules: TriggerRules, effort: Effort) -> None:
     events = stages.keep(triggers.trigger_events(panel, rules), "events", "customer_id")
     unadjusted = triggers.trigger_events(panel, rules.override(portfolio_adjust=0))
+    by_rule = labels.select("customer_id", F.col("rule_name").alias("segment_name"))     # shown names may carry a number
+    summary, holdout = backtest.summary(events, panel), backtest.holdout_design(events, panel)
+    fired = backtest.by_segment(events, labels)
     results = {
         "trigger_events": triggers.ordered(events),
         "trigger_backtest_monthly": backtest.monthly(events, panel).orderBy("month", "trigger_name"),
         "trigger_backtest_monthly_unadjusted": backtest.monthly(unadjusted, panel).orderBy("month", "trigger_name"),
-        "trigger_summary": backtest.summary(events, panel),
+        "trigger_summary": summary,
         "trigger_overlap": backtest.overlap(events),
         "trigger_placebo_test": backtest.placebo(panel, rules, effort.placebo),
-        "trigger_follow_up": backtest.follow_up_with_segment(events, panel, labels, config.SEGMENT_NAMES["travel"][1]),
-        "trigger_holdout_design": backtest.holdout_design(events, panel),
-        "trigger_by_segment": backtest.by_segment(events, labels),
+        "trigger_follow_up": backtest.follow_up_with_segment(events, panel, by_rule, config.SEGMENT_NAMES["travel"][1]),
+        "trigger_holdout_design": holdout,
+        "trigger_by_segment": fired,
         "trigger_sensitivity": backtest.sensitivity(panel),
+        "segment_plays": targeting.segment_plays(profiles, scores, fired),
+        "trigger_plays": targeting.trigger_plays(summary, holdout, rules),
     }
     for name, table in results.items():
         catalog.save_csv(table, out, name)
     params = {**asdict(rules), "holdout_share": config.HOLDOUT_SHARE}
     files.write_json(panel.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in params.items()]),
                      f"{out}/trigger_params")
+    stages.forget(events)

@@ -1,31 +1,22 @@
 """Durable stage tables.
 
 A stage that many results read is written once and read back. That cuts the lineage (plans stay short, a lost executor
-costs nothing but the running tasks), keeps column pruning, and gives the planner real sizes to choose joins by.
+costs nothing but the running tasks), keeps column pruning, and gives the planner real sizes to choose joins by. Stages are
+managed tables of the session's warehouse, so all executors reach them and dropping a table removes its files.
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..functions.session import width
 
-_scratch: dict[str, str] = {}
+PREFIX = "spendweave_"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a private one only for a local session that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        _scratch[app] = "file:" + tempfile.mkdtemp(prefix="spendweave-")
-    return _scratch[app]
+def _name(name: str) -> str:
+    return f"{PREFIX}{name}_{uuid.uuid4().hex[:12]}"
 
 
 def keep(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -34,19 +25,23 @@ def keep(df: DataFrame, name: str, key: str) -> DataFrame:
     Windows, groupings and joins on the key then start from co-located data and need no exchange. One file per bucket:
     rows are hashed to the buckets before writing. The number of buckets follows the session's shuffle partitions.
     """
-    spark = df.sparkSession
+    spark, table = df.sparkSession, _name(name)
     buckets = width(spark)
-    table = f"spendweave_{name}_{uuid.uuid4().hex[:12]}"
     (df.repartition(buckets, key).write.mode("errorifexists").format("parquet")
-     .bucketBy(buckets, key).sortBy(key)
-     .option("path", f"{shared_folder(spark)}/{table}")
-     .saveAsTable(table))
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
     return spark.table(table)
 
 
+def keep_rows(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage as its tasks produce it, without an exchange."""
+    table = _name(name)
+    df.write.mode("errorifexists").format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def forget(df: DataFrame) -> None:
-    """Drop the catalog entry of a stage. The files belong to the shared folder and its clean-up."""
+    """Drop a stage and its files."""
     for name in df.inputFiles()[:1]:
-        table = next((p for p in name.split("/") if p.startswith("spendweave_")), None)
+        table = next((p for p in name.split("/") if p.startswith(PREFIX)), None)
         if table:
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")

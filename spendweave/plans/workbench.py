@@ -4,8 +4,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import features, panel, quantiles, transactions
+from .. import config
+from ..operators import features, generations, panel, quantiles, segmentation, transactions
 from ..sources import adapter
 from . import stages
 
@@ -13,30 +15,38 @@ from . import stages
 class Workbench:
     """Feature stages on top of a raw transaction table.
 
-    The panel and the feature table feed most results, so both are written as stage tables. With ``durable=False``
-    everything stays lazy, which suits a single result on small data.
+    The source is read once, into a typed stage; all else reads that stage or what is made of it. Month facts are written
+    before the panel is filled, so calendar months and the last day come from them. With ``durable=False`` everything stays
+    lazy, which suits a single result on small data.
     """
 
     def __init__(self, raw: DataFrame, durable: bool = True):
-        self.raw = raw
+        self.source = raw
         self.durable = durable
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return stages.keep(df, name, "customer_id") if self.durable else df
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        return stages.keep_rows(self.source, "raw") if self.durable else self.source
+
     @cached_property
     def transactions(self) -> DataFrame:
         return transactions.clean(self.raw)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._keep(panel.month_facts(self.transactions), "facts")
+
     @cached_property
     def customers(self) -> DataFrame:
-        return transactions.customers(self.raw, transactions.last_date(self.transactions))
+        return transactions.customers(self.raw, self.facts.agg(F.max("last_txn_date").alias("data_end")))
 
     @cached_property
     def month_facts(self) -> DataFrame:
         """The zero-filled panel with every month fact."""
-        facts = panel.month_facts(self.transactions)
-        return self._keep(panel.fill_months(facts, panel.months_present(self.transactions)), "panel")
+        return self._keep(panel.fill_months(self.facts, panel.months_present(self.facts)), "panel")
 
     @cached_property
     def customer_month(self) -> DataFrame:
@@ -53,10 +63,36 @@ class Workbench:
         table = features.customer_features(self.customers, self.month_facts, self.customer_quarter, medians)
         return self._keep(table, "features")
 
+    @cached_property
+    def cuts(self) -> tuple[int | None, int | None]:
+        """The two age-band cuts, found once."""
+        return generations.cut_values(self.customer_features)
+
+    @cached_property
+    def banded(self) -> DataFrame:
+        return generations.with_buckets(self.customer_features, self.cuts)
+
+    @cached_property
+    def test_battery(self) -> DataFrame:
+        """The generation tests: a row for each metric and test, kept because several results read it."""
+        battery = generations.test_battery(self.banded)
+        return stages.keep_rows(battery, "battery") if self.durable else battery
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        return segmentation.prepare_matrix(self.customer_features)
+
+    @cached_property
+    def kmeans(self) -> segmentation.Centres:
+        """The segments' centres: the best of ten starts, fitted once."""
+        return segmentation.fit_kmeans(self.matrix, config.CHOSEN_K)
+
     def release(self) -> None:
-        for stage in ("month_facts", "customer_features"):
+        for stage in ("raw", "facts", "month_facts", "customer_features", "test_battery"):
             if stage in self.__dict__ and self.durable:
                 stages.forget(self.__dict__[stage])
+        if "matrix" in self.__dict__:
+            self.__dict__["matrix"].unpersist()
 
 
 _benches: dict[tuple, Workbench] = {}

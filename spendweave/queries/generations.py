@@ -8,16 +8,17 @@ from ..operators import stats
 from ..plans.workbench import bench_for
 from .features import rounded
 
-N_BOOT = 200
-
 
 def _features(spark, sf):
     return bench_for(spark, sf, "card").customer_features
 
 
 def _banded(spark, sf):
-    features = _features(spark, sf)
-    return G.with_buckets(features, G.cut_values(features))
+    return bench_for(spark, sf, "card").banded
+
+
+def _battery(spark, sf):
+    return bench_for(spark, sf, "card").test_battery
 
 
 def age_band_cuts(spark, sf):
@@ -25,8 +26,8 @@ def age_band_cuts(spark, sf):
 
 
 def customer_buckets(spark, sf):
-    features = _features(spark, sf)
-    return G.bucket_table(features, G.cut_values(features))
+    bench = bench_for(spark, sf, "card")
+    return G.bucket_table(bench.customer_features, bench.cuts)
 
 
 def generation_summary(spark, sf):
@@ -34,7 +35,7 @@ def generation_summary(spark, sf):
 
 
 def generation_median_ci(spark, sf):
-    out = stats.median_ci(_features(spark, sf), G.METRICS, "generation", "customer_id", N_BOOT)
+    out = stats.median_ci(_features(spark, sf), G.METRICS, "generation", "customer_id")
     return rounded(out, "median_ci_low", "median_ci_high")
 
 
@@ -51,7 +52,7 @@ def cramers_v(spark, sf):
 
 
 def generation_tests(spark, sf):
-    return rounded(G.test_battery(_banded(spark, sf)), "statistic", "p_value", "effect_size", "effect_by_age_band",
+    return rounded(_battery(spark, sf), "statistic", "p_value", "effect_size", "effect_by_age_band",
                    "effect_within_age_band", "p_holm")
 
 
@@ -62,9 +63,7 @@ def holm(spark, sf):
 
 
 def artifact_summary(spark, sf):
-    features = _features(spark, sf)
-    cuts = G.cut_values(features)
-    out = G.artifact_summary(G.test_battery(G.with_buckets(features, cuts)), cuts)
+    out = G.artifact_summary(_battery(spark, sf), bench_for(spark, sf, "card").cuts)
     return rounded(out, "median_effect_by_generation", "median_effect_by_age_band", "median_effect_within_age_band",
                    "max_effect_within_age_band")
 
@@ -74,8 +73,7 @@ def generation_band_mix(spark, sf):
 
 
 def generation_insight_inputs(spark, sf):
-    banded = _banded(spark, sf)
-    out = G.insight_inputs(G.summary(banded), G.test_battery(banded))
+    out = G.insight_inputs(G.summary(_banded(spark, sf)), _battery(spark, sf))
     return out.select("metric", *[F.round(c, 6).alias(c) for c in out.columns if c != "metric"])
 
 

@@ -1,6 +1,8 @@
-"""Fitted segments at card grain. Replicate counts are kept small here; the operators take the full ones."""
+"""Fitted segments at card grain, with full numbers of starts, resamples and trees."""
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -10,28 +12,26 @@ from ..sources import adapter
 from .features import rounded
 from .segments import round_doubles
 
-N_INIT, N_BOOT, TREES, DEPTH = 2, 2, 20, 8
-
 
 def _features(spark, sf):
     return bench_for(spark, sf, "card").customer_features
 
 
 def _matrix(spark, sf):
-    return segmentation.prepare_matrix(_features(spark, sf))
+    return bench_for(spark, sf, "card").matrix
+
+
+def _model(spark, sf):
+    return bench_for(spark, sf, "card").kmeans
 
 
 def _segmented(spark, sf):
-    matrix = _matrix(spark, sf)
-    model = segmentation.fit_kmeans(matrix, config.CHOSEN_K, N_INIT)
-    return matrix, segmentation.segment_features(_features(spark, sf), matrix, model)
+    return segmentation.segment_features(_features(spark, sf), _matrix(spark, sf), _model(spark, sf))
 
 
 def _labelled(spark, sf):
     """Given labels (market segment) with bands and tiers."""
-    features = _features(spark, sf)
-    banded = generations.with_buckets(features, generations.cut_values(features))
-    return banded.join(adapter.market_segments(spark, sf, "card"), "customer_id")
+    return bench_for(spark, sf, "card").banded.join(adapter.market_segments(spark, sf, "card"), "customer_id")
 
 
 def cluster_matrix(spark, sf):
@@ -59,36 +59,49 @@ def classifier_inputs(spark, sf):
 
 
 def kmeans_segments(spark, sf):
-    _, segmented = _segmented(spark, sf)
-    return segmented.select("customer_id", "segment_id")
+    return _segmented(spark, sf).select("customer_id", "segment_id")
 
 
 def kmeans_profile(spark, sf):
-    _, segmented = _segmented(spark, sf)
-    return round_doubles(segments.unique_names(segments.profile(segmented)))
+    return round_doubles(segments.unique_names(segments.profile(_segmented(spark, sf))))
+
+
+def kmeans_check(spark, sf):
+    """What every K-means result has to fulfil, one row per cluster: each customer is nearest to its own centre, a centre is the
+    mean of its members, sizes add up to all customers."""
+    model = _model(spark, sf)
+    labelled = model.transform(_matrix(spark, sf)).select("cluster", vector_to_array("x").alias("x"))
+    rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.centres)]
+    centres = F.broadcast(spark.createDataFrame(rows, "centre int, at array<double>"))       # a row for each segment
+    distance = F.sqrt(F.aggregate(F.zip_with("x", "at", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    near = labelled.join(centres, F.col("cluster") == F.col("centre"))
+    columns = [F.avg(F.get("x", F.lit(i))) - F.first(F.get("at", F.lit(i))) for i in range(len(config.CLUSTER_COLUMNS))]
+    off = F.aggregate(F.array(*columns), F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v)))
+    per_cluster = near.groupBy("cluster").agg(F.count("*").alias("customers"), off.alias("off"), F.max(distance).alias("radius"))
+    everyone = F.sum("customers").over(Window.partitionBy())
+    return per_cluster.select(F.col("cluster").cast("long").alias("cluster"), (F.col("off") < 1e-3).alias("centre_is_mean"),
+                              (F.col("customers") > 0).alias("has_members"), everyone.alias("all_customers"))
 
 
 def segment_assignments(spark, sf):
-    matrix, segmented = _segmented(spark, sf)
-    coordinates, _ = segmentation.project(matrix)
+    segmented = _segmented(spark, sf)
+    coordinates, _ = segmentation.project(_matrix(spark, sf))
     profiles = segments.unique_names(segments.profile(segmented))
     return segmentation.assignments(segmented, profiles, coordinates)
 
 
 def bootstrap_stability(spark, sf):
-    matrix = _matrix(spark, sf)
-    model = segmentation.fit_kmeans(matrix, config.CHOSEN_K, N_INIT)
-    return segmentation.stability(segmentation.bootstrap_ari(matrix, model, config.CHOSEN_K, N_BOOT, 1))
+    return segmentation.stability(segmentation.bootstrap_ari(_matrix(spark, sf), _model(spark, sf), config.CHOSEN_K))
 
 
 def k_selection(spark, sf):
-    return segmentation.select_k(_matrix(spark, sf), config.K_RANGE, 1, 1, 1, 1)
+    return segmentation.select_k(_matrix(spark, sf))
 
 
 def gmm_bic(spark, sf):
     matrix = _matrix(spark, sf)
     n, d = matrix.count(), len(config.CLUSTER_COLUMNS)
-    model = segmentation.fit_mixture(matrix, config.CHOSEN_K, 1)
+    model = segmentation.fit_mixture(matrix, config.CHOSEN_K)
     bic = segmentation.mixture_bic(model, n, config.CHOSEN_K, d)
     return model.transform(matrix).groupBy("component").agg(F.count("*").alias("customers")).withColumn(
         "gmm_bic", F.lit(bic))
@@ -100,11 +113,10 @@ def pca_2d(spark, sf):
 
 
 def artifact_classifier(spark, sf):
-    _, segmented = _segmented(spark, sf)
-    banded = generations.with_buckets(segmented, generations.cut_values(_features(spark, sf)))
-    return segmentation.artifact_check(banded, "segment_id", TREES, DEPTH)
+    banded = generations.with_buckets(_segmented(spark, sf), bench_for(spark, sf, "card").cuts)
+    return segmentation.artifact_check(banded, "segment_id")
 
 
 QUERIES = {f.__name__: f for f in (
     cluster_matrix, stratified_folds, artifact_associations, majority_baseline, classifier_inputs, kmeans_segments,
-    kmeans_profile, segment_assignments, bootstrap_stability, k_selection, gmm_bic, pca_2d, artifact_classifier)}
+    kmeans_profile, kmeans_check, segment_assignments, bootstrap_stability, k_selection, gmm_bic, pca_2d, artifact_classifier)}

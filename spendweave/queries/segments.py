@@ -30,8 +30,7 @@ def _numbered(spark, sf):
 
 
 def _banded(spark, sf):
-    features = _labelled(spark, sf)
-    return generations.with_buckets(features, generations.cut_values(_features(spark, sf)))
+    return generations.with_buckets(_labelled(spark, sf), bench_for(spark, sf, "card").cuts)
 
 
 def segment_numbers(spark, sf):

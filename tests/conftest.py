@@ -1,79 +1,69 @@
-"""Small hand-made inputs and a shared local session."""
+"""A shared local session, and raw transactions from small spending grids."""
 from __future__ import annotations
 
-import datetime as dt
-import itertools
 import os
+import re
 import sys
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from spendweave.operators import features as FE  # noqa: E402
-from spendweave.operators import panel as P  # noqa: E402
-from spendweave.operators import quantiles as Q  # noqa: E402
-from spendweave.operators import transactions as T  # noqa: E402
+from spendweave.plans.workbench import Workbench, release_all  # noqa: E402
 from spendweave.sources.schema import RAW_TRANSACTIONS  # noqa: E402
 
-_ids = itertools.count(1)
-
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[*]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+               .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
                .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release_all()
     session.stop()
 
 
-def purchase(customer, when, category, amount, flagged=0, born="1985-06-15", gender="F", city_pop=5000):
-    """One raw row."""
-    return ("file", f"t{next(_ids)}", dt.datetime.fromisoformat(when), customer, category, float(amount), gender,
-            city_pop, dt.date.fromisoformat(born), flagged)
-
-
-def month_start(offset, start=(2019, 1)):
-    year, month = divmod(start[0] * 12 + start[1] - 1 + offset, 12)
-    return dt.date(year, month + 1, 1)
-
+def grid_cells(text):
+    """(customer, category, month offset, purchases, amount of each) from lines like ``7 travel: 300 . 2*45``.
 
-def series(customer, category, amounts, counts=None, **attributes):
-    """Purchases on the 15th of consecutive months; zero or None leaves the month out."""
-    rows = []
-    for i, amount in enumerate(amounts):
-        parts = 1 if counts is None else counts[i]
-        for j in range(parts if amount else 0):
-            day = month_start(i).replace(day=15).isoformat()
-            rows.append(purchase(customer, f"{day} 12:{j:02d}:00", category, amount / parts, **attributes))
-    return rows
+    One word a month, a dot for none, ``n*a`` for n purchases of a; ``12: word`` repeats a word twelve times.
+    """
+    for line in filter(None, map(str.strip, text.splitlines())):
+        head, _, months = line.partition(":")
+        customer, category = head.split()
+        words = re.sub(r"(\d+)\[([^\]]*)\]", lambda m: " ".join([m[2]] * int(m[1])), months).split()
+        for offset, word in enumerate(words):
+            if word != ".":
+                times, _, amount = word.rpartition("*")
+                yield int(customer), category, offset, int(times or 1), float(amount)
 
 
-def presence(customer, months, **attributes):
-    """Ten units of groceries each month, so that every month exists for the customer."""
-    return series(customer, "grocery_pos", [10] * months, **attributes)
-
-
-class Built:
-    """Stages on hand-made rows."""
+@pytest.fixture(scope="session")
+def ledger(spark):
+    """Raw transactions of a grid, expanded by Spark: a cell's purchases fall on different workdays and hours of its month."""
+    def build(text, first_month="2021-03-01"):
+        cells = spark.createDataFrame(list(grid_cells(text)), "cc_num long, category string, offset int, times int, amt double")
+        month = F.add_months(F.lit(first_month).cast("date"), F.col("offset"))
+        rows = (cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+                .withColumn("day", F.date_add(F.next_day(month, "Mon"), (F.col("i") % 5).cast("int"))))
+        return rows.select(
+            F.lit("grid").alias("source_file"), F.concat_ws("/", "cc_num", "category", "offset", "i").alias("trans_num"),
+            (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(9) + F.col("i") % 8)).alias("trans_ts"),
+            "cc_num", "category", "amt", F.lit("M").alias("gender"), F.lit(40_000).cast("long").alias("city_pop"),
+            F.lit("1972-11-02").cast("date").alias("dob"), F.lit(0).alias("is_fraud"))
+    return build
 
-    def __init__(self, spark, rows):
-        self.raw = spark.createDataFrame(rows, RAW_TRANSACTIONS)
-        self.transactions = T.clean(self.raw)
-        self.customers = T.customers(self.raw, T.last_date(self.transactions))
-        self.month_facts = P.fill_months(P.month_facts(self.transactions), P.months_present(self.transactions))
-        self.panel = self.month_facts.select(*P.PANEL_COLUMNS)
-        self.quarters = P.customer_quarter(self.panel)
 
-    def features(self):
-        medians = Q.keyed_median(self.transactions, "customer_id", "amt", "median_ticket")
-        table = FE.customer_features(self.customers, self.month_facts, self.quarters, medians)
-        return {r["customer_id"]: r for r in table.collect()}
+@pytest.fixture(scope="session")
+def raw_frame(spark):
+    return lambda rows: spark.createDataFrame(rows, RAW_TRANSACTIONS)
 
 
 @pytest.fixture(scope="session")
-def build(spark):
-    return lambda rows: Built(spark, rows)
+def bench():
+    """Lazy stages on a raw frame."""
+    return lambda raw: Workbench(raw, durable=False)

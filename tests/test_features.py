@@ -1,145 +1,167 @@
-"""Cleaning, dimension, panel, quarters and features on hand-made rows."""
+"""Features against plain pandas on random purchases, and the edges of the bands."""
+import datetime as dt
+
+import numpy as np
+import pandas as pd
 import pytest
-from conftest import presence, purchase, series
+from pyspark.sql import functions as F
 
 from spendweave import config
+from spendweave.functions import columns as C
+from spendweave.operators import panel as P
 from spendweave.operators import quality
-
-EDGES = {101: ("1945-12-31", "Silent"), 102: ("1946-01-01", "Boomers"), 103: ("1964-12-31", "Boomers"),
-         104: ("1965-01-01", "Gen X"), 105: ("1980-12-31", "Gen X"), 106: ("1981-01-01", "Millennials"),
-         107: ("1996-12-31", "Millennials"), 108: ("1997-01-01", "Gen Z")}
+from spendweave.plans import stages
+from spendweave.plans.workbench import Workbench
 
 
 @pytest.fixture(scope="module")
-def world(build):
-    """Independent cases as separate customers of one data set."""
-    rows = [purchase(c, "2019-01-15 12:00:00", "grocery_pos", 10, born=born) for c, (born, _) in EDGES.items()]
-    rows += [purchase(1, "2019-01-10 12:00:00", "grocery_pos", 100),
-             purchase(1, "2019-01-11 12:00:00", "travel", 5000, flagged=1),
-             purchase(2, "2019-01-12 12:00:00", "travel", 900, flagged=1)]
-    rows += [purchase(3, "2019-01-15 12:00:00", c, 10) for c in config.CATEGORY_TO_GROUP]
-    rows += [purchase(4, "2019-01-05 12:00:00", c, a) for c, a in
-             (("travel", 50), ("food_dining", 20), ("entertainment", 10), ("grocery_pos", 120))]
-    rows += [purchase(5, "2019-01-05 12:00:00", c, a) for c, a in
-             (("grocery_net", 30), ("shopping_pos", 70), ("travel", 1000))]
-    rows += [purchase(6, "2019-01-05 12:00:00", "travel", 10)]
-    rows += [purchase(7, w, "home", 10) for w in
-             ("2019-01-05 12:00:00", "2019-01-06 23:30:00", "2019-01-07 04:59:00", "2019-01-08 05:00:00",
-              "2019-01-09 21:59:00")]
-    rows += series(8, "home", [100] * 4) + series(9, "home", [50, 150, 50, 150])
-    rows += series(10, "home", [100] * 3 + [150] * 3 + [75] * 3)
-    rows += series(11, "home", [100] * 12 + [120] * 12)
-    rows += presence(12, 24) + series(12, "food_dining", [40] * 12 + [0] * 12)
-    rows += [purchase(12, "2019-05-05 12:00:00", "travel", 450), purchase(12, "2020-05-05 12:00:00", "travel", 20)]
-    built = build(rows)
-    built.rows = built.features()
-    return built
-
-
-def test_generation_edges(world):
-    assert {c: world.rows[c]["generation"] for c in EDGES} == {c: g for c, (_, g) in EDGES.items()}
-
-
-def test_flagged_rows_never_count(world):
-    assert world.rows[1]["total_spend"] == 100 and world.rows[1]["share_travel"] == 0
-    assert world.rows[1]["n_txns"] == 1 and 2 not in world.rows
-
-
-def test_category_map(world):
-    pairs = world.transactions.filter("customer_id = 3").select("category", "category_group").collect()
-    assert {r[0]: r[1] for r in pairs} == config.CATEGORY_TO_GROUP
-    world_counts = quality.unmapped(world.transactions).first()
-    assert world_counts["unmapped_transactions"] == 0
-
-
-def test_unknown_category_is_reported(build):
-    built = build([purchase(1, "2019-01-01 10:00:00", "bitcoin", 5)])
-    with pytest.raises(quality.QualityError, match="unmapped"):
-        quality.require_clean(quality.unmapped(built.transactions))
-
-
-def test_wallet_shares(world):
-    row = world.rows[4]
-    assert (row["share_travel"], row["share_dining_entertainment"], row["share_grocery"]) == (0.25, 0.15, 0.6)
-    assert sum(row[c] for c in config.SHARE_COLUMNS) == pytest.approx(1)
-
-
-def test_online_share(world):
-    assert world.rows[5]["online_share"] == pytest.approx(0.3)
-    assert world.rows[6]["online_share"] == 0
-
-
-def test_time_shares(world):
-    assert world.rows[7]["weekend_share"] == pytest.approx(0.4)
-    assert world.rows[7]["late_night_share"] == pytest.approx(0.4)
-
-
-def test_volatility(world):
-    assert world.rows[8]["spend_volatility"] == 0
-    assert world.rows[9]["spend_volatility"] == pytest.approx(0.57735, abs=1e-5)
-
-
-def test_quarter_over_quarter(world):
-    rows = world.quarters.filter("customer_id = 10").orderBy("quarter").collect()
-    assert [(r["spend"], r["prev_q_spend"]) for r in rows] == [(300, None), (450, 300), (225, 450)]
-    assert [r["qoq_spend_change"] for r in rows] == [None, 0.5, -0.5]
-    assert world.rows[10]["last_qoq_spend_change"] == -0.5
-    assert world.rows[10]["avg_qoq_spend_change"] == pytest.approx(0)
+def purchases():
+    """600 random purchases of 14 customers over two and a half years; every ninth is flagged."""
+    rng, n = np.random.default_rng(11), 600
+    start = np.datetime64("2020-05-01T00:00:00")
+    customer = rng.choice(np.arange(50, 64), n, p=np.array([30] + [5] * 13) / 95)
+    return pd.DataFrame({
+        "source_file": "f", "trans_num": [f"n{i}" for i in range(n)],
+        "trans_ts": start + rng.integers(0, 900 * 86_400, n).astype("timedelta64[s]"), "cc_num": customer,
+        "category": rng.choice(list(config.CATEGORY_TO_GROUP), n), "amt": np.round(rng.gamma(1.3, 60, n), 2),
+        "gender": np.where(customer % 3 == 0, "F", "M"), "city_pop": customer * 10_000, "is_fraud": (np.arange(n) % 9 == 4).astype(int),
+        "dob": [dt.date(1930 + int(c - 50) * 6, 2, 3) for c in customer]})
 
 
-def test_year_over_year(world):
-    rows = world.quarters.filter("customer_id = 11").orderBy("quarter").collect()
-    assert [r["yoy_spend_change"] for r in rows[:4]] == [None] * 4
-    assert [r["yoy_spend_change"] for r in rows[4:]] == pytest.approx([0.2] * 4)
-
-
-def test_benefit_inputs(world):
-    row = world.rows[12]
-    assert row["dining_active_month_share"] == 0.5 and row["travel_active_year_share"] == 0.5
-    assert row["monthly_dining_spend"] == pytest.approx(20)
-    assert (row["txns_travel"], row["txns_travel_100plus"]) == (2, 1)
-
-
-def test_recency_frequency_value(build):
-    row = build([purchase(1, "2019-01-10 12:00:00", "home", 100), purchase(1, "2019-03-10 12:00:00", "home", 200),
-                 purchase(1, "2019-03-20 12:00:00", "home", 300),
-                 purchase(2, "2019-03-31 12:00:00", "home", 50)]).features()[1]
-    assert (row["active_months"], row["recency_days"]) == (3, 11)
-    assert (row["monthly_txns"], row["monthly_spend"], row["avg_ticket"], row["median_ticket"]) == (1, 200, 200, 200)
-
-
-def test_gap_months_only_where_the_month_exists(build):
-    jan_mar = [purchase(1, "2019-01-10 12:00:00", "home", 100), purchase(1, "2019-03-10 12:00:00", "home", 100)]
-    with_february = build(jan_mar + [purchase(2, "2019-02-10 12:00:00", "home", 5)])
-    rows = with_february.panel.filter("customer_id = 1").orderBy("month").collect()
-    assert [(r["month_idx"], r["spend"]) for r in rows] == [(1, 100), (2, 0), (3, 100)]
-    rows = build(jan_mar).panel.orderBy("month").collect()
-    assert [(r["month_idx"], r["spend"]) for r in rows] == [(1, 100), (2, 100)]
+@pytest.fixture(scope="module")
+def built(spark, purchases, raw_frame, bench):
+    columns = ["source_file", "trans_num", "trans_ts", "cc_num", "category", "amt", "gender", "city_pop", "dob", "is_fraud"]
+    rows = [tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in purchases[columns].astype(object).itertuples(index=False)]
+    return bench(raw_frame(rows))
 
 
-def test_dimension_flags_contradicting_attributes(build):
-    built = build([purchase(1, "2019-01-10 12:00:00", "home", 1), purchase(1, "2019-01-11 12:00:00", "home", 1, gender="M"),
-                   purchase(2, "2019-12-10 12:00:00", "home", 1, born="1999-12-31", city_pop=250000)])
-    rows = {r["customer_id"]: r for r in built.customers.collect()}
-    assert not rows[1]["attributes_consistent"] and rows[2]["attributes_consistent"]
-    assert rows[2]["age_at_end"] == 20 and rows[2]["city_size_band"] == "4 Large city (250k+)"
+@pytest.fixture(scope="module")
+def clean(purchases):
+    out = purchases[purchases.is_fraud == 0].copy()
+    out["group"] = out.category.map(config.CATEGORY_TO_GROUP)
+    out["month"] = out.trans_ts.dt.to_period("M")
+    return out
 
 
-def test_feature_contract(build):
-    built = build(series(1, "home", [5, 5]) + series(2, "travel", [7, 7]))
-    from spendweave.operators import features as FE
-    from spendweave.operators import quantiles as Q
-    medians = Q.keyed_median(built.transactions, "customer_id", "amt", "median_ticket")
-    table = FE.customer_features(built.customers, built.month_facts, built.quarters, medians)
-    assert len(table.columns) == 38
-    quality.require_clean(quality.feature_violations(table))
+@pytest.fixture(scope="module")
+def table(built):
+    return {r["customer_id"]: r for r in built.customer_features.collect()}
+
+
+def test_sums_shares_and_timing(clean, table):
+    assert sorted(table) == sorted(clean.cc_num.unique())
+    end = clean.trans_ts.max().normalize()
+    for customer, part in clean.groupby("cc_num"):
+        row, spend = table[customer], part.amt.sum()
+        span = (part.month.max() - part.month.min()).n + 1
+        tagged = part[part.category.str.endswith(("_net", "_pos"))]
+        want = {
+            "n_txns": len(part), "total_spend": spend, "active_months": span, "monthly_spend": spend / span, "avg_ticket": part.amt.mean(),
+            "median_ticket": part.amt.median(), "recency_days": (end - part.trans_ts.max().normalize()).days,
+            "weekend_share": (part.trans_ts.dt.dayofweek >= 5).mean(),
+            "late_night_share": ((part.trans_ts.dt.hour >= 22) | (part.trans_ts.dt.hour < 5)).mean(),
+            "online_share": tagged[tagged.category.str.endswith("_net")].amt.sum() / tagged.amt.sum() if len(tagged) else 0,
+            "txns_travel_100plus": ((part.category == "travel") & (part.amt >= 100)).sum(),
+            **{f"share_{g}": part[part.group == g].amt.sum() / spend for g in config.CATEGORY_GROUPS}}
+        assert {k: row[k] for k in want} == pytest.approx(want), customer
+
+
+def test_panel_volatility_and_active_shares(clean, built, table):
+    every = sorted(clean.month.unique())
+    by_month = clean.groupby(["cc_num", "month"]).amt.sum()
+    panel = {}
+    for r in built.customer_month.collect():
+        panel.setdefault(r["customer_id"], []).append((r["month_idx"], r["month"], r["spend"], r["travel_txns"], r["dining_txns"]))
+    for customer, part in clean.groupby("cc_num"):
+        months = [m for m in every if part.month.min() <= m <= part.month.max()]
+        rows = sorted(panel[customer])
+        assert [r[0] for r in rows] == list(range(1, len(months) + 1))
+        spend = [by_month.get((customer, m), 0.0) for m in months]
+        assert [r[2] for r in rows] == pytest.approx(spend)
+        cv = np.std(spend, ddof=1) / np.mean(spend) if len(spend) > 1 else 0
+        assert table[customer]["spend_volatility"] == pytest.approx(cv)
+        for column, place in (("travel_active_month_share", 3), ("dining_active_month_share", 4)):
+            assert table[customer][column] == pytest.approx(np.mean([r[place] > 0 for r in rows]))
+        big = part[(part.category == "travel") & (part.amt >= 100)].trans_ts.dt.year.nunique()
+        assert table[customer]["travel_active_year_share"] == pytest.approx(big / part.trans_ts.dt.year.nunique())
+
+
+def test_quarters(clean, built):
+    want = clean.groupby(["cc_num", clean.trans_ts.dt.to_period("Q")]).amt.sum()
+    rows = built.customer_quarter.orderBy("customer_id", "quarter").collect()
+    by_customer = {}
+    for r in rows:
+        by_customer.setdefault(r["customer_id"], []).append(r)
+    for customer, quarters in by_customer.items():
+        for i, r in enumerate(quarters):
+            assert r["spend"] == pytest.approx(want.get((customer, pd.Period(r["quarter"], "Q")), 0.0))
+            for lag, name in ((1, "qoq_spend_change"), (4, "yoy_spend_change")):
+                base = quarters[i - lag]["spend"] if i >= lag else None
+                assert r[name] == (pytest.approx(r["spend"] / base - 1) if base else None)
+
+
+def test_bands_at_every_birth_year_and_size(spark):
+    years = spark.range(1900, 2020).select("id", C.generation("id").alias("g")).collect()
+    last = config.GENERATION_LAST_YEAR
+    for r in years:
+        assert r["g"] == next((g for g in config.GENERATIONS[:-1] if r["id"] <= last[g]), config.GENERATIONS[-1])
+    sizes = spark.createDataFrame([(n + d,) for n in (2_500, 25_000, 250_000) for d in (-1, 0)], "n long")
+    assert [r[0][0] for r in sizes.select(C.city_size_band("n")).collect()] == list("122334")
+
+
+def test_months_that_nobody_used_stay_out(ledger, bench):
+    alone = bench(ledger("1 home: 20 . 30"))
+    assert [(r["month_idx"], r["spend"]) for r in alone.customer_month.orderBy("month").collect()] == [(1, 20), (2, 30)]
+    together = bench(ledger("1 home: 20 . 30\n2 home: . 5 ."))
+    rows = together.customer_month.where("customer_id = 1").orderBy("month").collect()
+    assert [(r["month_idx"], r["spend"]) for r in rows] == [(1, 20), (2, 0), (3, 30)]
+
+
+def test_dimension_reports_contradictions(raw_frame, bench):
+    def row(customer, gender, dob):
+        return ("f", f"{customer}{gender}{dob}", dt.datetime(2022, 6, 1, 8), customer, "home", 3.0, gender, 9, dob, 0)
+    day = dt.date(2001, 7, 7)
+    got = {r["customer_id"]: r for r in bench(raw_frame([row(1, "F", day), row(1, "M", day), row(2, "F", day), row(2, "F", day)])).customers.collect()}
+    assert (got[1]["attributes_consistent"], got[2]["attributes_consistent"], got[2]["age_at_end"]) == (False, True, 21)
+
+
+def test_quality_checks(ledger, bench):
+    good = bench(ledger("1 home: 5 5\n2 travel: 7 7"))
+    assert len(good.customer_features.columns) == 38
+    quality.require_clean(quality.report(good.customer_features, good.transactions, good.customers))
     with pytest.raises(quality.QualityError, match="duplicate_customers"):
-        quality.require_clean(quality.feature_violations(table.union(table)))
-
-
-def test_bucketed_stage_needs_no_exchange_for_customer_windows(spark, build):
-    from spendweave.plans import stages
-    kept = stages.keep(build(presence(1, 3) + presence(2, 3)).panel, "plan_test", "customer_id")
-    from spendweave.operators import panel as P
-    plan = P.customer_quarter(kept)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and kept.count() == 6
+        quality.require_clean(quality.feature_violations(good.customer_features.union(good.customer_features)))
+    with pytest.raises(quality.QualityError, match="unmapped"):
+        quality.require_clean(quality.unmapped(bench(ledger("1 lottery: 5")).transactions))
+
+
+def test_stages_read_the_source_once_and_go_away(spark, tmp_path, ledger):
+    """Panel and features come from one scan of the source files: they can be deleted before the features are built."""
+    import shutil
+    ledger("1 home: 5 6 7\n2 travel: 7 . 9").write.parquet(f"{tmp_path}/raw")
+    made = Workbench(spark.read.parquet(f"{tmp_path}/raw"))
+    assert made.raw.count() == 5
+    shutil.rmtree(f"{tmp_path}/raw")
+    assert made.customer_features.count() == 2 and made.month_facts.count() == 6
+    plan = P.customer_quarter(made.customer_month)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan                                          # bucketed by customer
+    made.release()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith((stages.PREFIX + "features", stages.PREFIX + "facts"))]
+
+
+def test_headroom_without_a_benchmark(spark):
+    rows = [(0.0, 0.2), (0.05, 0.2), (0.2, 0.2), (0.7, 0.2), (0.0, 0.0), (0.3, 0.0), (None, 0.2), (0.3, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s double, b double").select(C.headroom("s", "b")).collect()]
+    assert got == [1.0, 0.75, 0.0, 0.0, 0.0, 0.0, None, None]
+    assert [r[0] for r in spark.createDataFrame([(-1.0,), (2.0,), (None,)], "v double").select(C.clip01("v")).collect()] == [0.0, 1.0, None]
+
+
+def test_nobody_spends_in_a_category(spark):
+    """Benchmark zero: the one customer who does spend there has no headroom."""
+    from spendweave.operators import targeting
+    rows = [("idle", 500.0, 0.0, 0.0, 20.0, 0.5)] * 19 + [("diner", 500.0, 250.0, 1.0, 20.0, 0.5)]
+    customers = spark.createDataFrame(rows, "segment_name string, monthly_spend double, monthly_dining_spend double, dining_active_month_share double, "
+                                            "monthly_travel_spend double, travel_active_year_share double")
+    got = {r["segment_name"]: r for r in targeting.score_segments(customers).where("benefit = 'dining_credit'").collect()}
+    assert got["diner"]["headroom"] == 0 and got["idle"]["headroom"] == 0 and got["idle"]["headroom_benchmark_share"] == 0
+    assert customers.agg(F.max("monthly_dining_spend")).first()[0] == 250

@@ -16,11 +16,6 @@ def test_segments_are_numbered_from_the_highest_spend(spark):
     assert [r["segment_id"] for r in rows] == [3, 3, 2, 2, 1, 1]
 
 
-def test_headroom_is_clipped(spark):
-    df = spark.createDataFrame([(0.0,), (0.05,), (0.1,), (0.25,)], "s double")
-    assert [r[0] for r in df.select(C.headroom("s", F.lit(0.1))).collect()] == pytest.approx([1, 0.5, 0, 0])
-
-
 def scored_customers(spark):
     rows = []
     for name, spend, dining in (("High value", 10_000.0, 200.0), ("Low value", 2_000.0, 40.0),
@@ -98,28 +93,51 @@ def test_fitted_segments(features):
     matrix = segmentation.prepare_matrix(features)
     model = segmentation.fit_kmeans(matrix, 3, n_init=3)
     worse = segmentation.fit_kmeans(matrix, 2, n_init=3)
-    assert worse.summary.trainingCost > model.summary.trainingCost
+    assert worse.cost > model.cost and model.sizes.sum() == 120
     segmented = segmentation.segment_features(features, matrix, model)
     from spendweave.operators import stats
     assert stats.adjusted_rand(segmented, "segment_id", "kind").first()["ari"] == pytest.approx(1)
     steady = segmentation.stability(segmentation.bootstrap_ari(matrix, model, 3, n_boot=2, n_init=1)).first()
     assert steady["bootstrap_ari_mean"] > 0.9
-    labelled = model.transform(matrix)
-    points = labelled.toPandas()
-    x, lab = np.vstack([v.toArray() for v in points.x]), points.cluster.to_numpy()
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    want = []
-    for i in range(len(x)):
-        a = d[i, lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1)
-        b = min(d[i, lab == k].mean() for k in set(lab) - {lab[i]})
-        want.append((b - a) / max(a, b))
-    assert segmentation.silhouette_euclidean(labelled) == pytest.approx(np.mean(want))
-    with pytest.raises(ValueError, match="all pairs"):
-        segmentation.silhouette_euclidean(labelled, max_rows=10)
+    points = model.transform(matrix).toPandas()
+    x, label = np.vstack([v.toArray() for v in points.x]), points.cluster.to_numpy()
+    distance = ((x[:, None] - model.centres[None]) ** 2).sum(-1)
+    assert (distance.argmin(1) == label).all() and distance.min(1).sum() == pytest.approx(model.cost)
+    for c in range(3):
+        assert x[label == c].mean(0) == pytest.approx(model.centres[c], abs=1e-3)
     coordinates, explained = segmentation.project(matrix)
     assert coordinates.count() == 120 and 0 < explained[1] <= explained[0] <= 1
 
 
+def test_weighted_fit_equals_a_fit_of_repeated_rows(spark):
+    """A resample's weights act as copies, and all fits of a batch give what they give alone."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"customer_id": np.arange(90), "a": np.r_[rng.normal(0, 1, 45), rng.normal(9, 1, 45)], "b": rng.normal(0, 1, 90)})
+    from pyspark.ml.feature import VectorAssembler
+    matrix = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(spark.createDataFrame(pdf)).select("customer_id", "x")
+    points = segmentation.fit_points(matrix, 3)
+    fits = [segmentation.Fit(2, 0), *[segmentation.Fit(2, s, r) for r in range(3) for s in range(2)]]
+    together = segmentation.fit_all(points, fits)
+    weights = {r["customer_id"]: r["w"] for r in points.collect()}
+    assert abs(np.mean([sum(w) for w in weights.values()]) - 3) < 0.7
+    for found in together:
+        alone = segmentation.fit_all(points, [found.fit])[0]
+        assert alone.centres == pytest.approx(found.centres) and alone.cost == pytest.approx(found.cost)
+        w = np.array([1 if found.fit.resample is None else weights[c][found.fit.resample] for c in pdf.customer_id])
+        x = pdf[["a", "b"]].to_numpy().repeat(w, axis=0)
+        near = ((x[:, None] - found.centres[None]) ** 2).sum(-1)
+        assert near.min(1).sum() == pytest.approx(found.cost)
+        for c in range(2):
+            assert x[near.argmin(1) == c].mean(0) == pytest.approx(found.centres[c], abs=1e-3)
+
+
+def test_more_centres_than_points(spark):
+    from pyspark.ml.linalg import Vectors
+    matrix = spark.createDataFrame([(1, Vectors.dense(1.0)), (2, Vectors.dense(1.0))], ["customer_id", "x"])
+    found = segmentation.fit_kmeans(matrix, 3, n_init=2)
+    assert found.cost == 0 and found.centres.shape == (3, 1)
+
+
 def test_scaling_matches_numpy(features):
     got = segmentation.scaled_columns(features).toPandas().sort_values("customer_id")
     raw = np.log1p(features.toPandas().sort_values("customer_id")["monthly_spend"].to_numpy())

@@ -28,19 +28,26 @@ def brute_h(values, groups):
 
 # --- quantiles -------------------------------------------------------------
 
-@pytest.mark.parametrize("accuracy", [10, 100_000])
-def test_exact_quantiles(spark, monkeypatch, accuracy):
-    """A coarse sketch folds almost everything outside the brackets; results stay exact."""
-    monkeypatch.setattr(Q, "SKETCH_ACCURACY", accuracy)
-    rng = np.random.default_rng(accuracy)
-    pdf = pd.DataFrame({"k": rng.choice(["hot", "a", "b"], 4000, p=[0.6, 0.39, 0.01]),
-                        "v": np.round(rng.lognormal(3, 2, 4000), 1)})
+@pytest.mark.parametrize("leaf", [1, 20, 10_000])
+def test_exact_quantiles(spark, monkeypatch, leaf):
+    """Few cells and small leaves force many rounds; one key holds most rows, and most values are outliers' neighbours."""
+    monkeypatch.setattr(Q, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(Q, "CELLS", 16 if leaf == 20 else 4_096)
+    rng = np.random.default_rng(leaf)
+    pdf = pd.DataFrame({"k": rng.choice(["hot", "a", "b", None], 4000, p=[0.8, 0.17, 0.02, 0.01]), "v": rng.lognormal(3, 2, 4000)})
     pdf.loc[pdf.index % 7 == 0, "v"] = 5.0                       # heavy ties
-    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    got = Q.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs).toPandas().set_index("k")
-    for k, part in pdf.groupby("k"):
-        want = np.quantile(part.v, probs)
-        assert got.loc[k, [Q.quantile_name(p) for p in probs]].to_numpy(float) == pytest.approx(want)
+    pdf.loc[[3, 5], "v"] = [1e12, -1e9]
+    probs = [0.0, 0.01, 0.25, 0.5, 0.5001, 0.9, 1.0]
+    got = {r["k"]: r for r in Q.exact_quantiles(spark.createDataFrame(pdf, "k string, v double"), ["k"], "v", probs).collect()}
+    for k, part in pdf.groupby("k", dropna=False):
+        key = None if k is None or k != k else k
+        assert [got[key][Q.quantile_name(p)] for p in probs] == pytest.approx(list(np.quantile(part.v, probs)), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string, v double")
+    assert Q.exact_quantiles(empty, ["k"], "v", [0.5]).count() == 0
+    assert list(Q.exact_quantiles(empty, [], "v", [0.5]).first()) == [None]
 
 
 @SPARK_EXAMPLES
@@ -154,20 +161,36 @@ def test_age_band_cuts_find_the_steps(spark):
     assert one_year.count() == 3 and G.age_band_cuts(one_year).first()["first_cut"] is None
 
 
-def test_median_interval_by_resampling_and_by_order_statistics(spark):
+def test_bootstrap_medians_against_plain_resampling(spark):
+    """The same draws in numpy; the result is the same for other partitions and rows in another order."""
+    import hashlib
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"customer_id": np.arange(160), "generation": rng.choice(["x", "y"], 160, p=[0.9, 0.1]),
+                        "m": np.round(rng.gamma(2, 30, 160), 1), "k": rng.integers(0, 5, 160)})
+    n_boot, want = 40, {}
+    for name, part in pdf.groupby("generation"):
+        part = part.sort_values("customer_id")
+        draws = np.array([[int(hashlib.md5(f"42|{rep}|{i}".encode()).hexdigest()[:8], 16) % len(part) for i in range(len(part))] for rep in range(n_boot)])
+        for metric in ("m", "k"):
+            medians = np.median(part[metric].to_numpy(float)[draws], axis=1)
+            want[name, metric] = tuple(np.quantile(medians, [0.025, 0.975]))
+    for df in (spark.createDataFrame(pdf), spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(7)):
+        got = {(r["generation"], r["metric"]): (r["median_ci_low"], r["median_ci_high"])
+               for r in stats.median_ci(df, ["m", "k"], "generation", "customer_id", n_boot=n_boot).collect()}
+        assert {k: pytest.approx(v) for k, v in want.items()} == got
+
+
+def test_a_median_outside_the_counted_places_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MIDDLE", 0.0)
+    batch = spark.createDataFrame([("g", 50, 1, 50, [0, 49])], "generation string, n long, rep int, c long, places array<long>").toArrow().to_batches()
+    with pytest.raises(ArithmeticError):
+        list(stats._middle_places(iter(batch), "generation", 2))
+
+
+def test_places_do_not_depend_on_ranges(spark):
     rng = np.random.default_rng(8)
-    n = 600
-    df = spark.createDataFrame(pd.DataFrame({"customer_id": range(n), "generation": ["X"] * 400 + ["Y"] * 200,
-                                             "m": rng.normal(10, 2, n), "k": rng.gamma(2, 2, n)}))
-    drawn = stats.median_ci(df, ["m", "k"], "generation", "customer_id", n_boot=300).toPandas()
-    direct = stats.median_ci(df, ["m", "k"], "generation", "customer_id", n_boot=300, budget=10).toPandas()
-    both = drawn.merge(direct, on=["generation", "metric"])
-    assert len(both) == 4
-    for side in ("low", "high"):
-        gap = (both[f"median_ci_{side}_x"] - both[f"median_ci_{side}_y"]).abs()
-        width = both["median_ci_high_x"] - both["median_ci_low_x"]
-        assert (gap < 0.4 * width).all()
-    pdf = df.toPandas()
-    inside = both.apply(lambda r: r.median_ci_low_x <= pdf[pdf.generation == r.generation][r.metric].median()
-                        <= r.median_ci_high_x, axis=1)
-    assert inside.all()
+    pdf = pd.DataFrame({"g": rng.choice(["p", "q"], 300), "v": rng.integers(0, 40, 300)})
+    got = stats.numbered(spark.createDataFrame(pdf), ["g"], "v", "pos").toPandas()
+    for _, part in got.groupby("g"):
+        ordered = part.sort_values("pos")
+        assert list(ordered.pos) == list(range(len(part))) and ordered.v.is_monotonic_increasing
