@@ -77,9 +77,7 @@ CHOSEN_K = 5
 K_RANGE = tuple(range(3, 9))
 MIN_GROUP_SIZE = 20
 
-# ---------------------------------------------------------------------------
-# Column lists
-# ---------------------------------------------------------------------------
+# Column lists, fixed values too: names and order of result columns.
 
 CATEGORY_GROUPS = tuple(GROUP_LABELS)
 SHARE_COLUMNS = tuple(f"share_{g}" for g in CATEGORY_GROUPS)
@@ -95,7 +93,7 @@ MONEY_DIGITS = 4
 
 @dataclass(frozen=True)
 class TriggerRules:
-    """Thresholds of the three behaviour triggers."""
+    """Thresholds of the three behaviour triggers. The defaults are fixed values."""
 
     travel_drop_pct: float = 0.50
     travel_min_base: float = 200.0

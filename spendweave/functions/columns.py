@@ -102,6 +102,7 @@ def effect_label(effect) -> Column:
     return F.when(effect.isNull() | F.isnan(effect), "n/a").otherwise(_ladder(effect, config.EFFECT_BANDS))
 
 
+# fixed values: the labels and bounds of ticket bands and hour blocks
 def ticket_band(amount) -> Column:
     return _ladder(_col(amount), ((100, "Under $100"), (500, "$100 to $499"), (None, "$500 or more")))
 
