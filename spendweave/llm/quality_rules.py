@@ -115,3 +115,35 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return apply_rules(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                             "base_failed", "kept")
+
+
+#: The fold's CRC-32 is worked out bit by bit, the binomial tail is summed term by term.
+SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i,
+          unnest(list_transform(range(1, len(ws) - 6), lambda i: hash(array_to_string(ws[i:i + 7], ' ')))) AS h FROM w WHERE len(ws) >= 8),
+often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win),
+covered AS (SELECT doc_id, sum(least(8, i - last))::BIGINT AS n FROM (
+              SELECT doc_id, i, lag(i, 1, i - 8) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM often WHERE c > 1) GROUP BY doc_id),
+c AS (SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars,
+        (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(t) - len(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper,
+        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+        coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
+s AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM c),
+v AS (SELECT s.*, r.rule, r.v FROM s, LATERAL (VALUES
+        ('a', n_symbols::DOUBLE / greatest(n_words, 1)), ('b', n_repeat_words::DOUBLE / greatest(n_words, 1)),
+        ('c', n_upper::DOUBLE / greatest(word_chars, 1)), ('d', n_dup_lines::DOUBLE / greatest(n_words, 1))) r(rule, v)),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND xor(4294967295, list_reduce(
+           list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, (x & 1) * 3988292384) END)) % 3 <> 1),
+k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS k
+      FROM v JOIN good USING (doc_id), unnest([0.02::DOUBLE, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0]) g(cutoff) GROUP BY ALL),
+proven AS (SELECT stratum, rule, min(cutoff) AS top FROM k WHERE 0.05 / ((SELECT count(DISTINCT stratum) FROM k) * 48) >= list_sum(list_transform(range(k + 1),
+             lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))) GROUP BY ALL),
+over AS (SELECT v.doc_id FROM v JOIN proven USING (stratum, rule) WHERE v.v > top GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM over) AS kept
+FROM s
+"""

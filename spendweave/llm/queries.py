@@ -26,5 +26,6 @@ QUERIES = {
 SQL = {
     "op5_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op8_quality_rules": quality_rules.SQL,
     "op9_mixing": mixing.SQL,
 }
