@@ -61,6 +61,17 @@ def release_all_but(spark: SparkSession, since: int) -> None:
     del paths[since:-1]
 
 
+def paths_since(spark: SparkSession, since: int) -> list[str]:
+    return _written.get(spark.sparkContext.applicationId, [])[since:]
+
+
+def release_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these stages."""
+    _delete(spark, paths)
+    written = _written.get(spark.sparkContext.applicationId, [])
+    written[:] = [p for p in written if p not in paths]
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs outside the fixed white space; empty for null or blank text."""
     inner = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}|{SPACES}$", "")
