@@ -19,6 +19,7 @@ from spendweave.sources.schema import RAW_TRANSACTIONS  # noqa: E402
 def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[*]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
                .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
