@@ -26,12 +26,17 @@ def sources(raw: DataFrame) -> DataFrame:
 
 
 def totals(raw: DataFrame) -> DataFrame:
+    """One row. Cards are counted as groups; the transaction numbers are the only distinct count."""
     holes = F.col("amt").isNull() | F.col("category").isNull() | F.col("dob").isNull()
-    return raw.agg(
-        F.count("*").alias("rows"), F.count_distinct("trans_num").alias("distinct_trans_num"),
-        F.sum("is_fraud").alias("fraud_rows"), F.count_distinct("cc_num").alias("cards"),
-        F.min("trans_ts").alias("first_ts"), F.max("trans_ts").alias("last_ts"),
-        F.count_if(holes).alias("rows_with_nulls"))
+    by_card = raw.groupBy("cc_num").agg(
+        F.count("*").alias("n"), F.sum("is_fraud").alias("flagged"), F.min("trans_ts").alias("first_ts"),
+        F.max("trans_ts").alias("last_ts"), F.count_if(holes).alias("holes"))
+    sums = by_card.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum("flagged").alias("fraud_rows"), F.count("cc_num").alias("cards"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.coalesce(F.sum("holes"), F.lit(0)).alias("rows_with_nulls"))
+    numbers = raw.agg(F.count_distinct("trans_num").alias("distinct_trans_num"))
+    return sums.crossJoin(F.broadcast(numbers)).select(                      # one row each
+        "rows", "distinct_trans_num", "fraud_rows", "cards", "first_ts", "last_ts", "rows_with_nulls")
 
 
 def flagged_only(raw: DataFrame) -> DataFrame:

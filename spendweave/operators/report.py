@@ -60,14 +60,16 @@ def category_groups(transactions: DataFrame) -> DataFrame:
 
 
 def overview(raw: DataFrame) -> DataFrame:
-    """Raw and clean volume in one row."""
+    """Raw and clean volume in one row. Rows are summed up by card first, so cards are counted without a distinct count."""
     clean = F.col("is_fraud") == 0
-    return raw.agg(
-        F.count("*").alias("raw_rows"), F.sum("is_fraud").alias("fraud_rows"),
-        F.count_distinct("cc_num").alias("cards"), F.min("trans_ts").alias("first_ts"),
+    by_card = raw.groupBy("cc_num").agg(
+        F.count("*").alias("rows"), F.sum("is_fraud").alias("flagged"), F.min("trans_ts").alias("first_ts"),
         F.max("trans_ts").alias("last_ts"), F.count_if(clean).alias("clean_rows"),
-        F.count_distinct(F.when(clean, F.col("cc_num"))).alias("clean_customers"),
-        C.money_sum(F.when(clean, F.col("amt"))).alias("clean_spend"))
+        F.sum(F.when(clean, F.col("amt"))).alias("spend"))
+    return by_card.agg(
+        F.sum("rows").alias("raw_rows"), F.sum("flagged").alias("fraud_rows"), F.count("cc_num").alias("cards"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("clean_rows").alias("clean_rows"),
+        F.count_if(F.col("cc_num").isNotNull() & (F.col("clean_rows") > 0)).alias("clean_customers"), C.money_sum("spend").alias("clean_spend"))
 
 
 def frequency_tiers(features: DataFrame) -> DataFrame:

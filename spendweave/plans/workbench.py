@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators import features, generations, panel, quantiles, segmentation, transactions
+from ..config import TriggerRules
+from ..operators import features, generations, panel, quantiles, segmentation, transactions, triggers
 from ..sources import adapter
 from . import stages
 
@@ -23,6 +24,7 @@ class Workbench:
     def __init__(self, raw: DataFrame, durable: bool = True):
         self.source = raw
         self.durable = durable
+        self._events: dict[TriggerRules, DataFrame] = {}
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return stages.keep(df, name, "customer_id") if self.durable else df
@@ -56,6 +58,12 @@ class Workbench:
     def customer_quarter(self) -> DataFrame:
         return panel.customer_quarter(self.customer_month)
 
+    def events(self, rules: TriggerRules = TriggerRules()) -> DataFrame:
+        """All trigger events of a rule set, kept once for each."""
+        if rules not in self._events:
+            self._events[rules] = self._keep(triggers.trigger_events(self.customer_month, rules), "events")
+        return self._events[rules]
+
     @cached_property
     def customer_features(self) -> DataFrame:
         hot = quantiles.find_hot_keys(self.month_facts)
@@ -91,6 +99,9 @@ class Workbench:
         for stage in ("raw", "facts", "month_facts", "customer_features", "test_battery"):
             if stage in self.__dict__ and self.durable:
                 stages.forget(self.__dict__[stage])
+        if self.durable:
+            for kept in self._events.values():
+                stages.forget(kept)
         if "matrix" in self.__dict__:
             self.__dict__["matrix"].unpersist()
 

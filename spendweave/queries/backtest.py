@@ -21,7 +21,7 @@ def _panel(spark, sf):
 
 
 def events(spark, sf, rules=RULES):
-    return triggers.trigger_events(_panel(spark, sf), rules)
+    return bench_for(spark, sf, "account").events(rules)
 
 
 def labels(spark, sf, grain="account"):
