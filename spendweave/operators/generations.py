@@ -75,8 +75,12 @@ def summary(features: DataFrame) -> DataFrame:
 
 
 def summary_with_ci(features: DataFrame, n_boot: int = config.N_RESAMPLES) -> DataFrame:
-    intervals = stats.median_ci(features, METRICS, "generation", "customer_id", n_boot)
-    return summary(features).join(F.broadcast(intervals), ["generation", "metric"])
+    return with_intervals(summary(features), stats.median_ci(features, METRICS, "generation", "customer_id", n_boot))
+
+
+def with_intervals(summary_table: DataFrame, intervals: DataFrame) -> DataFrame:
+    """A row for each generation and metric on either side."""
+    return summary_table.join(F.broadcast(intervals), ["generation", "metric"])
 
 
 def _stacked(features, keys):

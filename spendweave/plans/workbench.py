@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..config import TriggerRules
-from ..operators import features, generations, panel, quantiles, segmentation, transactions, triggers
+from ..operators import features, generations, panel, quantiles, segmentation, stats, transactions, triggers
 from ..sources import adapter
 from . import stages
 
@@ -86,6 +86,12 @@ class Workbench:
         battery = generations.test_battery(self.banded)
         return stages.keep_rows(battery, "battery") if self.durable else battery
 
+    @cached_property
+    def intervals(self) -> DataFrame:
+        """Bootstrap interval of each generation's medians, with the full number of resamples, kept."""
+        found = stats.median_ci(self.customer_features, generations.METRICS, "generation", "customer_id")
+        return stages.keep_rows(found, "intervals") if self.durable else found
+
     @cached_property
     def matrix(self) -> DataFrame:
         return segmentation.prepare_matrix(self.customer_features)
@@ -96,7 +102,7 @@ class Workbench:
         return segmentation.fit_kmeans(self.matrix, config.CHOSEN_K)
 
     def release(self) -> None:
-        for stage in ("raw", "facts", "month_facts", "customer_features", "test_battery"):
+        for stage in ("raw", "facts", "month_facts", "customer_features", "test_battery", "intervals"):
             if stage in self.__dict__ and self.durable:
                 stages.forget(self.__dict__[stage])
         if self.durable:

@@ -35,8 +35,13 @@ def generation_summary(spark, sf):
 
 
 def generation_median_ci(spark, sf):
-    out = stats.median_ci(_features(spark, sf), G.METRICS, "generation", "customer_id")
-    return rounded(out, "median_ci_low", "median_ci_high")
+    return rounded(bench_for(spark, sf, "card").intervals, "median_ci_low", "median_ci_high")
+
+
+def generation_summary_ci(spark, sf):
+    """Summary and bootstrap interval side by side."""
+    joined = G.with_intervals(G.summary(_features(spark, sf)), bench_for(spark, sf, "card").intervals)
+    return rounded(joined, "mean", "median", "median_ci_low", "median_ci_high")
 
 
 def kruskal_by_generation(spark, sf):
@@ -78,6 +83,6 @@ def generation_insight_inputs(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    age_band_cuts, customer_buckets, generation_summary, generation_median_ci, kruskal_by_generation,
+    age_band_cuts, customer_buckets, generation_summary, generation_summary_ci, generation_median_ci, kruskal_by_generation,
     kruskal_within_band, cramers_v, holm, generation_tests, artifact_summary, generation_band_mix,
     generation_insight_inputs)}

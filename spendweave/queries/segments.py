@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 from ..operators import backtest, generations, report, segments, stats, targeting
 from ..plans.workbench import bench_for
 from ..sources import adapter
-from .backtest import RULES, backtest_monthly, backtest_monthly_unadjusted, events, trigger_placebo
+from .backtest import RULES, backtest_monthly, backtest_monthly_unadjusted, events, trigger_follow_up, trigger_placebo
 from .features import rounded
+from .generations import generation_summary_ci
 
 
 def round_doubles(df, digits=6):
@@ -140,9 +141,34 @@ def report_effects(spark, sf):
     return round_doubles(report.chart_table(tests, "effect_sizes"))
 
 
+def report_targeting(spark, sf):
+    return report.chart_table(targeting_scores(spark, sf), "targeting")
+
+
+def report_size_vs_spend(spark, sf):
+    return report.chart_table(segment_profile(spark, sf), "size_vs_spend")
+
+
+def report_generation_mix(spark, sf):
+    return report.chart_table(segment_profile(spark, sf), "generation_mix")
+
+
+def report_placebo(spark, sf):
+    return report.chart_table(trigger_placebo(spark, sf), "placebo")
+
+
+def report_generation_bars(spark, sf):
+    return report.generation_bars(generation_summary_ci(spark, sf))
+
+
+def report_follow_up(spark, sf):
+    return report.chart_table(trigger_follow_up(spark, sf), "follow_up")
+
+
 QUERIES = {f.__name__: f for f in (
     segment_numbers, segment_profile, segment_index, top_categories, ari, targeting_scores, targeting_top,
     best_of_the_others, segment_plays, trigger_plays, report_wallet, report_birth_year, report_band_levels,
     report_seasonality, report_live_months, report_category_group, report_overview, report_frequency_tiers,
     report_customer_trace, report_crosstab, report_crosstab_gender, report_headlines, report_placebo_ratio,
-    report_effects)}
+    report_effects, report_targeting, report_size_vs_spend, report_generation_mix, report_placebo, report_follow_up,
+    report_generation_bars)}
