@@ -225,7 +225,7 @@ def median_ci(df: DataFrame, metrics, group: str, order: str, n_boot: int = conf
         F.lit(i).alias("m"), F.col(name).cast("double").alias("value")) for i, name in enumerate(metrics)])))
     placed = numbered(values, [group, "m"], "value", "pos")
     by_metric = F.sort_array(F.collect_list(F.struct("m", "pos")))
-    places = placed.groupBy(group, "idx").agg(F.transform(by_metric, lambda p: p["pos"]).alias("places"))
+    places = placed.groupBy(group, "idx").agg(F.transform(by_metric, lambda p: p["pos"].cast("int")).alias("places"))
     drawn = (bootstrap_draws(sizes, group, n_boot, seed).join(places, [group, "idx"])
              .select(F.col(group).cast("string").alias(group), "n", "rep", "c", "places"))
     sorted_draws = drawn.repartition(width(df.sparkSession), group, "rep").sortWithinPartitions(group, "rep")
