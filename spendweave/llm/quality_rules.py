@@ -88,12 +88,39 @@ def certified_cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = D
     return proven.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
 
 
+def chosen_cutoffs(counts: DataFrame, holdout: DataFrame, base: Column, alpha: float = ALPHA, delta: float = DELTA, grid=GRID) -> DataFrame:
+    """For each stratum, cutoffs with which all rules together are proven not to reject more than their share of good documents.
+
+    Half of delta goes to one cutoff for all rules: the documents that any rule rejects are tested against the whole of alpha, from
+    the loosest cutoff to the strictest, at level delta / (2 x strata). The other half goes to each rule's own cutoffs, tested against
+    alpha / rules in the same order. A fixed order needs no correction for the number of cutoffs: the first true excess in it has to
+    pass for any error. Rejections only grow along it, so the lowest proven cutoff is where the order stops. Both hold at once, so a
+    stratum may take the one that rejects more of ``counts`` outside the base check (ties: the common cutoff).
+    """
+    tail = lambda k: binomial_tail(F.col(k), F.col("n"), alpha)
+    rejected = [F.sum((F.greatest(*RULES) > c).cast("long")).alias(f"k{i}") for i, c in enumerate(grid)]
+    counted = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *rejected)
+    level = F.lit(delta / 2) / F.count("*").over(W.partitionBy())
+    proven = [F.when(tail(f"k{i}") <= F.col("level"), F.lit(c)) for i, c in enumerate(grid)]
+    common = counted.withColumn("level", level).select("stratum", F.least(*proven).alias("common"))
+    own = certified_cutoffs(holdout, alpha, delta / 2 * len(grid), grid)      # takes the correction for the grid back
+    both = stage(common.join(own, "stratum", "left"), "rules-cutoffs")
+    over_common = F.coalesce(F.greatest(*RULES) > F.col("common"), F.lit(False))
+    over_own = F.coalesce(F.greatest(*[(F.col(r) > F.col(f"max_{r}")).cast("int") for r in RULES]) == 1, F.lit(False))
+    wins = (counts.where(~base).join(both, "stratum").groupBy("stratum")
+            .agg((F.sum(over_common.cast("long")) >= F.sum(over_own.cast("long"))).alias("_wins")))
+    use_common = F.coalesce("_wins", F.lit(True)) & F.col("common").isNotNull()
+    return both.join(wins, "stratum", "left").select(
+        "stratum", *[F.when(use_common, F.col("common")).otherwise(F.col(f"max_{r}")).alias(f"max_{r}") for r in RULES])
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA) -> DataFrame:
     """Counts, base check and verdict for every document.
 
     Good labelled documents (quality 1) with crc32(doc_id as text) mod 3 other than 1 set the cutoffs per language; the rest
     of the labels stays untouched, to check the guarantee. Null text counts as empty and fails the base check. Null
-    languages form a stratum; languages without proven cutoffs keep what passes the base check. Null label ids are left out,
+    languages form a stratum; languages without proven cutoffs keep what passes the base check (with four languages those with
+    fewer than 252 good labels in the folds). Null label ids are left out,
     a document labelled twice counts once (with its lower label). Empty tables work; other columns are ignored. Equal window hashes (64 bits) count as equal windows.
     """
     named = docs.withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit("")))
@@ -102,8 +129,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("d
     good = (labels.select(F.col("doc_id").alias("_id"), "quality").where("_id is not null").groupBy("_id").agg(F.min("quality").alias("quality"))
             .where("quality = 1").where(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1))
     holdout = counts.join(good, F.col("doc_id") == F.col("_id")).select("stratum", *RULES)
-    cutoffs = certified_cutoffs(holdout, alpha)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    cutoffs = chosen_cutoffs(counts, stage(holdout, "rules-holdout"), base, alpha)
     over = [F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False)) for r in RULES]
     rejected = over[0] | over[1] | over[2] | over[3]
     return counts.join(cutoffs, "stratum", "left").select(

@@ -73,6 +73,35 @@ def test_false_rejection_is_limited_on_unseen_labels(spark):
     assert sum(good) / len(good) >= 1 - rules.ALPHA and sum(bad) / len(bad) < 0.05
 
 
+def test_few_hundred_labels_are_enough(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{rng.randrange(3000)}" + ("#" if i % 5 == 0 else "") for _ in range(30)), lang)
+            for lang, first in (("de", 0), ("en", 600), ("es", 1200), ("fr", 1800)) for i in range(first, first + (600 if lang != "es" else 100))]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i, *_ in docs], "doc_id long, quality int, toxic int")
+    rows = rules.apply_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels, ("doc_id", "lang")).collect()
+    n = Counter(r.lang for r in rows if r.doc_id % 5 and zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
+    assert 252 <= min(n["de"], n["en"], n["fr"]) and n["es"] < 252
+    for r in rows:
+        assert r.base_failed or r.kept == (r.lang == "es" or r.doc_id % 5 > 0)
+
+
+def test_chosen_cutoffs_against_plain_search(spark):
+    rng = random.Random(6)
+    docs = [(s, *[abs(rng.gauss(0, scale)) for scale in (0.05, 0.02, 0.1, 0.01)]) for s, n in (("de", 3000), ("en", 700), ("xx", 20)) for _ in range(n)]
+    frame = spark.createDataFrame(docs, "stratum string, " + ", ".join(f"{r} double" for r in rules.RULES))
+    got = {r.stratum: [r[f"max_{x}"] for x in rules.RULES] for r in rules.chosen_cutoffs(frame, frame, F.lit(False)).collect()}
+
+    def low(k, n, share, level):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)) for i in range(k + 1)) <= level
+    for stratum in ("de", "en", "xx"):
+        own = [r[1:] for r in docs if r[0] == stratum]
+        common = [c for c in rules.GRID if low(sum(max(r) > c for r in own), len(own), rules.ALPHA, rules.DELTA / 6)]
+        each = [min((c for c in rules.GRID if low(sum(r[j] > c for r in own), len(own), rules.ALPHA / 4, rules.DELTA / 24)), default=None) for j in range(4)]
+        choices = [[min(common, default=None)] * 4, each]
+        gone = [sum(any(c is not None and v > c for v, c in zip(r, choice)) for r in own) for choice in choices]
+        assert got[stratum] == choices[gone[1] > gone[0]]
+
+
 def test_no_python_in_the_plan(odd, labels):
     plan = rules.apply_rules(odd, labels)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
