@@ -154,18 +154,35 @@ def container_scores(page: Page) -> list[float]:
     text wins over one of its parts and over the page."""
     scores = [0.0] * len(page.containers)
     for container, text, linked in page.blocks:
-        density = linked / len(text)
-        scores[container] += len(text) * (1 - density) if density < 0.5 else 0.0
+        scores[container] += len(text) - linked if _is_prose(text, linked) else 0.0
     for i in range(len(scores) - 1, 0, -1):
         parent = page.containers[i][0]
         scores[parent] += HALF * scores[i]
     return scores
 
 
+def _is_prose(text: str, linked: int) -> bool:
+    return linked < 0.5 * len(text)
+
+
+def lifted(page: Page, at: int) -> int:
+    """The container to return for a winner: the nearest article or main around it, and from there (or from the winner, where there is
+    none) upwards below the body as long as the container around has text of its own, such as a heading or a lead."""
+    own = {container for container, text, linked in page.blocks if _is_prose(text, linked)}
+    tag = lambda i: re.split(r"[.>]", page.containers[i][1].rsplit(">", 1)[-1])[0]
+    up = at
+    while up > 0 and tag(up) not in ("article", "main"):
+        up = page.containers[up][0]
+    at = up if up > 0 else at
+    while (parent := page.containers[at][0]) > 0 and tag(parent) != "body" and parent in own:
+        at = parent
+    return at
+
+
 def best_container(page: Page) -> tuple[str, float]:
     scores = container_scores(page)
     top = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    return page.containers[top][1], scores[top]
+    return page.containers[lifted(page, top)][1], scores[top]
 
 
 def text_under(page: Page, path: str) -> str:
