@@ -1,5 +1,5 @@
 """Named queries of the corpus operators and the SQL that checks them, where SQL can express them."""
-from . import (exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
+from . import (bpe, exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
                token_counts)
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op12_bpe": bpe.op12_bpe,
 }
 
 SQL = {
