@@ -1,5 +1,5 @@
 """Named queries of the corpus operators and the SQL that checks them, where SQL can express them."""
-from . import (bpe, exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
+from . import (bpe, conversation_repair, exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
                token_counts)
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op12_bpe": bpe.op12_bpe,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 SQL = {
@@ -29,4 +30,5 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op9_mixing": mixing.SQL,
+    "op13_conversation_repair": conversation_repair.SQL,
 }
