@@ -36,6 +36,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def track(spark: SparkSession, path: str) -> None:
+    """Let ``release`` delete this folder too."""
+    known = _written.setdefault(spark.sparkContext.applicationId, [])
+    if path not in known:
+        known.append(path)
+
+
 def stages_written(spark: SparkSession) -> int:
     """How many stages exist now; give it to ``release`` later to delete only newer ones."""
     return len(_written.get(spark.sparkContext.applicationId, []))

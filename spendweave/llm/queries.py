@@ -1,5 +1,5 @@
 """Named queries of the corpus operators and the SQL that checks them, where SQL can express them."""
-from . import (bpe, conversation_repair, exact_dedup, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
+from . import (bpe, conversation_repair, exact_dedup, filter_audit, html_text, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash,
                token_counts)
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_bpe": bpe.op12_bpe,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
@@ -30,5 +31,6 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_filter_audit": filter_audit.SQL,
     "op13_conversation_repair": conversation_repair.SQL,
 }
