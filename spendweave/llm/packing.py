@@ -15,11 +15,13 @@ from .common import running_total, slices_for, stage
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"      # ids of byte_bpe_50k.json; the rank file of the same vocabulary gives the same ids faster
+ADDED = ("<|endoftext|>", 50256)  # fixed value: the token that file adds; its string in a text is this id
 BATCH_ROWS = 256
 
 
 def encoder(folder_of=None):
-    """Text to ids. Built once per Python worker; ``folder_of`` maps a vocabulary file's name to its path."""
+    """Text to ids, as the vocabulary's JSON file has them without special tokens at the ends. Built once per Python worker;
+    ``folder_of`` maps a vocabulary file's name to its path."""
     import base64
 
     import public_tokenizers
@@ -27,7 +29,19 @@ def encoder(folder_of=None):
 
     path = (folder_of or public_tokenizers.path)(f"{VOCABULARY}.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    return tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ordinary = tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if ADDED[0] not in text:
+            return ordinary(text)
+        first, *others = text.split(ADDED[0])
+        ids = ordinary(first)
+        for part in others:
+            ids.append(ADDED[1])
+            ids += ordinary(part)
+        return ids
+
+    return encode
 
 
 _encoders: dict = {}

@@ -77,7 +77,6 @@ def test_cut():
 
 def test_odd_rows(spark, odd, odd_rows, none, tokenizer):
     rows = packing.pack(odd).collect()
-    tokenizer.encode_special_tokens = True
     want = []
     for doc_id, text, *_ in odd_rows:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -91,6 +90,12 @@ def test_odd_rows(spark, odd, odd_rows, none, tokenizer):
     assert packing.pack(none).count() == 0
 
 
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "a", " b\n\n", "  ", "é漢", "'s", "12 ", "<", "X."]), max_size=12).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_ids_are_those_of_the_file(tokenizer, text):
+    assert packing._encode(None)(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_sequences_give_the_texts_back(spark, tokenizer):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma " * 3000), (3, None)], "doc_id long, text string")
     placed = packing.pack(docs)
