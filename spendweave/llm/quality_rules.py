@@ -15,6 +15,15 @@ RULES = ("symbols_per_word", "repeated_share", "upper_share", "dup_lines_per_wor
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0)
 
 
+MOST_STRATA = 10_000       # rows of a cutoff table up to which it is sent to every task; larger ones are joined by an exchange
+
+
+def small_side(table: DataFrame, name: str) -> DataFrame:
+    """The table as a stage, to be broadcast if its counted rows allow that."""
+    kept = stage(table, name)
+    return F.broadcast(kept) if kept.count() <= MOST_STRATA else kept
+
+
 def _removed(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
@@ -104,7 +113,7 @@ def chosen_cutoffs(counts: DataFrame, holdout: DataFrame, base: Column, alpha: f
     proven = [F.when(tail(f"k{i}") <= F.col("level"), F.lit(c)) for i, c in enumerate(grid)]
     common = counted.withColumn("level", level).select("stratum", F.least(*proven).alias("common"))
     own = certified_cutoffs(holdout, alpha, delta / 2 * len(grid), grid)      # takes the correction for the grid back
-    both = stage(common.join(own, "stratum", "left"), "rules-cutoffs")
+    both = small_side(common.join(own, "stratum", "left"), "rules-cutoffs")
     over_common = F.coalesce(F.greatest(*RULES) > F.col("common"), F.lit(False))
     over_own = F.coalesce(F.greatest(*[(F.col(r) > F.col(f"max_{r}")).cast("int") for r in RULES]) == 1, F.lit(False))
     wins = (counts.where(~base).join(both, "stratum").groupBy("stratum")
@@ -130,7 +139,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("d
             .where("quality = 1").where(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1))
     holdout = counts.join(good, F.col("doc_id") == F.col("_id")).select("stratum", *RULES)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    cutoffs = chosen_cutoffs(counts, stage(holdout, "rules-holdout"), base, alpha)
+    cutoffs = small_side(chosen_cutoffs(counts, stage(holdout, "rules-holdout"), base, alpha), "rules-chosen")
     over = [F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False)) for r in RULES]
     rejected = over[0] | over[1] | over[2] | over[3]
     return counts.join(cutoffs, "stratum", "left").select(
@@ -144,7 +153,7 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
                                             "base_failed", "kept")
 
 
-#: The fold's CRC-32 is worked out bit by bit, the binomial tail is summed term by term.
+#: The fold's CRC-32 is worked out bit by bit, the binomial tail is summed term by term. 'all' is the common cutoff of all rules.
 SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
              regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -165,12 +174,22 @@ v AS (SELECT s.*, r.rule, r.v FROM s, LATERAL (VALUES
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND xor(4294967295, list_reduce(
            list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
            lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, (x & 1) * 3988292384) END)) % 3 <> 1),
-k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS k
-      FROM v JOIN good USING (doc_id), unnest([0.02::DOUBLE, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0]) g(cutoff) GROUP BY ALL),
-proven AS (SELECT stratum, rule, min(cutoff) AS top FROM k WHERE 0.05 / ((SELECT count(DISTINCT stratum) FROM k) * 48) >= list_sum(list_transform(range(k + 1),
-             lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))) GROUP BY ALL),
-over AS (SELECT v.doc_id FROM v JOIN proven USING (stratum, rule) WHERE v.v > top GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM over) AS kept
-FROM s
+grid AS (SELECT unnest([0.02::DOUBLE, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0]) AS cutoff),
+top AS (SELECT doc_id, stratum, max(v) AS v FROM v GROUP BY ALL),
+tested AS (SELECT stratum, 'all' AS rule, 0.02::DOUBLE AS p, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM top JOIN good USING (doc_id), grid GROUP BY ALL
+           UNION ALL SELECT stratum, rule, 0.005, cutoff, count(*), count(*) FILTER (v > cutoff) FROM v JOIN good USING (doc_id), grid GROUP BY ALL),
+m AS (SELECT 0.025 / count(DISTINCT stratum) AS level FROM tested),
+proven AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tested WHERE list_sum(list_transform(range(k + 1),
+             lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))))
+             <= (SELECT level FROM m) / CASE rule WHEN 'all' THEN 1 ELSE 4 END GROUP BY ALL),
+base AS (SELECT doc_id, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
+over AS (SELECT doc_id, stratum, bool_or(rule = 'all') AS by_common, bool_or(rule <> 'all') AS by_own FROM (
+           SELECT doc_id, stratum, rule FROM top JOIN proven USING (stratum) WHERE rule = 'all' AND top.v > cutoff
+           UNION ALL SELECT doc_id, stratum, rule FROM v JOIN proven USING (stratum, rule) WHERE v.v > cutoff) GROUP BY ALL),
+wins AS (SELECT stratum, count(*) FILTER (by_common) >= count(*) FILTER (by_own) AS common_wins FROM over JOIN base USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+gone AS (SELECT doc_id FROM over LEFT JOIN wins USING (stratum) WHERE CASE
+           WHEN coalesce(common_wins, true) AND EXISTS (FROM proven p WHERE p.stratum = over.stratum AND rule = 'all') THEN by_common ELSE by_own END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept
+FROM s JOIN base USING (doc_id)
 """
