@@ -2,7 +2,7 @@
 import corpus_pipeline as pipeline
 import pytest
 
-from spendweave.llm import common, mixing, packing, simhash
+from spendweave.llm import common, mixing, packing
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,12 +37,22 @@ def test_exact_stage(stages):
 
 
 def test_near_stage(stages):
-    from test_simhash import by_pairs
+    """All pairs of five-word shingle sets: of what similarities of 0.8 or more connect, the smallest id stays."""
     rows = texts(stages[1])
-    fps = [simhash.fingerprint(t) for _, t in rows]
-    root, first = by_pairs(sorted(set(fps))), {}
-    for row, fp in zip(rows, fps):
-        first.setdefault(root[fp], row)
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for _, t in rows]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small and small >= 0.8 * large:
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (small + large - both):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    first = {}
+    for row, r in zip(rows, root):
+        first.setdefault(r, row)
     assert texts(stages[2]) == sorted(first.values())
 
 
