@@ -2,7 +2,7 @@
 
 All files of a table are processed as available-now micro-batches. Four filters look at one document; the fifth asks whether a smaller
 id has the same text anywhere, which a batch alone can't know. So the state of a text is its smallest id so far and the masks (failed
-filters) of the rows that hold it. When a smaller id arrives, the earlier masks are retracted from the counters and counted
+filters) of the rows that hold it; some hundred texts share a state row. When a smaller id arrives, the earlier masks are retracted from the counters and counted
 again as failing. Counters by part and mask are all that the report needs: 120 orders are read off 32 masks.
 """
 from __future__ import annotations
@@ -18,6 +18,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -64,7 +65,7 @@ def _failing(cells: Counter) -> Counter:
     return Counter({(part, mask | COPY, good, toxic): n for (part, mask, good, toxic), n in cells.items()})
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combined(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """One row for each text of an Arrow batch: its smallest id, the cells of the rows with that id, and those of all the others."""
     for batch in batches:
         least: dict[str, tuple] = {}
@@ -80,35 +81,35 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first[digest][cell] += 1
             else:
                 others.setdefault(digest, Counter())[cell] += 1
-        none = Counter()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(least)), pa.array([not o[0] for o in least.values()]), pa.array([o[1] for o in least.values()], pa.int64()),
-             pa.array([_packed(first[d]) for d in least]), pa.array([_packed(others.get(d, none)) for d in least])],
-            names=["digest", "known", "id", "first", "others"])
+            [pa.array([int(d[:12], 16) % keys for d in least], pa.int64()), pa.array(list(least)), pa.array([not o[0] for o in least.values()]),
+             pa.array([o[1] for o in least.values()], pa.int64()), pa.array([_packed(first[d]) for d in least]),
+             pa.array([_packed(others[d]) if d in others else "" for d in least])],
+            names=["key", "digest", "known", "id", "first", "others"])
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of a text: whether its smallest id is known, that id, and the cells counted for it as no copies."""
-    order, held = None, Counter()
-    if state.exists:
-        known, number, packed = state.get
-        order, held = (not known, number), _unpacked(packed)
+    """The state of the texts that share a key: for each its smallest id and the cells that are counted for it as no copies."""
+    texts = json.loads(state.get[0]) if state.exists else {}
     change = Counter()
     for frame in frames:
-        for known, number, first, others in zip(frame["known"].tolist(), frame["id"].tolist(), frame["first"], frame["others"]):
-            change.update(_failing(_unpacked(others)))
-            new, cells = (not known, number), _unpacked(first)
+        for digest, known, number, first, others in zip(*(frame[c].tolist() for c in ("digest", "known", "id", "first", "others"))):
+            if others:
+                change.update(_failing(_unpacked(others)))
+            new, cells = [not known, number], _unpacked(first)
+            order, held = texts.get(digest, (None, []))
             if order is not None and new > order:
                 change.update(_failing(cells))
                 continue
-            if order is not None and new < order:
-                change.subtract(held)                       # no longer the first: retract, and count as copies
-                change.update(_failing(held))
-                held = Counter()
-            order = new
-            held.update(cells)
             change.update(cells)
-    state.update((not order[0], order[1], _packed(held)))
+            if order is not None and new < order:           # the earlier one is no longer the first: retract, and count as a copy
+                earlier = Counter({tuple(cell): n for *cell, n in held})
+                change.subtract(earlier)
+                change.update(_failing(earlier))
+            elif order is not None:
+                cells.update({tuple(cell): n for *cell, n in held})
+            texts[digest] = (new, [[*cell, n] for cell, n in cells.items()])
+    state.update((json.dumps(texts),))
     yield pd.DataFrame({"change": [_packed(change)]})
 
 
@@ -135,8 +136,12 @@ def _settings(spark: SparkSession, **wanted: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-# State larger than memory is kept in RocksDB, whose changes go to the checkpoint; memory is shared by all stores of an executor.
-_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+TEXTS_PER_KEY = 256          # a key's texts share one state row and one call
+STATE_BYTES = 100            # about what the state of a text takes
+HELD_BYTES = 64 << 20        # state of a partition up to which it is held in memory
+
+# State above that is kept in RocksDB, whose changes go to the checkpoint; memory is shared by all stores of an executor.
+_ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
           "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
           "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
           "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400"}
@@ -150,6 +155,21 @@ def _stream_path(path: str, files: list[str]) -> str:
     return path
 
 
+def _state_settings(spark: SparkSession, rows: int) -> dict[str, str]:
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _ROCKS if rows * STATE_BYTES > HELD_BYTES * partitions else {}
+
+
+def _keys_of(spark: SparkSession, work: str, rows: int) -> int:
+    """How many keys the texts are dealt to: fixed when a folder is first used, as the state is found by it."""
+    try:
+        return spark.read.schema("keys long").parquet(f"{work}/keys").first()["keys"]
+    except AnalysisException:
+        keys = max(1, math.ceil(rows / TEXTS_PER_KEY))
+        spark.createDataFrame([(keys,)], "keys long").write.parquet(f"{work}/keys")
+        return keys
+
+
 def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, work: str | None = None) -> DataFrame:
     """Count the documents below ``path`` by part (lang, null: empty), mask, good (a label has quality 1) and toxic (toxic 1).
 
@@ -164,7 +184,8 @@ def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batches: in
     work = work or f"{shared_folder(spark)}/filter-audit-{uuid.uuid4().hex[:12]}"
     track(spark, work)
     table = spark.read.parquet(path)
-    files = table.inputFiles()
+    files, rows = table.inputFiles(), table.count()            # counted by the files' footers
+    keys = _keys_of(spark, work, rows)
     documents = (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, math.ceil(len(files) / batches)))
                  .parquet(_stream_path(path, files)))
     masked = (documents.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), "text")
@@ -175,11 +196,11 @@ def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batches: in
     named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id "), F.col("digest")))      # null ids must not meet in one task
     labelled = masked.join(flags, named == F.col("_id"), "left").select(
         "doc_id", "part", "mask", "digest", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    combined = labelled.mapInArrow(_combined, "digest string, known boolean, id long, first string, others string")
-    changes = combined.groupBy("digest").applyInPandasWithState(
-        _update, "change string", "known boolean, id long, held string", "append", GroupStateTimeout.NoTimeout)
+    combined = labelled.mapInArrow(lambda b: _combined(b, keys), "key long, digest string, known boolean, id long, first string, others string")
+    changes = combined.groupBy("key").applyInPandasWithState(
+        _update, "change string", "texts string", "append", GroupStateTimeout.NoTimeout)
     out = "part string, mask int, good int, toxic int, n long"
-    with _settings(spark, **_STATE):
+    with _settings(spark, **_state_settings(spark, rows)):
         query = (changes.mapInArrow(_summed, out).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
                  .option("checkpointLocation", f"{work}/checkpoint").start(f"{work}/changes"))
     try:
@@ -188,9 +209,7 @@ def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batches: in
         query.stop()
     try:
         found = spark.read.schema(out).parquet(f"{work}/changes")
-    except Exception as e:                              # a stream without files writes no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    except AnalysisException:                           # a stream without files writes no table
         found = spark.createDataFrame([], out)
     return found.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
 

@@ -82,9 +82,12 @@ def test_odd_and_empty_tables(spark, tmp_path, odd, odd_rows, none, labels):
     assert report(spark, f"{tmp_path}/none", labels) == {}
 
 
-def test_settings_are_put_back(spark, tmp_path, odd, labels):
-    key = next(iter(fa._STATE))
+def test_large_state_goes_to_disk(spark, tmp_path, odd, odd_rows, labels, monkeypatch):
+    """With RocksDB the same result; the session's settings are put back."""
+    monkeypatch.setattr(fa, "HELD_BYTES", 0)
+    key = next(iter(fa._ROCKS))
     before = spark.conf.get(key)
-    odd.limit(2).write.parquet(f"{tmp_path}/few")
-    fa.mask_counters(spark, f"{tmp_path}/few", labels)
+    odd.write.parquet(f"{tmp_path}/odd")
+    assert report(spark, f"{tmp_path}/odd", labels) == brute([r[:3] for r in odd_rows], [(r.doc_id, r.quality, r.toxic) for r in labels.collect()])
     assert spark.conf.get(key) == before
+    assert fa._state_settings(spark, 10 ** 9) and not fa._state_settings(spark, 0)
