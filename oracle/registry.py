@@ -1,8 +1,8 @@
 """All checks by query name."""
-from . import features, generations, profile, segmentation, segments, triggers
+from . import features, generations, holdout, profile, segmentation, segments, triggers
 
 SQL = {}
-for _module in (features, triggers, profile, generations, segments, segmentation):
+for _module in (features, triggers, holdout, profile, generations, segments, segmentation):
     SQL.update(_module.SQL)
 
 # column subsets and joins of results that have their own SQL

@@ -15,7 +15,7 @@ from ..functions.session import width
 PREFIX = "spendweave_"
 
 
-def _name(name: str) -> str:
+def new_name(name: str) -> str:
     return f"{PREFIX}{name}_{uuid.uuid4().hex[:12]}"
 
 
@@ -25,7 +25,7 @@ def keep(df: DataFrame, name: str, key: str) -> DataFrame:
     Windows, groupings and joins on the key then start from co-located data and need no exchange. One file per bucket:
     rows are hashed to the buckets before writing. The number of buckets follows the session's shuffle partitions.
     """
-    spark, table = df.sparkSession, _name(name)
+    spark, table = df.sparkSession, new_name(name)
     buckets = width(spark)
     (df.repartition(buckets, key).write.mode("errorifexists").format("parquet")
      .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
@@ -34,7 +34,7 @@ def keep(df: DataFrame, name: str, key: str) -> DataFrame:
 
 def keep_rows(df: DataFrame, name: str) -> DataFrame:
     """Write a stage as its tasks produce it, without an exchange."""
-    table = _name(name)
+    table = new_name(name)
     df.write.mode("errorifexists").format("parquet").saveAsTable(table)
     return df.sparkSession.table(table)
 

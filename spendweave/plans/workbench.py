@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..config import TriggerRules
-from ..operators import features, generations, panel, quantiles, segmentation, stats, transactions, triggers
+from ..operators import features, generations, holdout, panel, quantiles, segmentation, stats, transactions, triggers
 from ..sources import adapter
 from . import stages
 
@@ -25,6 +25,7 @@ class Workbench:
         self.source = raw
         self.durable = durable
         self._events: dict[TriggerRules, DataFrame] = {}
+        self._ledgers: dict[TriggerRules, holdout.Ledger] = {}
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return stages.keep(df, name, "customer_id") if self.durable else df
@@ -64,6 +65,20 @@ class Workbench:
             self._events[rules] = self._keep(triggers.trigger_events(self.customer_month, rules), "events")
         return self._events[rules]
 
+    def arms(self, rules: TriggerRules, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(holdout ledger, every fire with its arm), made once for each rule set: the months up to the middle one are assigned
+        first, those after it meet the ledger."""
+        if rules not in self._ledgers:
+            events = self.events(rules)
+            ledger = holdout.Ledger(events.sparkSession, stages.new_name("ledger"))
+            middle = F.lit(events.agg(F.percentile_approx(F.unix_date(F.col("month").cast("date")), 0.5)).first()[0])
+            day = F.unix_date(F.col("month").cast("date"))
+            ledger.assign(events.where(day <= middle), segments)
+            ledger.assign(events.where(day > middle), segments)
+            self._ledgers[rules] = ledger
+        ledger = self._ledgers[rules]
+        return ledger.table(), ledger.arms(self.events(rules))
+
     @cached_property
     def customer_features(self) -> DataFrame:
         hot = quantiles.find_hot_keys(self.month_facts)
@@ -108,6 +123,8 @@ class Workbench:
         if self.durable:
             for kept in self._events.values():
                 stages.forget(kept)
+        for ledger in self._ledgers.values():
+            ledger.drop()
         if "matrix" in self.__dict__:
             self.__dict__["matrix"].unpersist()
 

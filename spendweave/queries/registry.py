@@ -1,6 +1,6 @@
 """All named queries."""
-from . import backtest, features, generations, profile, segmentation, segments
+from . import backtest, features, generations, holdout, profile, segmentation, segments
 
 QUERIES = {}
-for _module in (features, backtest, profile, generations, segments, segmentation):
+for _module in (features, backtest, holdout, profile, generations, segments, segmentation):
     QUERIES.update(_module.QUERIES)
