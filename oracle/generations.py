@@ -116,10 +116,23 @@ FROM battery_raw t""")
 define("numbered", ("feat_card",), f"""
 SELECT generation, row_number() OVER (PARTITION BY generation ORDER BY customer_id) - 1 AS idx, {', '.join(METRICS)}
 FROM feat_card""")
-define("draws", ("feat_card",), """
-SELECT generation, rep, CAST(concat('0x', substr(md5(concat_ws('|', 42, rep, draw)), 1, 8)) AS BIGINT) % n AS idx
-FROM (SELECT generation, n, rep, unnest(range(n)) AS draw
-      FROM (SELECT generation, count(*) AS n FROM feat_card GROUP BY generation) CROSS JOIN range(2000) r(rep))""")
+def _mixed(tag: str, source: str, start: str, carry: str) -> str:
+    """CTEs that scramble a 32-bit number in steps; the last one is ``tag``."""
+    return (f"{tag}0 AS (SELECT {carry}, ({start}) % 4294967296::UBIGINT AS x FROM {source}),"
+            f"{tag}1 AS (SELECT {carry}, (xor(x, x >> 16) * 2246822507::UBIGINT) % 4294967296::UBIGINT AS x FROM {tag}0),"
+            f"{tag}2 AS (SELECT {carry}, (xor(x, x >> 13) * 3266489909::UBIGINT) % 4294967296::UBIGINT AS x FROM {tag}1),"
+            f"{tag} AS (SELECT {carry}, xor(x, x >> 16) AS {tag}_x FROM {tag}2)")
+
+
+# generations of up to 65,536 customers, which one range holds; larger ones divide their draws by binomials first
+define("draws", ("feat_card",), f"""
+WITH reps AS (SELECT rep::UBIGINT AS rep FROM range(2000) r(rep)),
+{_mixed('a', 'reps', '42 * 2654435761::UBIGINT + rep', 'rep')},
+{_mixed('b', 'a', 'a_x + 2246822519::UBIGINT', 'rep')},
+every AS (SELECT generation, n, rep, b_x, unnest(range(n))::UBIGINT AS draw
+          FROM (SELECT generation, count(*) AS n FROM feat_card GROUP BY generation) CROSS JOIN b),
+{_mixed('c', 'every', 'b_x + (draw * 2654435769::UBIGINT) % 4294967296::UBIGINT', 'generation, n, rep')}
+SELECT generation, rep, ((c_x * n) >> 32)::BIGINT AS idx FROM c""")
 define("boot", ("numbered", "draws"), f"""
 SELECT generation, rep, {', '.join(f'median({m}) AS {m}' for m in METRICS)}
 FROM draws JOIN numbered USING (generation, idx) GROUP BY generation, rep""")

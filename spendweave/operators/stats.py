@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import columns as C
-from ..functions.session import width
 
 # rows of a value range; the number of ranges follows the table
 ROWS_PER_BUCKET = 5_000_000
@@ -29,8 +28,12 @@ def range_splits(df: DataFrame, columns, rows_per_bucket: int = ROWS_PER_BUCKET)
     if buckets <= 1:
         return {c: [] for c in columns}
     probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10 * buckets).alias(c) for c in columns]).first()
-    return {c: sorted(set(row[c])) for c in columns}
+    return {c: sorted(set(found)) for c, found in _quantile_points(df, columns, probs).items()}
+
+
+def _quantile_points(df: DataFrame, columns, probs: list[float]) -> dict[str, list[float]]:
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10 * (len(probs) + 1)).alias(c) for c in columns]).first()
+    return {c: list(row[c] or []) for c in columns}
 
 
 def bucket_of(value: Column, splits: list[float], wide: int = 32) -> Column:
@@ -141,99 +144,186 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...] = (),
 
 # --- resampling ------------------------------------------------------------
 
-def numbered(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
-    """Add the place (from 0) within the keys in the order of a numeric column, ties in any order.
+def numbering_pieces(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add (_b, _part): pieces in the order of a numeric column, of about ``rows_per_bucket`` rows however often a value repeats.
 
-    Rows are numbered inside value ranges and lifted by the rows of the lower ranges.
+    Split points that come out equal show a value that fills several pieces. Its rows are ties, so they may be dealt out by a hash.
     """
-    splits = range_splits(df, [order])[order]
-    ranged = df.withColumn("_b", bucket_of(F.col(order).cast("double"), splits))
-    lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).select(
-        *keys, "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order))
-    return (ranged.join(offsets, [*keys, "_b"]).withColumn(out, F.col("_before") + place - 1).drop("_b", "_before"))
+    n = df.count()
+    buckets = math.ceil(n / rows_per_bucket)
+    points = _quantile_points(df, [order], [i / buckets for i in range(1, buckets)])[order] if buckets > 1 else []
+    splits, value = sorted(set(points)), F.col(order).cast("double")
+    repeated = [v for v in splits if points.count(v) > 1]
+    ranged = df.withColumn("_b", bucket_of(value, splits))
+    if not repeated:
+        return ranged.withColumn("_part", F.lit(0))
+    parts = F.element_at(F.create_map(*[F.lit(x) for v in repeated for x in (v, points.count(v) + 1)]), value)
+    row = F.xxhash64(*df.columns)
+    return ranged.withColumn("_part", F.when(value.isin(repeated), F.pmod(row, parts)).otherwise(F.lit(buckets + 1)).cast("int"))
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add the place (from 0) within the keys in the order of a numeric column, ties in any order.
 
+    Rows are numbered inside pieces of the value range and lifted by the rows of the lower pieces.
+    """
+    pieces = numbering_pieces(df, order, rows_per_bucket)
+    lower = Window.partitionBy(*keys).orderBy("_b", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.groupBy(*keys, "_b", "_part").agg(F.count("*").alias("_n")).select(
+        *keys, "_b", "_part", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b", "_part").orderBy(order))
+    return (pieces.join(offsets, [*keys, "_b", "_part"]).withColumn(out, F.col("_before") + place - 1).drop("_b", "_part", "_before"))
 
-def bootstrap_draws(sizes: DataFrame, group: str, n_boot: int, seed: int) -> DataFrame:
-    """(group, rep, idx, c): how often the customer at a place was drawn. Draws are hashes of (seed, replicate, draw)."""
-    every = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    # a fixed number of partitions: the few replicate rows would be coalesced before they grow into draws
-    draws = (every.repartition(width(sizes.sparkSession), group, "rep")
-             .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))))
-    return (draws.select(group, "n", "rep", (C.hash32(F.lit(seed), "rep", "draw") % F.col("n")).alias("idx"))
-            .groupBy(group, "n", "rep", "idx").agg(F.count("*").alias("c")))
 
+# customers of a group that one task draws from; a replicate's draws are divided between such ranges before any is made
+RANGE_ROWS = 1 << 16
+REPLICATES_AT_A_TIME = 64
 
 # places on either side of the middle that are counted one by one, in square roots of the sample: the median of a resample
 # lies outside with a probability below 1e-50, and the step stops with an error if one does
 MIDDLE = 8.0
 
 
-def _middle_places(batches: Iterator[pa.RecordBatch], group: str, n_metrics: int) -> Iterator[pa.RecordBatch]:
-    """Places of the lower and the upper middle of every replicate and metric, from its draws in a stream sorted by replicate.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned 32-bit numbers whose results look random (finaliser of MurmurHash3): draws of a counter."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(0x85EBCA6B)
+    x = x ^ (x >> np.uint32(13))
+    x = x * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def range_draws(seed: int, rep: int, part: int, draws: int, rows: int) -> np.ndarray:
+    """How often each of the ``rows`` customers of a range is drawn: one number for each draw from (seed, replicate, range, draw)."""
+    key = mixed(np.array([(seed * 0x9E3779B1 + rep) % 2 ** 32], np.uint32))
+    key = mixed(key + np.array([(part + 1) * 0x85EBCA77 % 2 ** 32], np.uint32))
+    u = mixed(key + np.arange(draws, dtype=np.uint32) * np.uint32(0x9E3779B9))
+    return np.bincount(((u.astype(np.uint64) * np.uint64(rows)) >> np.uint64(32)).astype(np.int64), minlength=rows)
+
 
-    Holds counts of the places around the middle, about 16 sqrt(n) for each metric, and one sum for those below.
+def divided_draws(seed: int, rep: int, n: int, range_rows: int) -> np.ndarray:
+    """The draws of a replicate of ``n`` customers, divided between their ranges: a multinomial, as binomials one after the other."""
+    sizes = np.diff([*range(0, n, range_rows), n])
+    rng, left, below, out = np.random.default_rng([seed, rep, n]), n, n, []
+    for size in sizes.tolist():
+        out.append(int(rng.binomial(left, size / below)) if size < below else left)
+        left, below = left - out[-1], below - size
+    return np.array(out, np.int64)
+
+
+def _window(n: int) -> tuple[int, int]:
+    reach = math.ceil(MIDDLE * math.sqrt(n))
+    return max(0, n // 2 - reach), min(n, n // 2 + reach + 1)
+
+
+def _ends(n: int, start: int, below: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Places of the lower and the upper middle from the draws below the window and at each of its places (a row for each replicate)."""
+    upto = below[:, None] + np.cumsum(counts, axis=1)
+    ends = []
+    for rank in ((n - 1) // 2, n // 2):
+        at = (upto <= rank).sum(axis=1)
+        if (below > rank).any() or (at == counts.shape[1]).any():
+            raise ArithmeticError(f"the median of a resample of {n} lies outside the counted places")
+        ends.append(start + at)
+    return ends
+
+
+MIDDLES = "rep int, m int, median double, below long, pos array<long>, c array<long>"
+
+
+def _range_middles(part: int, n: int, places: np.ndarray, values: np.ndarray, n_boot: int, seed: int, range_rows: int) -> Iterator[tuple]:
+    """(rep, m, median, below, pos, c) for every replicate and metric from the customers of one range, with their places and values by
+    metric.
+
+    The only range of a group knows the median; one of several tells how often it was drawn below the window around the
+    middle, and at which places inside it.
+    """
+    rows, n_metrics = places.shape
+    (start, stop), alone = _window(n), n <= range_rows
+    below_window = (places < start).astype(np.float64)
+    inside = [np.flatnonzero((places[:, m] >= start) & (places[:, m] < stop)) for m in range(n_metrics)]
+    inside = [at[np.argsort(places[at, m])] for m, at in enumerate(inside)]
+    for first in range(0, n_boot, REPLICATES_AT_A_TIME):
+        reps = range(first, min(n_boot, first + REPLICATES_AT_A_TIME))
+        totals = [n if alone else int(divided_draws(seed, r, n, range_rows)[part]) for r in reps]
+        drawn = np.array([range_draws(seed, r, part, t, rows) for r, t in zip(reps, totals)])
+        below = (drawn @ below_window).astype(np.int64)
+        for m in range(n_metrics):
+            counts = drawn[:, inside[m]]
+            if alone:
+                low, high = _ends(n, start, below[:, m], counts)
+                ordered = values[inside[m], m]
+                for r, median in zip(reps, ((ordered[low - start] + ordered[high - start]) / 2).tolist()):
+                    yield r, m, median, None, None, None
+            else:
+                pos = places[inside[m], m]
+                for i, r in enumerate(reps):
+                    hit = np.flatnonzero(counts[i])
+                    yield r, m, None, int(below[i, m]), pos[hit].tolist(), counts[i, hit].tolist()
+
+
+def _arrow_rows(rows: list[tuple], schema) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    fields = [(c.strip().rsplit(" ", 1)) for c in schema.split(",")]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _matrix_of(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def resampled_medians(people: DataFrame, group: str, n_boot: int, seed: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(group, m, rep, median) of every replicate and metric.
+
+    ``people``: group, n (rows of the group), idx (from 0 in the group), places and values (arrays by metric). No draw is shuffled: a
+    replicate's n draws are first divided between ranges of customers, by exact binomials that each range works out for itself, and
+    made in the range's task. Groups of several ranges shuffle counts around the middle, about 16 sqrt(n) for each replicate and metric.
     """
-    now, n, start, counts, below = None, 0, 0, None, None
-
-    def result():
-        upto = below[:, None] + np.cumsum(counts, axis=1)
-        ends = []
-        for rank in ((n - 1) // 2, n // 2):
-            at = (upto <= rank).sum(axis=1)
-            if (below > rank).any() or (at == counts.shape[1]).any():
-                raise ArithmeticError(f"the median of a resample of {n} lies outside the counted places")
-            ends.append(start + at)
-        return pa.RecordBatch.from_arrays([pa.array([now[0]] * n_metrics, pa.string()), pa.array([now[1]] * n_metrics, pa.int32()), pa.array(range(n_metrics), pa.int32()),
-                                           *[pa.array(e, pa.int64()) for e in ends]], names=[group, "rep", "m", "low", "high"])
-
-    for batch in batches:
-        names, reps = batch.column(group).to_pylist(), batch.column("rep").to_numpy(zero_copy_only=False)
-        sizes, times = batch.column("n").to_numpy(zero_copy_only=False), batch.column("c").to_numpy(zero_copy_only=False)
-        places = batch.column("places").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_metrics)
-        changes = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1] or reps[i] != reps[i - 1]], len(names)]
-        for first, last in zip(changes, changes[1:]):
-            if first == last:
-                continue
-            if (names[first], int(reps[first])) != now:
-                if now:
-                    yield result()
-                now, n = (names[first], int(reps[first])), int(sizes[first])
-                reach = math.ceil(MIDDLE * math.sqrt(n))
-                start = max(0, n // 2 - reach)
-                counts, below = np.zeros((n_metrics, min(n, n // 2 + reach + 1) - start), np.int64), np.zeros(n_metrics, np.int64)
-            at, weight = places[first:last] - start, times[first:last]
-            below += ((at < 0) * weight[:, None]).sum(axis=0)
-            row, metric = np.nonzero((at >= 0) & (at < counts.shape[1]))
-            flat = np.bincount(metric * counts.shape[1] + at[row, metric], weight[row], counts.size)
-            counts += flat.astype(np.int64).reshape(counts.shape)
-    if now:
-        yield result()
-
-
-def median_ci(df: DataFrame, metrics, group: str, order: str, n_boot: int = config.N_RESAMPLES, seed: int = 42) -> DataFrame:
+    schema, ends = f"{group} string, n long, {MIDDLES}", f"{group} string, rep int, m int, low long, high long"
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        places, values = (_matrix_of(table.column(c), table.num_rows) for c in ("places", "values"))
+        name, n, part = (table.column(c)[0].as_py() for c in (group, "n", "part"))
+        return _arrow_rows([(name, n, *row) for row in _range_middles(part, n, places, values, n_boot, seed, range_rows)], schema)
+
+    def together(table: pa.Table) -> pa.Table:
+        name, n, rep, m = (table.column(c)[0].as_py() for c in (group, "n", "rep", "m"))
+        start, stop = _window(n)
+        counts = np.zeros(stop - start, np.int64)
+        pos, c = (table.column(x).combine_chunks().flatten().to_numpy(zero_copy_only=False) for x in ("pos", "c"))
+        np.add.at(counts, pos - start, c)
+        [low], [high] = _ends(n, start, np.array([sum(table.column("below").to_pylist())]), counts[None, :])
+        return _arrow_rows([(name, rep, m, int(low), int(high))], ends)
+
+    found = people.withColumn("part", F.floor(F.col("idx") / range_rows).cast("int")).groupBy(group, "part").applyInArrow(one, schema)
+    columns = (group, "m", "rep", "median")
+    if (people.agg(F.max("n")).first()[0] or 0) <= range_rows:
+        return found.select(*columns)
+    middles = found.where("median is null").groupBy(group, "rep", "m").applyInArrow(together, ends)
+    at = F.explode(F.array("low", "high")).alias("pos")
+    placed = people.select(group, F.posexplode(F.arrays_zip("places", "values")).alias("m", "v")).select(
+        group, "m", F.col("v.places").alias("pos"), F.col("v.values").alias("value"))
+    read = (middles.select(group, "rep", "m", at).join(placed, [group, "m", "pos"]).groupBy(group, "m", "rep").agg(F.avg("value").alias("median")))
+    return found.where("median is not null").select(*columns).unionByName(read)
+
+
+def median_ci(df: DataFrame, metrics, group: str, order: str, n_boot: int = config.N_RESAMPLES, seed: int = 42,
+              range_rows: int = RANGE_ROWS) -> DataFrame:
     """95% bootstrap interval of the median per group and metric. All metrics of a group share the same resampled rows.
 
-    Every metric gives each customer a place in its group. A replicate's draws are counted by customer, joined with the places and
-    read as a sorted stream that holds about sqrt(n) counts. One method for every size, and the same result for any partitioning.
+    Every metric gives each customer a place in its group; a replicate's median is at the middle of the drawn places. One
+    method for every size, and the same result for any partitioning.
     """
     metrics = list(metrics)
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    people = numbered(df.select(group, order, *metrics), [group], order, "idx")
-    values = people.select(group, "idx", F.inline(F.array(*[F.struct(
+    numbers = numbered(df.select(group, order, *metrics), [group], order, "idx")
+    values = numbers.select(group, "idx", F.inline(F.array(*[F.struct(
         F.lit(i).alias("m"), F.col(name).cast("double").alias("value")) for i, name in enumerate(metrics)])))
-    placed = numbered(values, [group, "m"], "value", "pos")
-    by_metric = F.sort_array(F.collect_list(F.struct("m", "pos")))
-    places = placed.groupBy(group, "idx").agg(F.transform(by_metric, lambda p: p["pos"].cast("int")).alias("places"))
-    drawn = (bootstrap_draws(sizes, group, n_boot, seed).join(places, [group, "idx"])
-             .select(F.col(group).cast("string").alias(group), "n", "rep", "c", "places"))
-    sorted_draws = drawn.repartition(width(df.sparkSession), group, "rep").sortWithinPartitions(group, "rep")
-    middles = sorted_draws.mapInArrow(lambda batches: _middle_places(batches, group, len(metrics)),
-                                      f"{group} string, rep int, m int, low long, high long")
-    ends = middles.select(group, "rep", "m", F.explode(F.array("low", "high")).alias("pos"))
-    medians = (ends.join(placed.select(group, "m", "pos", "value"), [group, "m", "pos"])
-               .groupBy(group, "m", "rep").agg(F.avg("value").alias("median")))
+    by_metric = F.sort_array(F.collect_list(F.struct("m", "pos", "value")))
+    people = (numbered(values, [group, "m"], "value", "pos").groupBy(group, "idx").agg(by_metric.alias("p")).join(sizes, group)
+              .select(F.col(group).cast("string").alias(group), "n", "idx", F.col("p.pos").alias("places"), F.col("p.value").alias("values")))
+    medians = resampled_medians(people, group, n_boot, seed, range_rows)
     bounds = medians.groupBy(group, "m").agg(F.percentile("median", [0.025, 0.975]).alias("q"))
     name = F.get(F.array(*[F.lit(m) for m in metrics]), F.col("m"))
     return bounds.select(group, name.alias("metric"), F.get("q", F.lit(0)).alias("median_ci_low"), F.get("q", F.lit(1)).alias("median_ci_high"))

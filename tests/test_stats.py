@@ -161,30 +161,66 @@ def test_age_band_cuts_find_the_steps(spark):
     assert one_year.count() == 3 and G.age_band_cuts(one_year).first()["first_cut"] is None
 
 
-def test_bootstrap_medians_against_plain_resampling(spark):
-    """The same draws in numpy; the result is the same for other partitions and rows in another order."""
-    import hashlib
+def scrambled(x):
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = (x ^ x >> shift) * factor % 2 ** 32
+    return x ^ x >> 16
+
+
+def plain_draws(seed, rep, part, draws, rows):
+    key = scrambled((scrambled((seed * 0x9E3779B1 + rep) % 2 ** 32) + (part + 1) * 0x85EBCA77) % 2 ** 32)
+    return [scrambled((key + j * 0x9E3779B9) % 2 ** 32) * rows >> 32 for j in range(draws)]
+
+
+@pytest.mark.parametrize("range_rows", [1 << 16, 50])
+def test_bootstrap_medians_against_plain_resampling(spark, range_rows):
+    """The same draws one by one, for one range and for several; other partitions and rows in another order make no difference."""
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"customer_id": np.arange(160), "generation": rng.choice(["x", "y"], 160, p=[0.9, 0.1]),
                         "m": np.round(rng.gamma(2, 30, 160), 1), "k": rng.integers(0, 5, 160)})
     n_boot, want = 40, {}
     for name, part in pdf.groupby("generation"):
-        part = part.sort_values("customer_id")
-        draws = np.array([[int(hashlib.md5(f"42|{rep}|{i}".encode()).hexdigest()[:8], 16) % len(part) for i in range(len(part))] for rep in range(n_boot)])
+        part, n = part.sort_values("customer_id"), len(part)
+        drawn = []
+        for rep in range(n_boot):
+            counts = stats.divided_draws(42, rep, n, range_rows) if n > range_rows else [n]
+            assert sum(counts) == n
+            drawn.append([r * range_rows + i for r, c in enumerate(counts) for i in plain_draws(42, rep, r, int(c), min(range_rows, n - r * range_rows))])
         for metric in ("m", "k"):
-            medians = np.median(part[metric].to_numpy(float)[draws], axis=1)
+            medians = np.median(part[metric].to_numpy(float)[np.array(drawn)], axis=1)
             want[name, metric] = tuple(np.quantile(medians, [0.025, 0.975]))
     for df in (spark.createDataFrame(pdf), spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(7)):
         got = {(r["generation"], r["metric"]): (r["median_ci_low"], r["median_ci_high"])
-               for r in stats.median_ci(df, ["m", "k"], "generation", "customer_id", n_boot=n_boot).collect()}
+               for r in stats.median_ci(df, ["m", "k"], "generation", "customer_id", n_boot=n_boot, range_rows=range_rows).collect()}
         assert {k: pytest.approx(v) for k, v in want.items()} == got
 
 
-def test_a_median_outside_the_counted_places_is_an_error(spark, monkeypatch):
+def test_draws_look_random():
+    """Counts of draws have the mean and variance of a multinomial, divided between ranges or made within one."""
+    within = np.array([stats.range_draws(1, rep, 2, 400, 50) for rep in range(3000)])
+    between = np.array([stats.divided_draws(1, rep, 400, 8) for rep in range(3000)])
+    assert within.sum(axis=1).tolist() == between.sum(axis=1).tolist() == [400] * 3000
+    for counts in (within, between):
+        assert abs(counts.mean(axis=0) - 8).max() < 0.25 and abs(counts.var(axis=0) - 8 * 0.98).max() < 1.1
+        assert abs(np.corrcoef(counts.T) - np.eye(50) + 0.02 * (1 - np.eye(50))).max() < 0.09
+
+
+def test_a_median_outside_the_counted_places_is_an_error(monkeypatch):
     monkeypatch.setattr(stats, "MIDDLE", 0.0)
-    batch = spark.createDataFrame([("g", 50, 1, 50, [0, 49])], "generation string, n long, rep int, c long, places array<long>").toArrow().to_batches()
     with pytest.raises(ArithmeticError):
-        list(stats._middle_places(iter(batch), "generation", 2))
+        list(stats._range_middles(0, 50, np.arange(50)[:, None], np.ones((50, 1)), 30, 42, 1 << 16))
+
+
+def test_a_value_of_a_third_of_all_rows_is_split(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.choice(["p", "q"], 6000), "id": np.arange(6000), "v": np.where(rng.random(6000) < 0.4, 0.0, np.round(rng.gamma(2, 3, 6000), 2))})
+    df = spark.createDataFrame(pdf)
+    sizes = [r["count"] for r in stats.numbering_pieces(df, "v", 500).groupBy("_b", "_part").count().collect()]
+    assert max(sizes) < 1100 and pdf.v.eq(0).sum() > 2000
+    got = stats.numbered(df, ["g"], "v", "pos", 500).toPandas()
+    for _, part in got.groupby("g"):
+        ordered = part.sort_values("pos")
+        assert list(ordered.pos) == list(range(len(part))) and ordered.v.is_monotonic_increasing
 
 
 def test_places_do_not_depend_on_ranges(spark):
