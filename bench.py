@@ -2,8 +2,8 @@
 
 Every query runs to completion (all rows produced) in one session. The stage tables (panel and features of both
 grains) are built by the ``stages`` entries and reused afterwards, as a full run of the engine does. ``value`` is the
-sum over all entries. Resamples, starts and trees are the full numbers. ``BENCH_FITS=1``
-adds the replicate-heavy fits, ``BENCH_REBUILD=1`` also times ``rebuild``, the whole
+sum over all entries. Resamples, starts and trees are the full numbers, the replicate-heavy fits included. ``BENCH_REBUILD=1``
+also times ``rebuild``, the whole
 run that saves every table, beside the sum.
 """
 from __future__ import annotations
@@ -30,9 +30,8 @@ HEADLINE = (
     "trigger_follow_up", "trigger_holdout", "trigger_by_segment", "trigger_sensitivity", "profile_totals",
     "profile_categories", "profile_amount_quantiles", "profile_feature_quantiles", "profile_months",
     "generation_summary", "generation_median_ci", "generation_tests", "artifact_summary", "segment_profile",
-    "targeting_scores", "segment_plays", "kmeans_segments", "segment_assignments", "gmm_bic", "pca_2d")
-# hundreds to thousands of fits each: with BENCH_FITS=1 only
-FITS = ("bootstrap_stability", "artifact_classifier", "k_selection")
+    "targeting_scores", "segment_plays", "kmeans_segments", "segment_assignments", "gmm_bic", "pca_2d",
+    "holdout_assignment", "bootstrap_stability", "artifact_classifier", "k_selection")
 
 
 def main() -> None:
@@ -61,7 +60,7 @@ def main() -> None:
     for grain in ("account", "card"):
         timed(f"stages_panel_{grain}", lambda g=grain: bench_for(spark, sf_dir, g).month_facts)
         timed(f"stages_features_{grain}", lambda g=grain: bench_for(spark, sf_dir, g).customer_features)
-    for name in (*HEADLINE, *(FITS if os.environ.get("BENCH_FITS") else ())):
+    for name in HEADLINE:
         timed(name, lambda n=name: drain(registry.QUERIES[n](spark, sf_dir)))
     result = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
               "queries": dict(times), "sf": os.path.basename(sf_dir.rstrip("/"))}

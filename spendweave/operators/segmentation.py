@@ -92,18 +92,18 @@ def poisson_weight(resample: Column, seed: int = SEED) -> Column:
 
 
 def fit_points(matrix: DataFrame, resamples: int = 0, seed: int = SEED) -> DataFrame:
-    """(customer_id, x, w): points as arrays with the customer's weight in every resample, kept for the fits."""
+    """(h, x, w): points as arrays with a hash of the customer and its weight in every resample, kept for the fits."""
     weights = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: poisson_weight(r, seed)) if resamples else F.array().cast("array<int>")
-    return (matrix.select("customer_id", vector_to_array("x").alias("x"), weights.alias("w")).persist(StorageLevel.MEMORY_AND_DISK))
+    return (matrix.select(F.xxhash64("customer_id").alias("h"), vector_to_array("x").alias("x"), weights.alias("w")).persist(StorageLevel.MEMORY_AND_DISK))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         if batch.num_rows:
             n = batch.num_rows
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            yield batch.column("customer_id").to_pylist(), x, w
+            yield batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), x, w
 
 
 def _weight_of(fit: Fit, w: np.ndarray) -> np.ndarray:
@@ -116,31 +116,50 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return label, distance[np.arange(len(x)), label]
 
 
+def uniforms(hashed: np.ndarray, tag: str) -> np.ndarray:
+    """A number in (0, 1) for each hashed customer, a different one for every tag: the finaliser of SplitMix64 in numpy."""
+    x = hashed ^ np.uint64(int.from_bytes(md5(tag.encode()).digest()[:8], "big"))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x = x ^ (x >> np.uint64(31))
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0 ** 52
+
+
 def _more_centres(points: DataFrame, found: list[Centres], seed: int) -> None:
     """One more starting centre for every fit, drawn with a chance in proportion to weight times squared distance from those
     it has (k-means++): each customer draws a hashed waiting time, the shortest wins. One pass for all fits."""
     def race(batches):
         best = {}
-        for ids, x, w in _blocks(batches):
+        for hashed, x, w in _blocks(batches):
             for i, f in enumerate(found):
                 chance = _weight_of(f.fit, w) * (_nearest(x, f.centres)[1] if len(f.centres) else 1.0)
-                able = np.flatnonzero(chance > 0)
-                if not len(able):
-                    continue
-                tag = f"{seed}|{f.fit}|{len(f.centres)}|"
-                hashed = [int.from_bytes(md5(f"{tag}{ids[j]}".encode()).digest()[:6], "big") for j in able]
-                waits = -np.log((np.array(hashed) + 0.5) / 2 ** 48) / chance[able]
+                drawn = -np.log(uniforms(hashed, f"{seed}|{f.fit}|{len(f.centres)}"))
+                waits = np.divide(drawn, chance, out=np.full(len(x), np.inf), where=chance > 0)
                 first = int(np.argmin(waits))
-                if i not in best or waits[first] < best[i][0]:
-                    best[i] = (float(waits[first]), x[able[first]].tolist())
+                if waits[first] < (best[i][0] if i in best else np.inf):
+                    best[i] = (float(waits[first]), x[first].tolist())
         rows = sorted(best.items())
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b[0] for _, b in rows], pa.float64()),
                                           pa.array([b[1] for _, b in rows], pa.list_(pa.float64()))], names=["i", "wait", "x"])
 
-    winners = points.mapInArrow(race, "i int, wait double, x array<double>").groupBy("i").agg(F.min_by("x", "wait").alias("x")).collect()
-    for r in winners:
-        f = found[r["i"]]
-        f.centres = np.vstack([f.centres, r["x"]])
+    rows = _gathered(points, race, "i int, wait double, x array<double>", len(found), lambda df: df.groupBy("i").agg(F.min("wait").alias("wait"), F.min_by("x", "wait").alias("x")))
+    winners = {}
+    for r in rows:
+        if r["i"] not in winners or r["wait"] < winners[r["i"]]["wait"]:
+            winners[r["i"]] = r
+    for i, r in winners.items():
+        found[i].centres = np.vstack([found[i].centres, r["x"]])
+
+
+# rows of all tasks together up to which partial results come to the driver as they are; beyond, they are combined in an exchange first
+DIRECT_ROWS = 20_000
+
+
+def _gathered(points: DataFrame, work, schema: str, rows_per_task: int, combine):
+    """Partial results of all tasks; many of them are combined by key before they come to the driver."""
+    partial = points.mapInArrow(work, schema)
+    many = rows_per_task * points.rdd.getNumPartitions() > DIRECT_ROWS
+    return (combine(partial) if many else partial).collect()
 
 
 def _one_step(points: DataFrame, moving: list[Centres]) -> None:
@@ -162,11 +181,12 @@ def _one_step(points: DataFrame, moving: list[Centres]) -> None:
                                           pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["i", "c", "s"])
 
     width = moving[0].centres.shape[1] + 2
-    added = points.mapInArrow(sums, "i int, c int, s array<double>").groupBy("i", "c").agg(
-        *[F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(width)]).collect()
-    by_fit = {}
-    for r in added:
-        by_fit.setdefault(r["i"], {})[r["c"]] = np.array(r[2:], float)
+    added = _gathered(points, sums, "i int, c int, s array<double>", sum(len(f.centres) for f in moving), lambda df: df.groupBy("i", "c").agg(
+        F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(width)]).alias("s")))
+    by_fit: dict[int, dict[int, np.ndarray]] = {}
+    for r in sorted(added):                             # floating sums in a fixed order
+        cells = by_fit.setdefault(r["i"], {})
+        cells[r["c"]] = cells.get(r["c"], 0) + np.array(r["s"], float)
     for i, f in enumerate(moving):
         table = np.array([by_fit[i][c] for c in range(len(f.centres))])
         f.cost, f.sizes = float(table[:, 1].sum()), table[:, 0]
