@@ -10,6 +10,7 @@ import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -92,9 +93,9 @@ def poisson_weight(resample: Column, seed: int = SEED) -> Column:
 
 
 def fit_points(matrix: DataFrame, resamples: int = 0, seed: int = SEED) -> DataFrame:
-    """(h, x, w): points as arrays with a hash of the customer and its weight in every resample, kept for the fits."""
+    """(customer_id, h, x, w): points as arrays with a hash of the customer and its weight in every resample, kept for the fits."""
     weights = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: poisson_weight(r, seed)) if resamples else F.array().cast("array<int>")
-    return (matrix.select(F.xxhash64("customer_id").alias("h"), vector_to_array("x").alias("x"), weights.alias("w")).persist(StorageLevel.MEMORY_AND_DISK))
+    return (matrix.select("customer_id", F.xxhash64("customer_id").alias("h"), vector_to_array("x").alias("x"), weights.alias("w")).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,44 +126,109 @@ def uniforms(hashed: np.ndarray, tag: str) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0 ** 52
 
 
-def _more_centres(points: DataFrame, found: list[Centres], seed: int) -> None:
-    """One more starting centre for every fit, drawn with a chance in proportion to weight times squared distance from those
-    it has (k-means++): each customer draws a hashed waiting time, the shortest wins. One pass for all fits."""
+ROUNDS, OVERSAMPLE = 3, 2       # rounds of candidates for starting centres, and candidates a round for each centre
+TRIES = 8                       # reductions of the candidates to centres, of which the cheapest counts
+
+
+def _more_candidates(points: DataFrame, found: list[Centres], wanted: list[int], number: int, seed: int) -> None:
+    """More candidates for every fit, drawn with a chance in proportion to weight times squared distance from those it has: each customer
+    draws a hashed waiting time, the shortest win. One pass for all fits."""
     def race(batches):
-        best = {}
+        best: dict[int, list] = {}
         for hashed, x, w in _blocks(batches):
-            for i, f in enumerate(found):
+            for i, (f, n) in enumerate(zip(found, wanted)):
                 chance = _weight_of(f.fit, w) * (_nearest(x, f.centres)[1] if len(f.centres) else 1.0)
-                drawn = -np.log(uniforms(hashed, f"{seed}|{f.fit}|{len(f.centres)}"))
+                drawn = -np.log(uniforms(hashed, f"{seed}|{f.fit}|{number}"))
                 waits = np.divide(drawn, chance, out=np.full(len(x), np.inf), where=chance > 0)
-                first = int(np.argmin(waits))
-                if waits[first] < (best[i][0] if i in best else np.inf):
-                    best[i] = (float(waits[first]), x[first].tolist())
-        rows = sorted(best.items())
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b[0] for _, b in rows], pa.float64()),
-                                          pa.array([b[1] for _, b in rows], pa.list_(pa.float64()))], names=["i", "wait", "x"])
-
-    rows = _gathered(points, race, "i int, wait double, x array<double>", len(found), lambda df: df.groupBy("i").agg(F.min("wait").alias("wait"), F.min_by("x", "wait").alias("x")))
-    winners = {}
+                first = np.argsort(waits, kind="stable")[:n]
+                mine = best.setdefault(i, [])
+                mine += [(float(waits[j]), x[j].tolist()) for j in first if waits[j] < np.inf]
+                mine.sort()
+                del mine[n:]
+        rows = [(i, *b) for i, some in sorted(best.items()) for b in some]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()),
+                                          pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["i", "wait", "x"])
+
+    shortest = F.sort_array(F.collect_list(F.struct("wait", "x")))      # a task's shortest for each fit: bounded by tasks
+    got = _gathered(points, race, "i int, wait double, x array<double>", sum(wanted), lambda df: df.groupBy("i").agg(
+        F.slice(shortest, 1, max(wanted)).alias("s")).select("i", F.inline("s")))
+    drawn: dict[int, list] = {}
+    for r in got:
+        drawn.setdefault(r["i"], []).append((r["wait"], r["x"]))
+    for i, some in drawn.items():
+        found[i].centres = np.unique(np.vstack([found[i].centres, [x for _, x in sorted(some)[:wanted[i]]]]), axis=0)
+
+
+def _candidate_weights(points: DataFrame, found: list[Centres]) -> list[np.ndarray]:
+    """How much weight is nearest to each candidate."""
+    def count(batches):
+        total = [np.zeros(len(f.centres)) for f in found]
+        for _, x, w in _blocks(batches):
+            for f, t in zip(found, total):
+                if len(t):
+                    t += np.bincount(_nearest(x, f.centres)[0], _weight_of(f.fit, w), len(t))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array([t.tolist() for t in total], pa.list_(pa.float64()))], names=["i", "w"])
+
+    widest = max(len(f.centres) for f in found)
+    rows = _gathered(points, count, "i int, w array<double>", len(found), lambda df: df.groupBy("i").agg(
+        F.array(*[F.sum(F.get("w", F.lit(j))) for j in range(widest)]).alias("w")))
+    out = [np.zeros(len(f.centres)) for f in found]
     for r in rows:
-        if r["i"] not in winners or r["wait"] < winners[r["i"]]["wait"]:
-            winners[r["i"]] = r
-    for i, r in winners.items():
-        found[i].centres = np.vstack([found[i].centres, r["x"]])
+        out[r["i"]] += np.array([v or 0.0 for v in r["w"]][:len(out[r["i"]])], float)
+    return out
+
+
+def _reduced(candidates: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` of the weighted candidates, by k-means++ and a few steps: some dozen points for each fit."""
+    best, least = None, math.inf
+    for _ in range(TRIES):
+        centres = candidates[[rng.choice(len(candidates), p=weight / weight.sum())]]
+        while len(centres) < k:
+            chance = weight * _nearest(candidates, centres)[1]
+            if not chance.sum() > 0:
+                break
+            centres = np.vstack([centres, candidates[rng.choice(len(candidates), p=chance / chance.sum())]])
+        for _ in range(5):
+            label = _nearest(candidates, centres)[0]
+            centres = np.array([np.average(candidates[label == c], axis=0, weights=weight[label == c]) if weight[label == c].sum() > 0 else centres[c]
+                                for c in range(len(centres))])
+        cost = float((weight * _nearest(candidates, centres)[1]).sum())
+        if cost < least:
+            best, least = centres, cost
+    return best
+
+
+def _start(points: DataFrame, found: list[Centres], seed: int) -> None:
+    """Starting centres for all fits at once (k-means||): rounds of oversampled candidates, their weights, then a small reduction.
+    The number of passes doesn't depend on the number of centres."""
+    _more_candidates(points, found, [1] * len(found), 0, seed)
+    for number in range(1, ROUNDS + 1):
+        _more_candidates(points, found, [OVERSAMPLE * f.fit.k for f in found], number, seed)
+    for f, weight in zip(found, _candidate_weights(points, found)):
+        k, d = f.fit.k, f.centres.shape[1]
+        rng = np.random.default_rng([seed, k, f.fit.start, 0 if f.fit.resample is None else f.fit.resample + 1])
+        f.centres = _reduced(f.centres, weight, k, rng) if weight.sum() > 0 else np.zeros((0, d))
+        while len(f.centres) < k:                   # fewer different points than centres: repeat one
+            f.centres = np.vstack([f.centres, f.centres[-1] if len(f.centres) else np.zeros(d)])
 
 
 # rows of all tasks together up to which partial results come to the driver as they are; beyond, they are combined in an exchange first
 DIRECT_ROWS = 20_000
 
 
+@lru_cache(maxsize=4)
+def _tasks(points: DataFrame) -> int:
+    return points.rdd.getNumPartitions()
+
+
 def _gathered(points: DataFrame, work, schema: str, rows_per_task: int, combine):
     """Partial results of all tasks; many of them are combined by key before they come to the driver."""
-    partial = points.mapInArrow(work, schema)
-    many = rows_per_task * points.rdd.getNumPartitions() > DIRECT_ROWS
+    partial = points.select("h", "x", "w").mapInArrow(work, schema)
+    many = rows_per_task * _tasks(points) > DIRECT_ROWS
     return (combine(partial) if many else partial).collect()
 
 
-def _one_step(points: DataFrame, moving: list[Centres]) -> None:
+def _one_step(points: DataFrame, moving: list[Centres], tolerance: float) -> None:
     """Labels and new means for all fits in one pass. A row for each fit, cluster and task is shuffled, the means come to the driver."""
     def sums(batches):
         total = None
@@ -191,30 +257,46 @@ def _one_step(points: DataFrame, moving: list[Centres]) -> None:
         table = np.array([by_fit[i][c] for c in range(len(f.centres))])
         f.cost, f.sizes = float(table[:, 1].sum()), table[:, 0]
         means = np.where(table[:, :1] > 0, table[:, 2:] / np.maximum(table[:, :1], 1e-300), f.centres)
-        f.settled = float(((means - f.centres) ** 2).sum(axis=1).max()) <= 1e-4 ** 2
+        f.settled = float(((means - f.centres) ** 2).sum(axis=1).max()) <= tolerance ** 2
         if not f.settled:
             f.centres = means
 
 
-def fit_all(points: DataFrame, fits: list[Fit], seed: int = SEED, max_steps: int = 300) -> list[Centres]:
-    """All fits together: each step is one pass over the customers, whatever the number of fits. A fit ends when no centre
-    moves by more than 1e-4 deviations."""
-    d = len(points.first()["x"])
-    found = [Centres(f, np.zeros((0, d))) for f in fits]
-    while more := [f for f in found if len(f.centres) < f.fit.k]:
-        before = [len(f.centres) for f in more]
-        _more_centres(points, more, seed)
-        for f, had in zip(more, before):
-            if len(f.centres) == had:           # fewer different points than centres: repeat one
-                f.centres = np.vstack([f.centres, f.centres[-1] if had else np.zeros(d)])
+# how far a centre may still move when a start is compared with the others, and when a fit ends, in deviations
+COMPARED, ENDED = 1e-2, 1e-4
+
+
+def _move(points: DataFrame, found: list[Centres], tolerance: float, max_steps: int) -> None:
+    """Each step is one pass over the customers, whatever the number of fits. A fit ends when no centre moves by more than the tolerance."""
+    for f in found:
+        f.settled = False
     for _ in range(max_steps):
         moving = [f for f in found if not f.settled]
         if not moving:
             break
-        _one_step(points, moving)
+        _one_step(points, moving, tolerance)
+
+
+def fit_all(points: DataFrame, fits: list[Fit], seed: int = SEED, max_steps: int = 300) -> list[Centres]:
+    """All fits together, each to its end."""
+    d = len(points.first()["x"])
+    found = [Centres(f, np.zeros((0, d))) for f in fits]
+    _start(points, found, seed)
+    _move(points, found, ENDED, max_steps)
     return found
 
 
+def fit_best(points: DataFrame, fits: list[Fit], seed: int = SEED, max_steps: int = 300) -> dict[tuple[int, int | None], Centres]:
+    """The cheapest start for each (k, resample): all starts move until they can be compared, the cheapest ones go on to the end."""
+    d = len(points.first()["x"])
+    found = [Centres(f, np.zeros((0, d))) for f in fits]
+    _start(points, found, seed)
+    _move(points, found, COMPARED, max_steps)
+    best = best_of(found)
+    _move(points, list(best.values()), ENDED, max_steps)
+    return best
+
+
 def best_of(found: list[Centres]) -> dict[tuple[int, int | None], Centres]:
     """The cheapest start for each (k, resample)."""
     best: dict[tuple[int, int | None], Centres] = {}
@@ -228,9 +310,9 @@ def best_of(found: list[Centres]) -> dict[tuple[int, int | None], Centres]:
 def fit_kmeans(matrix: DataFrame, k: int, n_init: int = 10, seed: int = SEED) -> Centres:
     """The best of ``n_init`` starts by the sum of squared distances."""
     points = fit_points(matrix)
-    found = fit_all(points, [Fit(k, s) for s in range(n_init)], seed)
+    best = fit_best(points, [Fit(k, s) for s in range(n_init)], seed)
     points.unpersist()
-    return best_of(found)[k, None]
+    return best[k, None]
 
 
 def resample_agreement(points: DataFrame, reference: Centres, resampled: list[Centres]) -> DataFrame:
@@ -254,7 +336,7 @@ def resample_agreement(points: DataFrame, reference: Centres, resampled: list[Ce
 def bootstrap_ari(matrix: DataFrame, reference: Centres, k: int, n_boot: int = 100, n_init: int = 5, seed: int = SEED) -> DataFrame:
     """Refit on ``n_boot`` resamples, each with ``n_init`` starts, and compare the labels of all customers with the reference."""
     points = fit_points(matrix, n_boot, seed)
-    best = best_of(fit_all(points, [Fit(k, s, r) for r in range(n_boot) for s in range(n_init)], seed))
+    best = fit_best(points, [Fit(k, s, r) for r in range(n_boot) for s in range(n_init)], seed)
     return resample_agreement(points, reference, [best[k, r] for r in range(n_boot)])
 
 
@@ -302,7 +384,7 @@ def select_k(matrix: DataFrame, ks=config.K_RANGE, n_init: int = 10, n_boot: int
     n, d = matrix.count(), len(matrix.first()["x"])
     points = fit_points(matrix, n_boot)
     fits = [Fit(k, s) for k in ks for s in range(n_init)] + [Fit(k, s, r) for k in ks for r in range(n_boot) for s in range(boot_init)]
-    best = best_of(fit_all(points, fits))
+    best = fit_best(points, fits)
     mixtures, rows = fit_mixtures(matrix, ks, mixture_init), []
     for k in ks:
         model, labelled = best[k, None], best[k, None].transform(matrix)
