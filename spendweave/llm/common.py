@@ -95,11 +95,13 @@ def slices_for(rows: int) -> int:
     return max(1, math.isqrt(max(0, rows)))
 
 
-def running_total(df: DataFrame, keys: list[str], piece: str, order: list[Column], value: Column, out: str) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], piece: str, order: list[Column], value: Column, out: str,
+                  merge: bool = False) -> DataFrame:
     """Exclusive running sum of ``value`` within ``keys``, in the order (piece, *order).
 
     ``keys`` and ``piece`` must not be null. A key may hold any share of all rows: totals per (key, piece) are summed
-    first, the rows are then summed within their piece only, so no task has to hold a key.
+    first, the rows are then summed within their piece only, so no task has to hold a key. With ``merge`` the totals, one row for each
+    piece, are never broadcast; the rows are dealt by (key, piece) for the inner sums anyway.
     """
     before, within = "_before", "_value"
     rows = df.withColumn(within, value)
@@ -107,6 +109,6 @@ def running_total(df: DataFrame, keys: list[str], piece: str, order: list[Column
     earlier = W.partitionBy(*keys).orderBy(piece).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
     inner = W.partitionBy(*keys, piece).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (rows.join(offsets, [*keys, piece])
+    return (rows.join(offsets.hint("merge") if merge else offsets, [*keys, piece])
             .withColumn(out, F.col(before) + F.coalesce(F.sum(within).over(inner), F.lit(0)))
             .drop(before, within))

@@ -13,8 +13,9 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5          # words of the mix, in sizes of the corpus
 LIMIT = 2            # no source, and no document, is taken more often than this
-BLOCK_WORDS = 4096   # expected words of a slot
-SLOTS_PER_SOURCE = 256
+BLOCK_WORDS = 4096   # words of a block at most; a slot holds one block
+BLOCKS_PER_SOURCE = 256      # blocks that the smallest target should have, where the number of slots allows it
+MORE_SLOTS = 16              # times the slots of the largest blocks, and so many blocks for each source more, that there may be
 
 
 def golden_point(k):
@@ -49,7 +50,7 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, limit
     return ranked.withColumn("target", F.least(F.col("weight") * level, cap)).select("_key", "position", "source_size", "target")
 
 
-def schedule(sources: DataFrame, n_sources: int, slots: int) -> DataFrame:
+def schedule(sources: DataFrame, n_sources: int, slots: int, points=golden_point) -> DataFrame:
     """Slots (k, _key): the k-th point of the golden-ratio sequence, looked up in the sources' cumulative shares.
 
     Points and sources meet by equal grid cells. A source too small for any point gets one slot at the end.
@@ -63,23 +64,32 @@ def schedule(sources: DataFrame, n_sources: int, slots: int) -> DataFrame:
               .where("target > 0"))
     cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1)).cast("int")
     spans = shares.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi"))))).select("_key", "lo", "hi", "cell")
-    points = sources.sparkSession.range(slots).withColumnRenamed("id", "k").withColumn("x", golden_point(F.col("k"))).withColumn("cell", cell(F.col("x")))
-    hits = points.join(spans, "cell").where("x >= lo and x < hi").select("k", "_key")
+    placed = sources.sparkSession.range(slots).withColumnRenamed("id", "k").withColumn("x", points(F.col("k"))).withColumn("cell", cell(F.col("x")))
+    hits = placed.join(spans, "cell").where("x >= lo and x < hi").select("k", "_key")
     seen = hits.select("_key").distinct()
     missed = (sources.where("target > 0").join(seen, "_key", "left_anti").select((F.col("position") + slots).cast("long").alias("k"), "_key"))
     return hits.unionByName(missed)
 
 
+def block_size(words: float, smallest: float, n_sources: int, most: int = BLOCK_WORDS) -> int:
+    """Words of a block, the same for all sources: few enough that the smallest target is some hundred blocks, as far as the number of
+    slots stays within a multiple of what the largest blocks need."""
+    slots = MORE_SLOTS * (words / most + BLOCKS_PER_SOURCE * n_sources)
+    return max(1, min(most, math.floor(smallest / BLOCKS_PER_SOURCE)), math.ceil(words / max(slots, 1.0)))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, block_words: int = BLOCK_WORDS,
-        carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """How many words of each document the mix takes.
+        carry: tuple[str, ...] = ("doc_id",), points=golden_point) -> DataFrame:
+    """How many words of each document the mix takes, and in which slots of the schedule.
 
     Each source's documents are put in random order (by a digest of doc_id) and read as one stream of words, over again where
-    the target is above its size. The schedule gives a source its slots; the target is cut into as many blocks of equal words,
-    slot r takes block r. A document takes part with its words in the blocks of slots. The hot source is split in slices when
-    its stream is numbered, and its blocks are joined one by one.
+    the target is above its size. Streams are cut into blocks of equal words, one size for all sources; the r-th slot that the schedule
+    gives a source holds its block r. So the number of a source's slots decides how much of it is taken: its target, less at most the
+    blocks by which a low-discrepancy sequence falls short; the block in which the target ends is cut there. ``points`` maps the slots'
+    numbers to the sequence. The hot source is split in slices when its stream is numbered, and its blocks are joined one by one.
 
-    Returns ``carry``, size, source_size, target, taken, taken_passes (words taken in each reading of the stream).
+    Returns ``carry``, size, source_size, target, taken, taken_passes (words taken in each reading of the stream), slots (the first
+    slot of each reading, null where nothing is taken): the mix in the order of slots interleaves the sources.
     Null text: size 0. Null source: a source of its own. Null ids are ordered by their place in the table; repeated rows are
     documents of their own. A corpus without words, or an empty table, has targets 0. Other columns are ignored.
     """
@@ -89,50 +99,43 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
                              F.md5(F.concat(F.lit("mix|"), named)).alias("_order"),
                              F.monotonically_increasing_id().alias("_row")), "mix-rows")
     sources = stage(source_targets(rows, weights, share, limit), "mix-sources")
-    n_sources, words_out, n_rows = *sources.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first(), rows.count()
-    slots = max(math.ceil(words_out / block_words), SLOTS_PER_SOURCE * n_sources, 1)
+    n_sources, words_out, smallest, n_rows = *sources.agg(
+        F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0))).first(), rows.count()
+    each = block_size(words_out, smallest, n_sources, block_words)
+    slots = max(math.ceil(words_out / each), 1)
     slices = slices_for(slots)
-    planned = stage(schedule(sources, max(1, n_sources), slots).withColumn("_slice", F.floor(F.col("k") * slices / slots)), "mix-slots")
-    ranked = running_total(planned, ["_key"], "_slice", [F.col("k")], F.lit(1).cast("long"), "rank").select("_key", "rank")
+    planned = stage(schedule(sources, max(1, n_sources), slots, points).withColumn("_slice", F.floor(F.col("k") * slices / slots)), "mix-slots")
+    ranked = running_total(planned, ["_key"], "_slice", [F.col("k")], F.lit(1).cast("long"), "rank", merge=True).select("_key", "rank", "k")
 
-    # blocks: `each` words, one more in the first `more` of them
     per_source = (sources.join(planned.groupBy("_key").agg(F.count("*").alias("n_slots")), "_key", "left")
-                  .withColumn("goal", F.round("target").cast("long"))
-                  .withColumn("n_slots", F.greatest(F.coalesce("n_slots", F.lit(0)), F.lit(1)).cast("long"))
-                  .withColumn("each", F.expr("goal div n_slots")).withColumn("more", F.col("goal") % F.col("n_slots")))
+                  .withColumn("goal", F.least(F.round("target").cast("long"), F.coalesce("n_slots", F.lit(0)) * each)))
     slice_of = F.shiftright(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * slices_for(n_rows), 32)
     placed = running_total(rows.withColumn("_slice", slice_of), ["_key"], "_slice", [F.col("_order"), F.col("size"), F.col("_row")],
-                           F.col("size"), "_start")
-    streams = placed.join(per_source.select("_key", "source_size", "target", "goal", "each", "more"), "_key")
-    streams = stage(streams.select(*carry, "_row", "_key", "size", "source_size", "target", "_start", "goal", "each", "more"), "mix-streams")
-
-    turn = F.explode(F.sequence(F.lit(0), F.lit(limit - 1)))
-
-    def block(p):
-        wide = F.col("more") * (F.col("each") + 1)
-        return F.when(p < wide, F.floor(p / (F.col("each") + 1))).otherwise(
-            F.col("more") + F.floor((p - wide) / F.greatest(F.col("each"), F.lit(1)))).cast("long")
-
-    def first_word(r):
-        return r * F.col("each") + F.least(r, F.col("more"))
+                           F.col("size"), "_start", merge=True)
+    streams = placed.join(per_source.select("_key", "source_size", "target", "goal"), "_key")
+    streams = stage(streams.select(*carry, "_row", "_key", "size", "source_size", "target", "_start", "goal"), "mix-streams")
 
-    parts = (streams.where("size > 0").withColumn("turn", turn)
+    block = lambda p: F.floor(p / each).cast("long")
+    turns = range(limit)
+    parts = (streams.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
              .withColumn("a", F.col("_start") + F.col("turn") * F.col("source_size"))
              .withColumn("b", F.least(F.col("a") + F.col("size"), F.col("goal"))).where("a < b")
              .withColumn("rank", F.explode(F.sequence(block(F.col("a")), block(F.col("b") - 1))))
-             .withColumn("words", F.least("b", first_word(F.col("rank") + 1)) - F.greatest("a", first_word(F.col("rank"))))
+             .withColumn("words", F.least("b", (F.col("rank") + 1) * each) - F.greatest("a", F.col("rank") * each))
              .select("_row", "_key", "turn", "rank", "words"))
-    used = parts.join(ranked, ["_key", "rank"]).groupBy("_row").agg(
-        F.sum("words").alias("taken"), *[F.sum(F.when(F.col("turn") == t, F.col("words")).otherwise(0)).alias(f"_{t}") for t in range(limit)])
+    of = lambda t, c: F.when(F.col("turn") == t, F.col(c))
+    used = parts.join(ranked.hint("merge"), ["_key", "rank"]).groupBy("_row").agg(
+        F.sum("words").alias("taken"), *[F.sum(of(t, "words")).alias(f"_w{t}") for t in turns], *[F.min(of(t, "k")).alias(f"_k{t}") for t in turns])
     none = F.lit(0).cast("long")
-    return (streams.join(used, "_row", "left")
+    return (streams.join(used.hint("merge"), "_row", "left")
             .select(*carry, "size", "source_size", "target", F.coalesce("taken", none).alias("taken"),
-                    F.array(*[F.coalesce(f"_{t}", none) for t in range(limit)]).alias("taken_passes")))
+                    F.array(*[F.coalesce(f"_w{t}", none) for t in turns]).alias("taken_passes"), F.array(*[F.col(f"_k{t}") for t in turns]).alias("slots")))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mix(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken",
+                            F.array_min("slots").alias("first_slot"))
 
 
 SQL = r"""
@@ -144,11 +147,23 @@ c AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY cap / weight, position ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 l AS (SELECT arg_min(level, cap / weight) AS level FROM c WHERE level <= cap / weight),
-t AS (SELECT source, source_size, least(weight * coalesce((SELECT level FROM l), 0), cap) AS target FROM c),
-p AS (SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS goal, coalesce(sum(size) OVER (PARTITION BY d.source
+t AS (SELECT source, position, source_size, least(weight * coalesce((SELECT level FROM l), 0), cap) AS target FROM c),
+u AS (SELECT source, position, target, row_number() OVER (ORDER BY position) = count(*) OVER () AS last, coalesce(sum(target) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) /
+        greatest(sum(target) OVER (), 1e-300), 0) AS lo, sum(target) OVER (ORDER BY position ROWS UNBOUNDED PRECEDING) / greatest(sum(target) OVER (), 1e-300) AS hi
+      FROM t),
+z AS (SELECT greatest(1, least(4096, floor(coalesce(min(target) FILTER (target > 0), 0) / 256)), ceil(sum(target) / greatest(16 * (sum(target) / 4096 + 256 * count(*)), 1)))::BIGINT AS each,
+        sum(target) AS words FROM t),
+k AS (SELECT k, (k >> 20) * ((1048576 * ((sqrt(5.0::DOUBLE) - 1) / 2)) % 1) + (k % 1048576) * ((sqrt(5.0::DOUBLE) - 1) / 2) AS y
+      FROM (SELECT unnest(range(greatest(1, ceil(words / each))::BIGINT)) AS k FROM z)),
+h AS (SELECT u.position, count(*) AS n, list(k ORDER BY k) AS ks FROM k JOIN u ON target > 0 AND y - floor(y) >= lo AND (y - floor(y) < hi OR last) GROUP BY ALL),
+g AS (SELECT u.source, least(round(target)::BIGINT, coalesce(n, 1) * (SELECT each FROM z)) AS goal,
+        coalesce(ks, [position + greatest(1, ceil((SELECT words / each FROM z)))::BIGINT]) AS ks FROM u LEFT JOIN h USING (position)),
+p AS (SELECT d.*, t.source_size, t.target, g.goal, g.ks, coalesce(sum(size) OVER (PARTITION BY d.source
         ORDER BY md5('mix|' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
-       (greatest(0, least(a + size, goal) - a) + greatest(0, least(a + source_size + size, goal) - a - source_size))::BIGINT AS taken
+       (greatest(0, least(a + size, goal) - a) + greatest(0, least(a + source_size + size, goal) - a - source_size))::BIGINT AS taken,
+       CASE WHEN size > 0 THEN least(CASE WHEN a < goal THEN ks[a // (SELECT each FROM z) + 1] END,
+                                     CASE WHEN a + source_size < goal THEN ks[(a + source_size) // (SELECT each FROM z) + 1] END) END AS first_slot
 FROM p
 """
