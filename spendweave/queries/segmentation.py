@@ -1,6 +1,7 @@
 """Fitted segments at card grain, with full numbers of starts, resamples and trees."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -98,13 +99,32 @@ def k_selection(spark, sf):
     return segmentation.select_k(_matrix(spark, sf))
 
 
+def _mixtures(spark, sf):
+    points = segmentation.fit_points(_matrix(spark, sf))
+    return points, segmentation.fit_all_mixtures(points, [config.CHOSEN_K])
+
+
 def gmm_bic(spark, sf):
-    matrix = _matrix(spark, sf)
-    n, d = matrix.count(), len(config.CLUSTER_COLUMNS)
-    model = segmentation.fit_mixture(matrix, config.CHOSEN_K)
-    bic = segmentation.mixture_bic(model, n, config.CHOSEN_K, d)
-    return model.transform(matrix).groupBy("component").agg(F.count("*").alias("customers")).withColumn(
-        "gmm_bic", F.lit(bic))
+    points, found = _mixtures(spark, sf)
+    model = segmentation.likeliest(found)[config.CHOSEN_K]
+    return segmentation.component_sizes(points, model).withColumn("gmm_bic", F.lit(model.bic(points.count())))
+
+
+def mixture_check(spark, sf):
+    """What every mixture has to fulfil, one row per start: no pass loses more of the mean log-likelihood than a fit may still gain at its
+    end, no variance in any direction is below the floor, shares add up, everybody belongs to a component."""
+    points, found = _mixtures(spark, sf)
+    rows = []
+    for m in found:
+        least = float(np.linalg.eigvalsh(m.covariances).min())
+        rows.append((m.start, [float(v) for v in m.trace], least, float(m.shares.sum()),
+                     segmentation.component_sizes(points, m).agg(F.sum("customers")).first()[0]))
+    fits = spark.createDataFrame(rows, "start long, trace array<double>, least double, shares double, all_customers long")
+    steps = F.zip_with(F.slice("trace", 2, F.size("trace")), F.slice("trace", 1, F.size("trace") - 1), lambda after, before: after - before)
+    return fits.select("start", F.forall(steps, lambda gain: gain >= -segmentation.MIXTURE_ENDED).alias("never_falls"),
+                       (F.element_at("trace", -1) >= F.element_at("trace", 1)).alias("gains"),
+                       (F.col("least") >= segmentation.FLOOR * (1 - 1e-6)).alias("above_floor"),
+                       (F.abs(F.col("shares") - 1) < 1e-9).alias("shares_add_up"), "all_customers")
 
 
 def pca_2d(spark, sf):
@@ -119,4 +139,4 @@ def artifact_classifier(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     cluster_matrix, stratified_folds, artifact_associations, majority_baseline, classifier_inputs, kmeans_segments,
-    kmeans_profile, kmeans_check, segment_assignments, bootstrap_stability, k_selection, gmm_bic, pca_2d, artifact_classifier)}
+    kmeans_profile, kmeans_check, segment_assignments, bootstrap_stability, k_selection, gmm_bic, mixture_check, pca_2d, artifact_classifier)}

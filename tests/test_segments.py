@@ -154,3 +154,53 @@ def test_forest_sees_what_demographics_tell(features):
     row = segmentation.artifact_check(labelled, "segment_id", trees=5, depth=4).first()
     assert row["majority_baseline_accuracy"] == pytest.approx(1 / 3)
     assert row["demographics_only_accuracy"] > 0.95
+
+
+def mixture_points(spark, n=900, d=3):
+    rng = np.random.default_rng(8)
+    kind = rng.choice(3, n, p=[0.5, 0.3, 0.2])
+    spread = np.array([np.eye(d), np.diag([0.2, 2.0, 1.0]), [[1, 0.8, 0], [0.8, 1, 0], [0, 0, 0.1]]])
+    x = np.array([rng.multivariate_normal([8.0 * k, -4.0 * k, 0], spread[k]) for k in kind])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "customer_id long, x array<double>")
+    return frame.select("customer_id", F.xxhash64("customer_id").alias("h"), "x", F.array().cast("array<int>").alias("w")).cache(), x, kind, spread
+
+
+@pytest.mark.parametrize("direct", [20_000, 0])       # partial results straight to the driver, and combined in an exchange
+def test_mixtures_find_planted_components(spark, monkeypatch, direct):
+    monkeypatch.setattr(segmentation, "DIRECT_ROWS", direct)
+    points, x, kind, spread = mixture_points(spark)
+    found = segmentation.fit_all_mixtures(points, [2, 3], n_init=2)
+    best = segmentation.likeliest(found)
+    assert best[3].bic(len(x)) < best[2].bic(len(x))
+    for m in found:
+        assert len(m.trace) > 1 and min(np.diff(m.trace)) > -segmentation.MIXTURE_ENDED
+        assert np.linalg.eigvalsh(m.covariances).min() >= segmentation.FLOOR * (1 - 1e-6)
+        # the last value of the trace, by the textbook formula
+        density = sum(p * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(v), x - mean)) / np.sqrt(np.linalg.det(2 * np.pi * v))
+                      for p, mean, v in zip(m.shares, m.means, m.covariances))
+        assert m.trace[-1] == pytest.approx(np.log(density).mean())
+    order = np.argsort(best[3].means[:, 0])
+    assert best[3].shares[order] == pytest.approx([np.mean(kind == k) for k in range(3)], abs=0.01)
+    for k, c in enumerate(order):
+        own = x[kind == k]
+        assert best[3].means[c] == pytest.approx(own.mean(0), abs=0.05)
+        assert best[3].covariances[c] == pytest.approx(np.cov(own.T, bias=True) + segmentation.FLOOR * np.eye(3), abs=0.1)
+    sizes = {r["component"]: r["customers"] for r in segmentation.component_sizes(points, best[3]).collect()}
+    assert [sizes[c] for c in order] == [int((kind == k).sum()) for k in range(3)]
+
+
+def test_mixture_of_repeated_points_stays_at_the_floor(spark):
+    rows = [(i, [float(i % 2), 1.0]) for i in range(40)]
+    points = spark.createDataFrame(rows, "customer_id long, x array<double>").select(
+        "customer_id", F.xxhash64("customer_id").alias("h"), "x", F.array().cast("array<int>").alias("w"))
+    for m in segmentation.fit_all_mixtures(points, [2, 3], n_init=1):
+        assert np.isfinite(m.trace).all() and m.shares.sum() == pytest.approx(1)
+        assert np.linalg.eigvalsh(m.covariances).min() >= segmentation.FLOOR * (1 - 1e-6)
+
+
+def test_labels_that_agree(spark):
+    points, x, kind, _ = mixture_points(spark)
+    mixture = segmentation.likeliest(segmentation.fit_all_mixtures(points, [3], n_init=1))[3]
+    centres = segmentation.Centres(segmentation.Fit(3, 0), mixture.means[::-1])
+    rows = segmentation.agreement(points, [centres, mixture], [(7, 0, 1), (8, 1, 1)]).collect()
+    assert {r["rep"]: r["ari"] for r in rows} == pytest.approx({7: 1.0, 8: 1.0}, abs=0.02)
