@@ -186,6 +186,15 @@ def trigger_events(panel: DataFrame, rules: TriggerRules = TriggerRules(),
                    _dining_candidate(rule))
 
 
+def trigger_states(panel: DataFrame, rules: TriggerRules = TriggerRules(), portfolio: DataFrame | None = None) -> DataFrame:
+    """Every month in which a customer is in a trigger's state, before any cooldown: the event columns and month_idx."""
+    portfolio = portfolio_month(panel) if portfolio is None else portfolio
+    rule = rule_columns(rules)
+    rows = _candidates(all_windows(panel, portfolio), ("customer_id", "month", "month_idx"),
+                       (_travel_candidate(rule), _first_candidate(rule), _dining_candidate(rule)))
+    return rows.filter("in_state").select(*EVENT_COLUMNS, "month_idx")
+
+
 def ordered(events: DataFrame) -> DataFrame:
     """Total order for presentation."""
     return events.orderBy("month", "trigger_name", "customer_id")
