@@ -16,8 +16,9 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """A managed table (digest, keep_id, batch), bucketed and sorted by digest.
 
-    New data comes in batches. The distinct digests of a batch are anti-joined with the index, bucket against sorted bucket,
-    so the index isn't shuffled or sorted again; what is new is appended. A digest is never changed once it is in.
+    New data comes in batches. The distinct digests of a batch are anti-joined with the index, bucket against bucket, so the index isn't
+    shuffled again; what is new is appended. Every append adds a sorted file to each bucket, and a join sorts within a bucket, since
+    Spark doesn't merge sorted files. A digest is never changed once it is in.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
@@ -46,24 +47,38 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def id_ranges(rows: DataFrame, ranges: int):
+    """The number of a row's range of doc_id, ranges of about equal size in the order of the ids; null ids are in the last one."""
+    cuts = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
+    above = [F.when(F.col("doc_id") > F.lit(c), 1).otherwise(0) for c in cuts]
+    return F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(sum(above, F.lit(0))), len(cuts) + 1
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", carry: tuple[str, ...] = ("doc_id",), ranges: int = 1) -> DataFrame:
     """Decide for every row whether it stays, and add the batch to the index.
 
     Texts are equal when identical after replacing each run of white space by one space; null counts as empty. Of equal
     texts of a batch, the row with the smallest doc_id stays (null ids last; of repeated ids one row), unless the index has
     the text from an earlier batch: then no row stays. Empty tables add nothing. Other columns are ignored.
 
+    With ``ranges`` above one the batch is loaded in that many ranges of doc_id, lowest first, so that each load is smaller and meets what
+    the ranges before it have added. The result is the same for any number of ranges.
+
     Returns ``carry``, keep_id, group_size (rows of this batch with the text), kept, text_sha256. A text that is held by a
     third of all rows is one row for each map task in the aggregation, and its rows are split between tasks in the join.
     """
     rows = stage(docs.select(*carry, F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"),
                              F.monotonically_increasing_id().alias("_row")), "digest-rows")
     id_last = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
-    in_batch = stage(rows.groupBy("digest").agg(      # a stage, or the anti-join would be planned before the aggregation
+    load, loads = id_ranges(rows, ranges)
+    in_batch = stage(rows.groupBy("digest", load.cast("int").alias("_load")).agg(      # a stage, or the anti-join would be planned before the aggregation
         F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"),
         F.min_by("_row", F.struct(id_last, F.col("doc_id"), F.col("_row"))).alias("_first")), "digest-batch")
-    known = index.add(in_batch.select("digest", "keep_id"), batch).hint("merge")
-    groups = stage(in_batch.drop("keep_id").join(known, "digest").select(
+    for i in range(loads):
+        index.add(in_batch.where(F.col("_load") == i).select("digest", "keep_id"), batch)
+    whole = in_batch.drop("keep_id", "_load") if loads == 1 else in_batch.groupBy("digest").agg(
+        F.sum("group_size").alias("group_size"), F.min_by("_first", "_load").alias("_first"))
+    groups = stage(whole.join(index.table().hint("merge"), "digest").select(
         "digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("_first")).alias("_stays")), "digest-groups")
     joined = rows.join(groups.hint("merge"), "digest")
     return joined.select(*carry, "keep_id", "group_size", F.coalesce(F.col("_row") == F.col("_stays"), F.lit(False)).alias("kept"),
@@ -71,9 +86,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", carry: tu
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """The documents in two loads: the second meets the digests of the first in the index."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}")
-    result = deduplicate(docs, index)
+    result = deduplicate(docs, index, ranges=2)
     index.drop()      # the result reads stages, and this index has no later batch
     return result
 

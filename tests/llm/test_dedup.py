@@ -43,6 +43,31 @@ def test_later_batches_meet_the_index(spark, index):
     assert sorted((r.doc_id, r.kept) for r in again.collect()) == [(1, False), (8, True), (9, False)] and index.table().count() == 3
 
 
+@pytest.mark.parametrize("ranges", [2, 3, 50])
+def test_ranges_of_ids_make_no_difference(spark, odd, none, ranges):
+    rng = random.Random(ranges)
+    texts = [f"text  {rng.randrange(40)}" for _ in range(200)]
+    rows = [(rng.randrange(150) if i % 9 else None, None if i % 31 == 0 else t) for i, t in enumerate(texts)]
+    for docs in (odd, none, spark.createDataFrame(rows, "doc_id long, text string").repartition(6)):
+        got = []
+        for n in (1, ranges):
+            made = exact_dedup.DigestIndex(spark, f"test_ranges_{uuid.uuid4().hex[:8]}", buckets=4)
+            got.append(sorted(map(str, exact_dedup.deduplicate(docs, made, ranges=n).collect())))
+            by_digest = [r.digest for r in made.table().collect()]
+            assert len(by_digest) == len(set(by_digest))
+            made.drop()
+        assert got[0] == got[1]
+
+
+def test_the_second_range_meets_the_index(spark, index):
+    docs = spark.createDataFrame([(i, f"t {i % 6}") for i in range(12)], "doc_id long, text string")
+    met = []
+    add = index.add
+    index.add = lambda digests, batch: met.append((index.table().count(), digests.count())) or add(digests, batch)
+    assert sum(r.kept for r in exact_dedup.deduplicate(docs, index, ranges=2).collect()) == 6
+    assert met == [(0, 6), (6, 6)] and index.table().count() == 6
+
+
 def test_index_side_is_not_shuffled(spark, index):
     exact_dedup.deduplicate(spark.createDataFrame([(1, "x")], "doc_id long, text string"), index).collect()
     new = spark.createDataFrame([(b"x", 1)], "digest binary, keep_id long").repartition(index.buckets, "digest")
