@@ -26,6 +26,9 @@ FURNITURE = frozenset((
     "breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe subscription signup login search social share sharing related recommended recommendations comment comments "
     "disqus respond reply replies widget widgets copyright complementary contentinfo").split())
+# of these, names that say less about an element when they only qualify another word (notice-board, search-history), and words of layout
+QUALIFIERS = frozenset("notice notices alert search".split())
+LAYOUT = frozenset("area bar block box button container content form icon inner input item list message outer panel row site text top wrap wrapper".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
 NAMING = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -44,8 +47,17 @@ def _names(attributes: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in NAMING.findall(attributes)} if attributes else {}
 
 
+def _marks_furniture(name: str) -> bool:
+    """One class, id or role, by its parts. A qualifier counts where it is the last part, or where only words of layout stand beside it."""
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if p]
+    found = FURNITURE.intersection(parts)
+    if found - QUALIFIERS:
+        return True
+    return bool(found) and (parts[-1] in QUALIFIERS or all(p in QUALIFIERS or p in LAYOUT for p in parts))
+
+
 def _is_furniture(names: dict[str, str]) -> bool:
-    return any(not FURNITURE.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())) for v in names.values())
+    return any(_marks_furniture(name) for v in names.values() for name in v.split())
 
 
 def _step(tag: str, names: dict[str, str]) -> str:
@@ -192,12 +204,23 @@ def text_under(page: Page, path: str) -> str:
     return "\n".join(text for container, text, _ in page.blocks if wanted[container])
 
 
-def extract(source: str | None, paths: list[str] | None) -> str:
-    """Text under the first of the host's paths that has any, else under the page's own best container."""
+def extract(source: str | None, paths: list[str] | None, shares: list[float] | None = None) -> str:
+    """Text under one of the host's paths, else under the page's own best container.
+
+    A host may have several templates, and a small box may lie where another template has its article. So of the host's paths
+    that have text here, the one with the largest score on this page times the square of its share of the host's votes counts;
+    of equal ones, such as those without prose, the first.
+    """
     page = parse(source or "")
-    for path in paths or ():
-        if text := text_under(page, path):
-            return text
+    if paths:
+        scores: dict[str, float] = {}
+        for (_, path), score in zip(page.containers, container_scores(page)):
+            scores[path] = max(score, scores.get(path, 0.0))
+        weights = shares or [1.0] * len(paths)
+        here = sorted((-scores[path] * weight ** 2, i) for i, (path, weight) in enumerate(zip(paths, weights)) if path in scores)
+        for _, i in here:
+            if text := text_under(page, paths[i]):
+                return text
     return text_under(page, best_container(page)[0])
 
 
@@ -206,7 +229,7 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """Winning paths of each host: (host, paths). Each page votes for the path of its best container; votes are counted by
+    """Winning paths of each host and their shares of its votes: (host, paths, shares). Each page votes for the path of its best container; votes are counted by
     (host, path), pre-aggregated, and paths with a tenth of a host's votes or more win, most votes first (ties: more text, then
     by name). So a host has ten paths at most."""
     schema = "host string, path string, score double"
@@ -221,8 +244,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, schema)
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
     shared = counted.withColumn("of", F.sum("votes").over(W.partitionBy("host"))).where(F.col("votes") >= SHARE * F.col("of"))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.round("score")).alias("s"), "path")))
-    return shared.groupBy("host").agg(ranked.alias("r")).select("host", F.col("r.path").alias("paths"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.round("score")).alias("s"), "path",
+                                                       (F.col("votes") / F.col("of")).alias("share"))))
+    return shared.groupBy("host").agg(ranked.alias("r")).select("host", F.col("r.path").alias("paths"), F.col("r.share").alias("shares"))
 
 
 def main_texts(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -236,14 +260,14 @@ def main_texts(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url")) ->
     carry = list(carry)
     winners = stage(host_paths(pages), "html-paths")
     wanted = pages.select(*carry, host_of(F.col("url")).alias("_host"), F.col("html").alias("_html"))
-    joined = wanted.join(winners, F.col("_host") == F.col("host"), "left").select(*carry, "_html", "paths")
+    joined = wanted.join(winners, F.col("_host") == F.col("host"), "left").select(*carry, "_html", F.col("paths").alias("_paths"), F.col("shares").alias("_shares"))
     schema = T.StructType([*[pages.schema[c] for c in carry], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
-                texts = [extract(s.as_py(), p.as_py()) for s, p in zip(batch.column("_html"), batch.column("paths"))]
+                texts = [extract(*(v.as_py() for v in row)) for row in zip(*(batch.column(c) for c in ("_html", "_paths", "_shares")))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(texts, pa.string()),
                                                   pa.array(map(len, texts), pa.int64())], names=[f.name for f in schema])
 
