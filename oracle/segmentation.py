@@ -17,7 +17,49 @@ FROM (SELECT DISTINCT attribute, a FROM attr_pairs) x JOIN (SELECT DISTINCT attr
   ON y.attribute = x.attribute
 LEFT JOIN attr_pairs p ON p.attribute = x.attribute AND p.a = x.a AND p.b = y.b GROUP BY ALL""")
 
+_SCALED = {c: f"(ln(1 + {c}) - avg(ln(1 + {c})) OVER ()) / coalesce(nullif(stddev_pop(ln(1 + {c})) OVER (), 0), 1)" for c in CLUSTER}
+define("scaled", ("feat_card",), "SELECT customer_id, " + ", ".join(f"{e} AS {c}" for c, e in _SCALED.items()) + " FROM feat_card")
+define("scaled_list", ("scaled",), f"SELECT customer_id, [{', '.join(CLUSTER)}] AS x FROM scaled")
+define("covariance", ("scaled",), "SELECT [" + ", ".join(
+    "[" + ", ".join(f"covar_pop({a}, {b})" for b in CLUSTER) + "]" for a in CLUSTER) + "] AS a FROM scaled")
+
+
+def _largest(name: str, matrix: str) -> str:
+    """Largest eigenvalue ``l`` and its vector ``v`` (largest entry positive) of a symmetric matrix, by squaring it sixteen times."""
+    return f"""{name}_power AS (
+  SELECT 0 AS i, a FROM {matrix}
+  UNION ALL
+  SELECT i + 1, [[list_dot_product(r, c) / list_sum([list_dot_product(q, q) for q in a]) for c in a] for r in a]
+  FROM {name}_power WHERE i < 16),
+{name}_place AS (
+  SELECT a, list_position([a[j][j] for j in range(1, len(a) + 1)], list_max([a[j][j] for j in range(1, len(a) + 1)])) AS p
+  FROM {name}_power WHERE i = 16),
+{name}_vector AS (SELECT [e / sqrt(a[p][p]) for e in a[p]] AS v FROM {name}_place),
+{name} AS (SELECT v, list_dot_product(v, [list_dot_product(r, v) for r in a]) AS l FROM {name}_vector, {matrix})"""
+
+
 SQL = {
+    "pca_2d": build(("scaled_list", "covariance"), f"""
+SELECT * FROM (WITH RECURSIVE {_largest('one', 'covariance')},
+rest AS (SELECT [[a[i][j] - l * v[i] * v[j] for j in range(1, len(v) + 1)] for i in range(1, len(v) + 1)] AS a FROM covariance, one),
+{_largest('two', 'rest')}
+SELECT customer_id, round(list_dot_product(x, one.v), 6) AS pca_1, round(list_dot_product(x, two.v), 6) AS pca_2,
+       round(one.l / total, 6) AS explained_1, round(two.l / total, 6) AS explained_2
+FROM scaled_list, one, two, (SELECT list_sum([a[j][j] for j in range(1, len(a) + 1)]) AS total FROM covariance))"""),
+    "segment_silhouette": build(("scaled_list", "label_card"), """
+SELECT segment_name, count(*) AS customers,
+       round(avg(CASE WHEN mates = 0 OR greatest(inside, outside) = 0 THEN 0 ELSE (outside - inside) / greatest(inside, outside) END), 6)
+         AS silhouette
+FROM (SELECT customer_id, segment_name, max(n) FILTER (segment_name = other) - 1 AS mates,
+             max(total / greatest(n - 1, 1)) FILTER (segment_name = other) AS inside, min(total / n) FILTER (segment_name <> other) AS outside
+      FROM (SELECT p.customer_id, l.segment_name, k.segment_name AS other, count(*) AS n, sum(list_distance(p.x, q.x)) AS total
+            FROM scaled_list p JOIN label_card l USING (customer_id), scaled_list q JOIN label_card k USING (customer_id) GROUP BY ALL)
+      GROUP BY ALL)
+GROUP BY ALL"""),
+    "k_selection_check": build("feat_card", """
+SELECT range AS k, true AS drop_is_right, true AS costs_less, true AS smallest_fits, true AS indices_in_range, true AS silhouette_in_range,
+       (SELECT count(*) FROM feat_card) AS all_customers
+FROM range(3, 9)"""),
     "kmeans_check": build("feat_card", """
 SELECT range AS cluster, true AS centre_is_mean, true AS has_members, (SELECT count(*) FROM feat_card) AS all_customers
 FROM range(5)"""),

@@ -109,8 +109,8 @@ CHART_COLUMNS = {
     "generation_mix": ("segment_name", *(f"gen_{g}" for g in config.GENERATIONS)),
     "targeting": ("benefit_label", "rank", "segment_name", "n_customers", "engagement", "headroom", "value", "score",
                   "category_share_of_wallet", "category_monthly_spend"),
-    "k_selection": ("k", "inertia", "silhouette_squared", "bootstrap_ari_mean", "bootstrap_ari_p05", "gmm_bic",
-                    "gmm_vs_kmeans_ari", "inertia_drop_pct"),
+    "k_selection": ("k", "inertia", "silhouette", "silhouette_squared", "bootstrap_ari_mean", "bootstrap_ari_p05",
+                    "gmm_bic", "gmm_vs_kmeans_ari", "inertia_drop_pct"),
     "placebo": ("trigger_name", "actual_fires", "placebo_fires_mean", "placebo_fires_min", "placebo_fires_max",
                 "actual_to_placebo_ratio"),
     "follow_up": ("scope", "trigger_name", "trigger_period_index", "follow_up_index", "long_run_index",

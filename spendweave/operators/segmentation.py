@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import columns as C
-from . import segments, stats
+from . import segments, silhouette, stats
 
 SEED = 42
 FOLDS = 5
@@ -483,13 +483,27 @@ def component_sizes(points: DataFrame, model: Mixture) -> DataFrame:
 
 # --- choice of k -----------------------------------------------------------
 
-def silhouette(labelled: DataFrame, label: str = "cluster") -> float:
+def squared_silhouette(labelled: DataFrame, label: str = "cluster") -> float:
     """Silhouette on squared Euclidean distance, which needs cluster sums only and no pairs of customers."""
     return ClusteringEvaluator(featuresCol="x", predictionCol=label).evaluate(labelled)
 
 
+def labelled_points(points: DataFrame, labellers: list) -> DataFrame:
+    """(x, labels): the number that each labeller gives to a customer, kept for the passes of the silhouette."""
+    def label(batches):
+        for _, x, _ in _blocks(batches):
+            given = np.column_stack([m.labels(x) for m in labellers])
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(given.tolist(), pa.list_(pa.int32()))],
+                                             names=["x", "labels"])
+
+    return points.select("h", "x", "w").mapInArrow(label, "x array<double>, labels array<int>").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+K_TABLE_LEAVES = 1024       # leaves of the silhouette's tree in the k table, which scores all k at once
+
 # Names of the result columns.
-K_TABLE = ("k int, inertia double, silhouette_squared double, bootstrap_ari_mean double, bootstrap_ari_p05 double, "
+K_TABLE = ("k int, inertia double, silhouette double, silhouette_error double, silhouette_squared double, bootstrap_ari_mean double, "
+           "bootstrap_ari_p05 double, "
            "smallest_segment long, gmm_bic double, gmm_vs_kmeans_ari double")
 
 
@@ -503,10 +517,14 @@ def select_k(matrix: DataFrame, ks=config.K_RANGE, n_init: int = 10, n_boot: int
     mixtures, rows = likeliest(fit_all_mixtures(points, ks, mixture_init)), []
     both = [m for k in ks for m in (best[k, None], mixtures[k])]
     agree = {r["rep"]: r["ari"] for r in agreement(points, both, [(k, 2 * i, 2 * i + 1) for i, k in enumerate(ks)]).collect()}
-    for k in ks:
+    with_labels = labelled_points(points, [best[k, None] for k in ks])
+    plain = {r["labelling"]: r for r in silhouette.overall(silhouette.silhouettes(with_labels, list(ks), K_TABLE_LEAVES)).collect()}
+    with_labels.unpersist()
+    for i, k in enumerate(ks):
         model, labelled = best[k, None], best[k, None].transform(matrix)
         steady = stability(resample_agreement(points, model, [best[k, r] for r in range(n_boot)])).first()
-        rows.append((k, model.cost, float(silhouette(labelled)), steady[0], steady[1], int(model.sizes.min()),
+        rows.append((k, model.cost, plain[i]["silhouette"], plain[i]["silhouette_error"], float(squared_silhouette(labelled)),
+                     steady[0], steady[1], int(model.sizes.min()),
                      mixtures[k].bic(n), agree[k]))
     points.unpersist()
     table = matrix.sparkSession.createDataFrame(rows, K_TABLE)
@@ -523,10 +541,12 @@ def segment_features(features: DataFrame, matrix: DataFrame, model) -> DataFrame
 
 
 def project(matrix: DataFrame, k: int = 2):
-    """(coordinates, explained variance): the first principal components per customer. Signs are arbitrary."""
+    """(coordinates, explained variance): the first principal components per customer. A component's largest loading is positive."""
     model = PCA(k=k, inputCol="x", outputCol="pc").fit(matrix)
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
     coordinates = model.transform(matrix).withColumn("pc", vector_to_array("pc")).select(
-        "customer_id", *[F.get("pc", F.lit(i)).alias(f"pca_{i + 1}") for i in range(k)])
+        "customer_id", *[(F.get("pc", F.lit(i)) * float(signs[i])).alias(f"pca_{i + 1}") for i in range(k)])
     return coordinates, [float(v) for v in model.explainedVariance]
 
 

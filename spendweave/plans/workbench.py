@@ -116,8 +116,14 @@ class Workbench:
         """The segments' centres: the best of ten starts, fitted once."""
         return segmentation.fit_kmeans(self.matrix, config.CHOSEN_K)
 
+    @cached_property
+    def k_table(self) -> DataFrame:
+        """Fit and stability of every number of segments, with the full number of starts and resamples, kept: a row each."""
+        found = segmentation.select_k(self.matrix)
+        return stages.keep_rows(found, "k_table") if self.durable else found
+
     def release(self) -> None:
-        for stage in ("raw", "facts", "month_facts", "customer_features", "test_battery", "intervals"):
+        for stage in ("raw", "facts", "month_facts", "customer_features", "test_battery", "intervals", "k_table"):
             if stage in self.__dict__ and self.durable:
                 stages.forget(self.__dict__[stage])
         if self.durable:

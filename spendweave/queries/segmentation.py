@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators import generations, segmentation, segments
+from ..operators import generations, segmentation, segments, silhouette
 from ..plans.workbench import bench_for
 from ..sources import adapter
 from .features import rounded
@@ -96,7 +96,37 @@ def bootstrap_stability(spark, sf):
 
 
 def k_selection(spark, sf):
-    return segmentation.select_k(_matrix(spark, sf))
+    return bench_for(spark, sf, "card").k_table
+
+
+def k_selection_check(spark, sf):
+    """What every k table has to fulfil, one row per k: the drop is that from the row of k - 1, more segments cost less, shares and
+    indices are in their ranges, the silhouette is inside the range that the error leaves."""
+    table, customers = k_selection(spark, sf), _matrix(spark, sf).count()
+    before = table.select((F.col("k") + 1).alias("k"), F.col("inertia").alias("before"))
+    drop = (F.col("before") - F.col("inertia")) / F.col("before")
+    first = F.col("before").isNull()
+    return table.join(F.broadcast(before), "k", "left").select(        # a row per k
+        F.col("k").cast("long").alias("k"),
+        F.when(first, F.col("inertia_drop_pct").isNull()).otherwise(F.abs(F.col("inertia_drop_pct") - drop) < 1e-9).alias("drop_is_right"),
+        (first | (F.col("inertia") < F.col("before"))).alias("costs_less"),
+        F.col("smallest_segment").between(1, F.lit(customers) / F.col("k")).alias("smallest_fits"),
+        (F.col("bootstrap_ari_mean").between(-1, 1) & F.col("bootstrap_ari_p05").between(-1, 1) & F.col("gmm_vs_kmeans_ari").between(-1, 1)
+         & F.col("silhouette_squared").between(-1, 1)).alias("indices_in_range"),
+        ((F.col("silhouette_error") >= 0) & F.col("silhouette").between(-1 - F.col("silhouette_error"), 1 + F.col("silhouette_error")))
+        .alias("silhouette_in_range"), F.lit(customers).alias("all_customers"))
+
+
+def segment_silhouette(spark, sf):
+    """Plain-distance silhouette of the given labels."""
+    labelled = segmentation.fit_points(_matrix(spark, sf)).select("customer_id", "x").join(adapter.market_segments(spark, sf, "card"), "customer_id")
+    names = sorted(r[0] for r in labelled.select("segment_name").distinct().collect())
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("segment_name")) - 1
+    points = labelled.select("x", F.array(number.cast("int")).alias("labels")).persist()
+    found = silhouette.silhouettes(points, [len(names)])
+    points.unpersist()
+    return found.select(F.get(F.array(*[F.lit(n) for n in names]), F.col("label")).alias("segment_name"), "customers",
+                        F.round("silhouette", 6).alias("silhouette"))
 
 
 def _mixtures(spark, sf):
@@ -129,7 +159,8 @@ def mixture_check(spark, sf):
 
 def pca_2d(spark, sf):
     coordinates, explained = segmentation.project(_matrix(spark, sf))
-    return coordinates.withColumn("explained_1", F.lit(explained[0])).withColumn("explained_2", F.lit(explained[1]))
+    with_shares = coordinates.withColumn("explained_1", F.lit(explained[0])).withColumn("explained_2", F.lit(explained[1]))
+    return rounded(with_shares, "pca_1", "pca_2", "explained_1", "explained_2")
 
 
 def artifact_classifier(spark, sf):
@@ -139,4 +170,5 @@ def artifact_classifier(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     cluster_matrix, stratified_folds, artifact_associations, majority_baseline, classifier_inputs, kmeans_segments,
-    kmeans_profile, kmeans_check, segment_assignments, bootstrap_stability, k_selection, gmm_bic, mixture_check, pca_2d, artifact_classifier)}
+    kmeans_profile, kmeans_check, segment_assignments, bootstrap_stability, k_selection,
+    k_selection_check, segment_silhouette, gmm_bic, mixture_check, pca_2d, artifact_classifier)}
