@@ -30,9 +30,22 @@ class Effort:
     depth: int = segmentation.DEEPEST
 
 
-def rebuild(raw: DataFrame, out: str, rules: TriggerRules = TriggerRules(), effort: Effort = Effort()) -> None:
-    """Run all steps and save the results below ``out``. Stage tables go to the shared folder."""
+def rebuild(raw: DataFrame, out: str, rules: TriggerRules = TriggerRules(), effort: Effort = Effort(),
+            repeated_names: str = "stop") -> None:
+    """Run all steps and save the results below ``out``. Stage tables go to the shared folder.
+
+    Two segments that get the same name by the rules ``stop`` the run, or are told apart by their number with ``repeated_names="number"``.
+    """
+    if repeated_names not in ("stop", "number"):
+        raise ValueError(f"unknown choice {repeated_names!r}")
     bench = Workbench(raw)
+    try:
+        _run(bench, out, rules, effort, repeated_names)
+    finally:
+        bench.release()
+
+
+def _run(bench: Workbench, out: str, rules: TriggerRules, effort: Effort, repeated_names: str) -> None:
     features = bench.customer_features
     quality.require_clean(quality.report(features, bench.transactions, bench.customers))
     files.write_parquet(features, f"{out}/{catalog.FEATURES}")
@@ -45,17 +58,16 @@ def rebuild(raw: DataFrame, out: str, rules: TriggerRules = TriggerRules(), effo
     catalog.save_csv(generations.band_definitions(banded), out, "age_band_definitions")
     files.write_json(generations.artifact_summary(tests, bench.cuts), f"{out}/artifact_check")
 
-    labels, profiles = _segment(bench, out, effort)
+    labels, profiles = _segment(bench, out, effort, repeated_names)
     scored = features.join(labels.select("customer_id", "segment_name"), "customer_id")
     scores = stages.keep_rows(targeting.score_segments(scored), "scores")
     catalog.save_csv(scores.orderBy("benefit", "rank"), out, "targeting_scores")
     _backtest(bench.customer_month, labels, profiles, scores, out, rules, effort)
     for stage in (labels, profiles, scores):
         stages.forget(stage)
-    bench.release()
 
 
-def _segment(bench: Workbench, out: str, effort: Effort) -> tuple[DataFrame, DataFrame]:
+def _segment(bench: Workbench, out: str, effort: Effort, repeated_names: str) -> tuple[DataFrame, DataFrame]:
     """Labels (with the shown name and the name by rule) and profiles, both as stages."""
     matrix = bench.matrix
     table = segmentation.select_k(matrix, effort.ks, effort.starts, effort.bootstraps, effort.bootstrap_starts,
@@ -64,6 +76,8 @@ def _segment(bench: Workbench, out: str, effort: Effort) -> tuple[DataFrame, Dat
     model = segmentation.fit_kmeans(matrix, effort.chosen_k, effort.starts)
     segmented = stages.keep(segmentation.segment_features(bench.banded, matrix, model), "segmented", "customer_id")
     by_rule = segments.profile(segmented)
+    if repeated_names == "stop":
+        quality.require_unique_names(by_rule)
     profiles = stages.keep_rows(segments.unique_names(by_rule), "profiles")
     coordinates, explained = segmentation.project(matrix)
     rule_names = F.broadcast(by_rule.select("segment_id", F.col("segment_name").alias("rule_name")))      # a row per segment

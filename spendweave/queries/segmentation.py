@@ -114,7 +114,7 @@ def k_selection_check(spark, sf):
         (F.col("bootstrap_ari_mean").between(-1, 1) & F.col("bootstrap_ari_p05").between(-1, 1) & F.col("gmm_vs_kmeans_ari").between(-1, 1)
          & F.col("silhouette_squared").between(-1, 1)).alias("indices_in_range"),
         ((F.col("silhouette_error") >= 0) & F.col("silhouette").between(-1 - F.col("silhouette_error"), 1 + F.col("silhouette_error")))
-        .alias("silhouette_in_range"), F.lit(customers).alias("all_customers"))
+        .alias("silhouette_in_range"), F.lit(customers).cast("long").alias("all_customers"))
 
 
 def segment_silhouette(spark, sf):

@@ -1,9 +1,12 @@
 """Files in and out, the catalogue and the full rebuild."""
 import datetime as dt
+import gzip
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendweave.operators import quality, segments
 from spendweave.plans.rebuild import Effort, rebuild
 from spendweave.config import TriggerRules
 from spendweave.sources import adapter, catalog, files
@@ -29,6 +32,39 @@ def test_csv_files_with_different_layouts(spark, tmp_path):
     assert (rows["t2"]["amt"], rows["t2"]["category"], rows["t2"]["is_fraud"]) == (10.5, "misc_net", 1)
 
 
+def bytes_read(spark, work):
+    """What all file systems of the session's JVM read meanwhile."""
+    def total():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = total()
+    return work(), total() - before
+
+
+def test_headers_cost_the_heads_only(spark, tmp_path):
+    line = "2019-01-01 00:00:18,4512828414483801773,travel,4.97,F,3495,1988-03-09,t1,0\n"
+    for name, head, rows in (("short", A, 2), ("long", B, 600_000), ("longer", A, 900_000)):
+        (tmp_path / f"{name}.csv").write_text(head + line * rows)
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "only.csv").write_text(A)
+    found, read = bytes_read(spark, lambda: files.first_lines(spark, f"{tmp_path}/*.csv"))
+    assert [(path.rsplit("/", 1)[1], line + "\n") for path, line in found] == [
+        ("long.csv", B), ("longer.csv", A), ("only.csv", A), ("short.csv", A)]
+    assert (tmp_path / "longer.csv").stat().st_size > 60_000_000 and 0 < read < 1_000_000
+    df, read = bytes_read(spark, lambda: files.read_raw_csv(spark, f"{tmp_path}/*.csv"))        # planned, not yet read
+    assert df.columns == RAW_TRANSACTIONS.names and 0 < read < 1_000_000
+    packed = tmp_path / "packed"
+    packed.mkdir()
+    with gzip.open(packed / "a b.csv.gz", "wt") as f:
+        f.write(A + line)
+    assert [r["trans_num"] for r in files.read_raw_csv(spark, str(packed)).collect()] == ["t1"]
+
+
+def test_files_without_a_line_have_no_rows(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    df = files.read_raw_csv(spark, f"{tmp_path}/*.csv")
+    assert df.schema == RAW_TRANSACTIONS and df.count() == 0
+
+
 def test_a_bad_value_stops_the_load(spark, tmp_path):
     write(tmp_path / "bad.csv", A + "2019-01-01 00:00:18,notanumber,travel,4.97,F,3495,1988-03-09,t1,0\n")
     with pytest.raises(Exception, match="(?i)malformed"):
@@ -60,11 +96,21 @@ def test_parquet_json_and_views(spark, tmp_path):
     assert spark.sql("SELECT sum(k) AS s FROM some_frame").first()["s"] == 1
 
 
+def test_repeated_names_can_stop_the_rebuild(spark, tmp_path, monkeypatch):
+    raw = adapter.raw_transactions(spark, "/root/testdata/sf0.001", "card")
+    light = Effort(resamples=2, placebo=1, ks=(3,), chosen_k=6, starts=1, bootstraps=1, bootstrap_starts=1,
+                   mixture_starts=1, trees=1, depth=1)
+    monkeypatch.setattr(segments, "rule_name", lambda: F.lit("one name"))
+    with pytest.raises(quality.QualityError, match="repeated segment_name"):
+        rebuild(raw, str(tmp_path), TriggerRules(dining_min_base=1), light, repeated_names="stop")
+    assert not (tmp_path / "segment_profiles").exists()
+
+
 def test_full_rebuild_and_catalogue(spark, tmp_path):
     raw = adapter.raw_transactions(spark, "/root/testdata/sf0.001", "card")
     light = Effort(resamples=5, placebo=2, ks=(3,), chosen_k=3, starts=1, bootstraps=1, bootstrap_starts=1,
                    mixture_starts=1, trees=3, depth=3)
-    rebuild(raw, str(tmp_path), TriggerRules(dining_min_base=1), light)
+    rebuild(raw, str(tmp_path), TriggerRules(dining_min_base=1), light, repeated_names="number")
     tables = catalog.load_all(spark, str(tmp_path))
     n = spark.read.parquet(f"{tmp_path}/customer_features").count()
     assert tables["features"].count() == n == tables["segment_assignments"].count()
