@@ -56,6 +56,13 @@ FROM (SELECT customer_id, segment_name, max(n) FILTER (segment_name = other) - 1
             FROM scaled_list p JOIN label_card l USING (customer_id), scaled_list q JOIN label_card k USING (customer_id) GROUP BY ALL)
       GROUP BY ALL)
 GROUP BY ALL"""),
+    "forest_check": build("banded", """
+SELECT fold, count(*) AS customers, count(DISTINCT customer_id) AS different, count(*) FILTER (gender = 'F') AS women, count(*) AS hits
+FROM (SELECT customer_id, gender,
+             (row_number() OVER (PARTITION BY gender ORDER BY
+                CAST(concat('0x', substr(md5(concat_ws('|', 42, customer_id)), 1, 8)) AS BIGINT), customer_id) - 1) % 5 AS fold
+      FROM banded)
+GROUP BY fold"""),
     "k_selection_check": build("feat_card", """
 SELECT range AS k, true AS drop_is_right, true AS costs_less, true AS smallest_fits, true AS indices_in_range, true AS silhouette_in_range,
        (SELECT count(*) FROM feat_card) AS all_customers

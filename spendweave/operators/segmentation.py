@@ -10,7 +10,7 @@ import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import md5
 
 import numpy as np
@@ -600,25 +600,37 @@ def predictor_columns(labelled: DataFrame) -> DataFrame:
 DEEPEST = 30       # the largest depth that Spark ML allows
 
 
-def forest_accuracy(labelled: DataFrame, label: str = "segment_id", extra: tuple[str, ...] = (), trees: int = 300,
-                    depth: int = DEEPEST, seed: int = SEED) -> float:
-    """Mean cross-validated accuracy of predicting the segment from demographics (and ``extra`` columns)."""
-    inputs = [*PREDICTORS, *extra]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="v").transform(
-        stratified_folds(predictor_columns(labelled), label))
-    data = vectors.select("v", "fold", (F.col(label) - 1).cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+def forest_inputs(labelled: DataFrame, label: str = "segment_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(customer_id, v, fold, y): predictors as a vector (demographics and ``extra`` columns), kept for the forests. ``unpersist`` it afterwards.
+
+    Labels are numbers from 1.
+    """
+    vectors = VectorAssembler(inputCols=[*PREDICTORS, *extra], outputCol="v").transform(stratified_folds(predictor_columns(labelled), label))
+    return vectors.select("customer_id", "v", "fold", (F.col(label) - 1).cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+
 
-    def hit_rate(fold):
+def out_of_fold(inputs: DataFrame, trees: int = 300, depth: int = DEEPEST, seed: int = SEED) -> DataFrame:
+    """(customer_id, fold, label, predicted): everybody is predicted once, by the forest that hasn't seen the customer's fold."""
+    def predicted(fold):
         forest = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=depth,
                                         minInstancesPerNode=5, seed=seed)
-        model = forest.fit(data.filter(F.col("fold") != fold))
-        right = (F.col("prediction") == F.col("y")).cast("int")
-        return model.transform(data.filter(F.col("fold") == fold)).agg(F.avg(right)).first()[0]
+        model = forest.fit(inputs.filter(F.col("fold") != fold))
+        return model.transform(inputs.filter(F.col("fold") == fold)).select(
+            "customer_id", "fold", *[(F.col(c) + 1).cast("long").alias(name) for c, name in (("y", "label"), ("prediction", "predicted"))])
 
     with ThreadPoolExecutor(FOLDS) as pool:
-        hits = list(pool.map(hit_rate, range(FOLDS)))
-    data.unpersist()
-    return sum(hits) / len(hits)
+        return reduce(DataFrame.unionByName, pool.map(predicted, range(FOLDS)))
+
+
+def forest_accuracy(labelled: DataFrame, label: str = "segment_id", extra: tuple[str, ...] = (), trees: int = 300,
+                    depth: int = DEEPEST, seed: int = SEED) -> float:
+    """Mean cross-validated accuracy of predicting the segment from demographics (and ``extra`` columns)."""
+    inputs = forest_inputs(labelled, label, extra)
+    right = (F.col("predicted") == F.col("label")).cast("int")
+    hits = out_of_fold(inputs, trees, depth, seed).groupBy("fold").agg(F.avg(right).alias("hit_rate"))
+    accuracy = hits.agg(F.avg("hit_rate")).first()[0]
+    inputs.unpersist()
+    return accuracy
 
 
 def artifact_check(labelled: DataFrame, label: str = "segment_id", trees: int = 300, depth: int = DEEPEST) -> DataFrame:

@@ -168,7 +168,22 @@ def artifact_classifier(spark, sf):
     return segmentation.artifact_check(banded, "segment_id")
 
 
+CHECK_TREES = 50
+
+
+def forest_check(spark, sf):
+    """Forests on a label that demographics decide (gender), a row per fold: everybody is predicted once, and rightly, by a forest that
+    hasn't seen the fold."""
+    number = F.when(F.col("gender") == "F", 1).otherwise(2)
+    inputs = segmentation.forest_inputs(bench_for(spark, sf, "card").banded.withColumn("gender_id", number), "gender_id")
+    found = segmentation.out_of_fold(inputs, CHECK_TREES)
+    return found.groupBy(F.col("fold").cast("long").alias("fold")).agg(
+        F.count("*").alias("customers"), F.count_distinct("customer_id").alias("different"), F.count_if(F.col("label") == 1).alias("women"),
+        F.count_if(F.col("predicted") == F.col("label")).alias("hits"))
+
+
 QUERIES = {f.__name__: f for f in (
     cluster_matrix, stratified_folds, artifact_associations, majority_baseline, classifier_inputs, kmeans_segments,
     kmeans_profile, kmeans_check, segment_assignments, bootstrap_stability, k_selection,
-    k_selection_check, segment_silhouette, gmm_bic, mixture_check, pca_2d, artifact_classifier)}
+    k_selection_check, segment_silhouette, gmm_bic, mixture_check, pca_2d, artifact_classifier,
+    forest_check)}

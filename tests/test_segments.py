@@ -156,6 +156,16 @@ def test_forest_sees_what_demographics_tell(features):
     assert row["demographics_only_accuracy"] > 0.95
 
 
+def test_everybody_is_predicted_once_out_of_fold(features):
+    labelled = segments.order_by_spend(features, "kind")
+    inputs = segmentation.forest_inputs(labelled)
+    rows = segmentation.out_of_fold(inputs, trees=5, depth=4).collect()
+    assert sorted(r["customer_id"] for r in rows) == list(range(120))
+    assert {(r["customer_id"], r["label"]) for r in rows} == {(r["customer_id"], r["segment_id"]) for r in labelled.collect()}
+    by_fold = [np.mean([r["label"] == r["predicted"] for r in rows if r["fold"] == f]) for f in range(5)]
+    assert segmentation.forest_accuracy(labelled, trees=5, depth=4) == pytest.approx(np.mean(by_fold))
+
+
 def mixture_points(spark, n=900, d=3):
     rng = np.random.default_rng(8)
     kind = rng.choice(3, n, p=[0.5, 0.3, 0.2])
