@@ -213,8 +213,9 @@ class _Segment:
         self.parsed.append((role[:1], blank or duplicate, truncated))
         self.chars += len(text)
 
-    def full(self, most_rows: int) -> bool:
-        return len(self.roles) >= most_rows or self.chars >= SEGMENT_CHARS
+    def full(self, most_rows: int, copies: int) -> bool:
+        """Whether the next row's copies have no room. A row's copies stay together, also where they are more than ``most_rows``."""
+        return bool(self.roles) and (len(self.roles) + max(1, copies) > most_rows or self.chars >= SEGMENT_CHARS)
 
     def row(self) -> tuple:
         ways = [{"entry": e, "exit": x, "cost": c, "audit": a} for e in range(1 if self.opens else len(TOPS))
@@ -239,7 +240,7 @@ def _segments(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[pa.
                 if marker:                       # says that the next row's role and text came earlier
                     marked = row
                     continue
-                if now is None or now.key != key or now.full(most_rows):
+                if now is None or now.key != key or now.full(most_rows, copies):
                     if now is not None:
                         done.append(now.row())
                         if len(done) >= 64:
