@@ -172,6 +172,20 @@ def plain_draws(seed, rep, part, draws, rows):
     return [scrambled((key + j * 0x9E3779B9) % 2 ** 32) * rows >> 32 for j in range(draws)]
 
 
+def test_counts_of_a_range_are_packed_and_come_in_blocks():
+    """A range hands over a byte for each replicate and place around the middle, one block of replicates after the other."""
+    rng, n, range_rows, n_boot = np.random.default_rng(3), 40_000, 10_000, 130
+    places = np.stack([rng.permutation(n)[:range_rows] for _ in range(2)], axis=1)
+    blocks = list(stats._range_middles(1, n, places, places.astype(float), n_boot, 42, range_rows))
+    assert [[(m, first) for m, first, *_ in rows] for rows in blocks] == [[(m, first)] for first in range(0, n_boot, 64) for m in range(2)]
+    start, stop = stats._window(n)
+    inside = ((places >= start) & (places < stop)).sum(axis=0)
+    assert sum(len(rows[0][5]) for rows in blocks) == n_boot * inside.sum()
+    below = np.frombuffer(blocks[0][0][4], "<i8")
+    drawn = stats.range_draws(42, 0, 1, int(stats.divided_draws(42, 0, n, range_rows)[1]), range_rows)
+    assert below[0] == drawn[places[:, 0] < start].sum()
+
+
 @pytest.mark.parametrize("range_rows", [1 << 16, 50])
 def test_bootstrap_medians_against_plain_resampling(spark, range_rows):
     """The same draws one by one, for one range and for several; other partitions and rows in another order make no difference."""
