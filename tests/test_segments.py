@@ -214,3 +214,30 @@ def test_labels_that_agree(spark):
     centres = segmentation.Centres(segmentation.Fit(3, 0), mixture.means[::-1])
     rows = segmentation.agreement(points, [centres, mixture], [(7, 0, 1), (8, 1, 1)]).collect()
     assert {r["rep"]: r["ari"] for r in rows} == pytest.approx({7: 1.0, 8: 1.0}, abs=0.02)
+
+
+def test_small_tables_come_in_few_tasks_and_blocks_hold_every_point(spark):
+    """Forty partitions of a small table are one task of a pass; with many centres there are more. Nothing is lost on the way."""
+    points = spark.range(0, 3000, 1, 40).select(
+        F.col("id").alias("h"), F.array(F.col("id") * 1.0, F.col("id") % 7 * 1.0).alias("x"), F.array((F.col("id") % 3).cast("int")).alias("w"))
+    assert segmentation.packed(points, 50).getNumPartitions() == 1
+    many = segmentation.packed(points, 100_000)
+    assert 8 <= many.getNumPartitions() <= 12
+    h, x, w = (np.concatenate(v) for v in zip(*many.collect()))
+    assert sorted(h.tolist()) == list(range(3000)) and (x[:, 0] == h).all() and (x[:, 1] == h % 7).all() and (w[:, 0] == h % 3).all()
+
+
+def test_cluster_sums_against_plain_sums():
+    rng = np.random.default_rng(2)
+    x, weight = rng.normal(size=(500, 3)), rng.integers(0, 4, 500)
+    centres = [rng.normal(size=(4, 3)), np.array([[0.0, 0, 0], [0, 0, 0], [1, 1, 1]])]          # repeated centres: the first counts
+    total = np.zeros((7, 5))
+    segmentation._cluster_sums(x, [weight.astype(float), None], centres, total)
+    row = 0
+    for at, drawn in zip(centres, (weight, np.ones(500))):
+        squared = ((x[:, None, :] - at[None]) ** 2).sum(axis=2)
+        for c in range(len(at)):
+            mine = (squared.argmin(axis=1) == c) * drawn
+            plain = [mine.sum(), (mine * squared[:, c]).sum(), *(mine @ x)]
+            assert np.allclose(total[row], plain)
+            row += 1
