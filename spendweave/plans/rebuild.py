@@ -46,8 +46,9 @@ def rebuild(raw: DataFrame, out: str, rules: TriggerRules = TriggerRules(), effo
 
 
 def _run(bench: Workbench, out: str, rules: TriggerRules, effort: Effort, repeated_names: str) -> None:
+    rows = bench.transactions           # whole rows are needed, so the source is read for them first
     features = bench.customer_features
-    quality.require_clean(quality.report(features, bench.transactions, bench.customers))
+    quality.require_clean(quality.report(features, rows, bench.customers))
     files.write_parquet(features, f"{out}/{catalog.FEATURES}")
 
     banded, tests = bench.banded, bench.test_battery

@@ -11,6 +11,7 @@ from spendweave.functions import columns as C
 from spendweave.operators import panel as P
 from spendweave.operators import quality
 from spendweave.plans import stages
+from spendweave.plans import workbench
 from spendweave.plans.workbench import Workbench
 
 
@@ -165,3 +166,18 @@ def test_nobody_spends_in_a_category(spark):
     got = {r["segment_name"]: r for r in targeting.score_segments(customers).where("benefit = 'dining_credit'").collect()}
     assert got["diner"]["headroom"] == 0 and got["idle"]["headroom"] == 0 and got["idle"]["headroom_benchmark_share"] == 0
     assert customers.agg(F.max("monthly_dining_spend")).first()[0] == 250
+
+
+def test_features_start_from_a_narrow_stage_in_buckets_that_follow_the_rows(spark, ledger, tmp_path, monkeypatch):
+    """Row ids are not staged for features; a stage has a bucket for so many rows; the result is that of whole rows."""
+    ledger("1 travel: 300 . 2*45\n2 home: 20 30 40\n3 food_dining: 4*5 9").write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    monkeypatch.setattr(workbench, "BUCKET_ROWS", 1)
+    made, whole = Workbench(raw), Workbench(raw, durable=False)
+    assert made.customer_features.orderBy("customer_id").collect() == whole.customer_features.orderBy("customer_id").collect()
+    assert "trans_num" not in made.purchases.columns and "raw" not in made.__dict__
+    assert made.buckets == raw.count() and made.facts.rdd.getNumPartitions() >= 1
+    made.release()
+    rows_first = Workbench(raw)
+    assert rows_first.raw.count() == raw.count() and rows_first.purchases is rows_first.raw
+    rows_first.release()
