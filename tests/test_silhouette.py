@@ -80,3 +80,34 @@ def test_edges(spark):
     assert {r["label"]: r["silhouette"] for r in alone} == pytest.approx({0: (4 / 5 + 3 / 4) / 2, 1: 0.0})
     same = silhouette.silhouettes(frame(spark, np.zeros((4, 2)), [0, 0, 1, 1]), [2]).collect()
     assert [r["silhouette"] for r in same] == [0.0, 0.0]
+
+
+def test_tasks_follow_the_distances(spark, monkeypatch):
+    """A table that lies in one task is scored in as many as its distances ask for, with the same result."""
+    x, good, random = planted()
+    points = frame(spark, x, good, random).coalesce(1).cache()
+    cells = silhouette._cells(points, silhouette.grow(points, 4, 64), [3, 4])
+    work = len(x) * sum(len(c.n) for c in cells)
+    before = sorted(silhouette.silhouettes(points, [3, 4], 64).collect())
+    monkeypatch.setattr(silhouette, "TASK_DISTANCES", work // 6)
+    assert silhouette.spread_out(points, cells).rdd.getNumPartitions() in (6, 7)
+    after = sorted(silhouette.silhouettes(points, [3, 4], 64).collect())
+    assert [r[:3] for r in after] == [r[:3] for r in before]
+    assert [v for r in after for v in r[3:]] == pytest.approx([v for r in before for v in r[3:]])
+
+
+def test_cells_of_several_blocks(monkeypatch):
+    """Sums of distances are those of the plain formula when a label's cells fill several blocks, with and without spread."""
+    monkeypatch.setattr(silhouette, "BLOCK", (8, 16))
+    rng = np.random.default_rng(2)
+    mean, label, n = rng.normal(0, 1, (100, 3)), rng.integers(0, 3, 100), rng.integers(1, 9, 100).astype(float)
+    variance = rng.random((100, 3)) * (rng.random(100) < 0.5)[:, None]
+    x = rng.normal(0, 1, (20, 3))
+    x[0] = mean[0]
+    low, about, high = silhouette.Cells(n, mean, variance, label, 3).distances(x)
+    squared = ((x[:, None] - mean) ** 2).sum(-1)
+    along = np.divide(((x[:, None] - mean) ** 2 * variance).sum(-1), squared, out=np.zeros_like(squared), where=squared > 1e-12)
+    for c in range(3):
+        own, s, t, v = label == c, squared, variance.sum(1), along
+        for got, want in ((low, s), (about, s + t - v), (high, s + t)):
+            assert got[:, c] == pytest.approx(np.sqrt(want)[:, own] @ n[own], abs=1e-6)
