@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendweave.llm import exact_dedup, minhash, mixing, packing, quality_classifier
+from spendweave.llm import exact_dedup, minhash, mixing, packing, quality_classifier, simhash
 from spendweave.llm.common import paths_since, release_all_but, release_paths, stage, stages_written, words
 
 
@@ -65,9 +65,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that links connect, the one with the smallest id stays (null ids last). A link is a similarity (Jaccard) of
-    five-word shingles of 0.8 or more."""
+    five-word shingles of 0.8 or more, checked on the whole texts. Candidates come from SimHash fingerprints that meet by Golay
+    keys and, since pairs near 0.8 differ in more bits than these allow for, from bands of MinHash values."""
     rows, row = _numbered(docs, "stage-near")
-    found = minhash.near_copies(rows, row)
+    met = simhash.candidate_pairs(rows, row, minhash.SHINGLE)
+    found = minhash.near_copies(rows, row, candidates=met)
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     classes = stage(rows.select("doc_id", row).join(found, F.col(row) == F.col("node")).select("doc_id", row, "root"), "stage-classes")
     place = F.struct(F.when(F.col("doc_id").isNull(), 1).otherwise(0), F.col("doc_id"), F.col(row))

@@ -65,13 +65,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def near_copies(rows: DataFrame, row: str, shingle: int = SHINGLE, at_least: float = SIMILARITY) -> DataFrame:
+def near_copies(rows: DataFrame, row: str, shingle: int = SHINGLE, at_least: float = SIMILARITY,
+                candidates: DataFrame | None = None) -> DataFrame:
     """(node, root) for the rows, by number ``row``, that links of at least this similarity connect, roots themselves left out. Texts without words don't link.
 
     In each band's bucket every row is compared with the smallest row and with the longest one, so a bucket of any size costs two
     pairs a row. Rows alike to each other but to neither of these, as copies within a large family that shares a template, meet by
     single values: a value that two to four rows have comes from a shingle that only they share. Pairs are checked on the whole texts,
-    which are joined for candidates only.
+    which are joined for candidates only. ``candidates`` are pairs (a, b) of row numbers from elsewhere that are checked too.
 
     ``rows`` needs different numbers in ``row``. Null, empty and blank texts have no shingles and no link; repeated rows are linked as
     any equal texts; an empty table gives an empty result; other columns are ignored.
@@ -98,6 +99,7 @@ def near_copies(rows: DataFrame, row: str, shingle: int = SHINGLE, at_least: flo
     rare = (signed.select("row", F.explode("singles").alias("key")).groupBy("key")
             .agg(F.count("*").alias("_c"), F.min("row").alias("a"), F.max("row").alias("b")).where(F.col("_c").between(2, FEW)).select("a", "b"))
     met = met.select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b")).unionByName(rare)
+    met = met.unionByName(candidates) if candidates is not None else met
     pairs = stage(met.distinct(), "minhash-pairs")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,8 +155,8 @@ def midpoint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.join(least, "mid").select("a", F.col("fp").alias("b")).where("a <> b")
 
 
-def fingerprint_classes(fps: DataFrame, distance: int = DISTANCE, held: int = HELD) -> DataFrame:
-    """(node, root) for the distinct fingerprints (column fp) that link to another one."""
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, held: int = HELD) -> DataFrame:
+    """(a, b): links that connect the distinct fingerprints (column fp) within ``distance`` bits of each other, chains included."""
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")    # many keys from few bytes
     keys = bucket_keys(spread)
     found = stage(bucket_links(keys, distance, held), "simhash-links")
@@ -164,7 +164,23 @@ def fingerprint_classes(fps: DataFrame, distance: int = DISTANCE, held: int = HE
     hot = found.where("hot").select(F.col("a").alias("fp")).distinct()
     if hot.limit(1).count():
         links = links.unionByName(midpoint_links(hot, distance))
-    return components(links)
+    return links
+
+
+def fingerprint_classes(fps: DataFrame, distance: int = DISTANCE, held: int = HELD) -> DataFrame:
+    """(node, root) for the distinct fingerprints (column fp) that link to another one."""
+    return components(fingerprint_links(fps, distance, held))
+
+
+def candidate_pairs(rows: DataFrame, row: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): pairs of row numbers for a check on the whole texts, a below b. Rows of one fingerprint meet its smallest row, and smallest rows
+    of linked fingerprints meet each other. ``rows`` needs different numbers in ``row``; texts without words meet nobody."""
+    signed = stage(with_fingerprint(rows, [row], shingle).where("fp <> 0").select(F.col(row).alias("row"), "fp"), "simhash-rows")
+    fps = stage(signed.groupBy("fp").agg(F.min("row").alias("first")), "simhash-fps")
+    equal = signed.join(fps, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    side = lambda of: fps.select(F.col("fp").alias(of), F.col("first").alias(f"{of}_first"))
+    linked = fingerprint_links(fps, distance).distinct().join(side("a"), "a").join(side("b"), "b")
+    return equal.unionByName(linked.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

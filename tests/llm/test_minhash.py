@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline as pipeline
 
-from spendweave.llm import minhash
+from spendweave.llm import minhash, simhash
 
 
 def shingles(text):
@@ -55,3 +55,21 @@ def test_classes_against_all_pairs(spark):
                     root = {k: low if v == high else v for k, v in root.items()}
     got = {r.node: r.root for r in minhash.near_copies(docs.select("doc_id", "text"), "doc_id").collect()}
     assert {i: got.get(i, i) for i in root} == root
+
+
+def test_near_stage_goes_by_fingerprints_too(spark, monkeypatch):
+    """Where MinHash finds no candidates, pairs whose fingerprints meet by Golay keys are linked, but for those below 0.8."""
+    rng, rows = random.Random(4), []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], f"new{i}"]))]
+    rows += [(80, ""), (81, " \n"), (82, None)]
+    prints = [simhash.fingerprint(t, minhash.SHINGLE) for _, t in rows[:80]]
+    close = [i for i in range(0, 80, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= simhash.DISTANCE]
+    assert len(close) >= 30
+    monkeypatch.setattr(minhash, "_keys", lambda least, n, first: [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {(r.a, r.b) for r in simhash.candidate_pairs(docs, "doc_id", minhash.SHINGLE).collect()}
+    assert pairs == {(i, i + 1) for i in close}
+    kept = {r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(range(83)) - {i + 1 for i in close}
