@@ -92,6 +92,26 @@ def test_kruskal_does_not_depend_on_the_splits(spark):
         assert row["statistic"] == pytest.approx(brute_h(values, groups))
 
 
+def test_ranks_meet_as_packed_counts(spark, monkeypatch):
+    """Equal values shared by most rows, NULL lowest and NaN highest, over several ranges and packs; no window goes over single values."""
+    monkeypatch.setattr(stats, "PACK_ROWS", 300)
+    rng = np.random.default_rng(6)
+    values, groups = np.where(rng.random(4000) < 0.6, 2.0, np.round(rng.gamma(1, 3, 4000), 2)), rng.choice(["x", "y", None], 4000, p=[0.7, 0.2, 0.1])
+    rows = [(None if i % 50 == 0 else float("nan") if i % 50 == 1 else -0.0 if i % 50 == 2 else float(v), g) for i, (v, g) in enumerate(zip(values, groups))]
+    df = spark.createDataFrame(rows, "v double, g string").repartition(3)
+    splits = stats.range_splits(df, ["v"], rows_per_bucket=400)
+    assert len(splits["v"]) > 3
+    stacked = stats.stack_metrics(df, ["v"], ["g"], splits)
+    found = stats.kruskal(stacked, ["metric"], "g")
+    plain = [-1e9 if v is None else 1e9 if v != v else v for v, _ in rows]
+    assert found.first()["n"] == 4000 and found.first()["statistic"] == pytest.approx(brute_h(np.array(plain), np.array([g or "" for _, g in rows])))
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert windows and not any("value" in line for line in windows)
+    packed = stats.packed_counts(stacked, ["metric"], "g").collect()
+    assert sum(sum(r["c"]) for r in packed) == 4000
+    assert max(len(r["value"]) for r in packed) <= 300 + 4000 / 3 and len(packed) < 300
+
+
 def test_kruskal_with_one_group_has_no_statistic(spark):
     df = frame(spark, v=[1.0, 2.0], g=["a", "a"])
     row = stats.kruskal(stats.stack_metrics(df, ["v"], ["g"]), ["metric"], "g").first()
