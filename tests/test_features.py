@@ -118,6 +118,19 @@ def test_months_that_nobody_used_stay_out(ledger, bench):
     assert [(r["month_idx"], r["spend"]) for r in rows] == [(1, 20), (2, 0), (3, 30)]
 
 
+def test_filled_months_are_numbered_without_a_window(ledger, bench):
+    """The window goes over the month facts; nothing sorts the rows that fill the gaps, and places skip months nobody used."""
+    made = bench(ledger("1 home: 20 . . . . 30 . 5\n2 home: . . 4 . . . 6 .\n3 home: . . . . 7 7 . ."))
+    plan = made.month_facts._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate explode(sequence(")
+    assert below.count("Window [") and not [line for line in above.splitlines() if "Window [" in line and "customer_id" in line]
+    got = {c: [] for c in (1, 2, 3)}
+    for r in made.customer_month.orderBy("customer_id", "month").collect():
+        got[r["customer_id"]].append((r["month_idx"], r["month"].month, r["spend"]))
+    assert got == {1: [(1, 3, 20), (2, 5, 0), (3, 7, 0), (4, 8, 30), (5, 9, 0), (6, 10, 5)],
+                   2: [(1, 5, 4), (2, 7, 0), (3, 8, 0), (4, 9, 6)], 3: [(1, 7, 7), (2, 8, 7)]}
+
+
 def test_dimension_reports_contradictions(raw_frame, bench):
     def row(customer, gender, dob):
         return ("f", f"{customer}{gender}{dob}", dt.datetime(2022, 6, 1, 8), customer, "home", 3.0, gender, 9, dob, 0)

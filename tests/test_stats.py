@@ -107,6 +107,7 @@ def test_ranks_meet_as_packed_counts(spark, monkeypatch):
     assert found.first()["n"] == 4000 and found.first()["statistic"] == pytest.approx(brute_h(np.array(plain), np.array([g or "" for _, g in rows])))
     windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
     assert windows and not any("value" in line for line in windows)
+    assert stats.kruskal(df, [], "g", ["v"], splits).collect() == found.collect()      # without stacking
     packed = stats.packed_counts(stacked, ["metric"], "g").collect()
     assert sum(sum(r["c"]) for r in packed) == 4000
     assert max(len(r["value"]) for r in packed) <= 300 + 4000 / 3 and len(packed) < 300
