@@ -111,3 +111,43 @@ def test_cells_of_several_blocks(monkeypatch):
         own, s, t, v = label == c, squared, variance.sum(1), along
         for got, want in ((low, s), (about, s + t - v), (high, s + t)):
             assert got[:, c] == pytest.approx(np.sqrt(want)[:, own] @ n[own], abs=1e-6)
+
+
+def along_a_line(x, label):
+    """Silhouettes of points on a line, from sums over sorted points."""
+    mean = []
+    for c in range(label.max() + 1):
+        y = np.sort(x[label == c])
+        before, sums = np.searchsorted(y, x), np.r_[0, np.cumsum(y)]
+        total = x * before - sums[before] + sums[-1] - sums[before] - x * (len(y) - before)
+        mean.append(total / (len(y) - (label == c)))
+    mean, at = np.array(mean), np.arange(len(x))
+    inner = mean[label, at].copy()
+    mean[label, at] = np.inf
+    outer = mean.min(axis=0)
+    return (outer - inner) / np.maximum(inner, outer)
+
+
+def test_more_customers_than_any_tree_had_leaves(spark):
+    """40,000 different points are scored by all pairs: no bounds are left. A tree of 32,768 leaves was the most before."""
+    rng = np.random.default_rng(8)
+    label = rng.integers(0, 3, 40_000)
+    x = rng.normal(0, 1, len(label)) + label
+    want = along_a_line(x, label)
+    got = silhouette.silhouettes(frame(spark, x[:, None], label), [3]).collect()
+    assert sorted(r["label"] for r in got) == [0, 1, 2]
+    for r in got:
+        assert r["customers"] == (label == r["label"]).sum() and r["at_least"] == r["at_most"] == r["silhouette"]
+        assert r["silhouette"] == pytest.approx(want[label == r["label"]].mean(), abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", [400, 10])
+def test_all_pairs_do_not_depend_on_the_blocks(spark, monkeypatch, rows):
+    """Few and many blocks, more of them than some have points for, and tiles that cut blocks anywhere."""
+    monkeypatch.setattr(silhouette, "PAIR_ROWS", (rows, rows))
+    monkeypatch.setattr(silhouette, "TILE", (5, 11))
+    x, good, random = planted(120)
+    x[40:80], good[40:80] = x[40], good[40]                    # a third of all rows are one point
+    for r in silhouette.silhouettes(frame(spark, x, good, random), [3, 4]).collect():
+        label = (good, random)[r["labelling"]]
+        assert r["silhouette"] == pytest.approx(by_pairs(x, label)[label == r["label"]].mean(), abs=1e-9)
