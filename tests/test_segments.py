@@ -241,3 +241,58 @@ def test_cluster_sums_against_plain_sums():
             plain = [mine.sum(), (mine * squared[:, c]).sum(), *(mine @ x)]
             assert np.allclose(total[row], plain)
             row += 1
+
+
+def flat_matrix(spark, n=3000, d=3):
+    """Customers without clusters, on which K-means moves for long."""
+    from pyspark.ml.linalg import Vectors
+    x = np.random.default_rng(11).uniform(-1, 1, (n, d))
+    return spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], ["customer_id", "x"]).repartition(3)
+
+
+@pytest.mark.parametrize("most", [(300_000, 600), (300_000, 65_536)])      # few undecided customers, and whole resamples in a task
+def test_rooms_save_passes_and_change_no_fit(spark, monkeypatch, most):
+    points, fits = segmentation.fit_points(flat_matrix(spark), 4), [segmentation.Fit(4, s, r) for r in (None, 0, 1, 2, 3) for s in range(2)]
+    passes = []
+    for name in ("_one_step", "_steps_within"):
+        plain = getattr(segmentation, name)
+        monkeypatch.setattr(segmentation, name, lambda *a, f=plain: (passes.append(1), f(*a)))
+    with monkeypatch.context() as none:
+        none.setattr(segmentation, "_room", lambda *a: 0.0)
+        by_passes = segmentation.fit_all(points, fits)
+    full = len(passes)
+    monkeypatch.setattr(segmentation, "UNDECIDED", most)
+    monkeypatch.setattr(segmentation, "SENT", 1)
+    by_rooms = segmentation.fit_all(points, fits)
+    assert full == max(f.steps for f in by_passes), (full, len(passes))
+    assert len(passes) - full < full / 2, (full, len(passes))
+    for one, other in zip(by_passes, by_rooms):
+        assert one.settled and other.settled and one.steps == other.steps and one.sizes == pytest.approx(other.sizes)
+        assert one.centres == pytest.approx(other.centres, abs=1e-9) and one.cost == pytest.approx(other.cost)
+
+
+def test_undecided_points_are_left_out_of_the_sums():
+    rng = np.random.default_rng(4)
+    x, weight = rng.normal(size=(700, 3)), rng.integers(0, 3, 700).astype(float)
+    weights, centres = [weight, None, weight], [rng.normal(size=(k, 3)) for k in (4, 2, 5)]
+    whole, _, leads = segmentation._sums(x, weights, centres, sample=True)
+    sure, undecided, _ = segmentation._sums(x, weights, centres, [0.2, 0.1, np.inf])
+    first = np.cumsum([0, 4, 2, 5])
+    assert (leads[:, 0] == [(weight > 0).sum(), 700, (weight > 0).sum()]).all() and (leads[:, 1] == segmentation.SAMPLED).all()
+    for i, (given, at, room, some) in enumerate(zip(weights, centres, (0.2, 0.1, np.inf), undecided)):
+        distance = np.sort(np.sqrt(((x[:, None] - at) ** 2).sum(-1)), axis=1)
+        drawn = np.ones(700) if given is None else given
+        assert some.tolist() == np.flatnonzero((distance[:, 1] - distance[:, 0] <= 2 * room) & (drawn > 0)).tolist()
+        rest = segmentation._sums(x[some], [drawn[some]], [at])[0]
+        assert sure[first[i]:first[i + 1]] + rest == pytest.approx(whole[first[i]:first[i + 1]])
+
+
+def test_weights_are_poisson_draws_from_the_hash(spark):
+    from hashlib import md5
+    from math import exp, factorial
+    matrix = flat_matrix(spark, 40)
+    bounds = np.cumsum([exp(-1) / factorial(i) for i in range(14)])
+    for r in segmentation.fit_points(matrix, 5).collect():
+        u = [(int(md5(f"42|{rep}|{r['customer_id']}".encode()).hexdigest()[:8], 16) + 0.5) / 2 ** 32 for rep in range(5)]
+        assert r["w"] == np.searchsorted(bounds, u, side="right").tolist()
+    assert all(r["w"] == [] for r in segmentation.fit_points(matrix).collect())
